@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, linededup, mixing, repetition, simhash
+from . import bytebpe, licenses, linededup, mixing, repetition, secretscan, simhash
 from .common import table
 
 
@@ -42,6 +42,21 @@ def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    return found.select(
+        "doc_id",
+        *(secretscan.count_kind(k).alias(f"n_{k}") for k in secretscan.KINDS),
+        F.sha2(secretscan.listed(base), 256).alias("base_sha256"),
+        secretscan.listed(F.col("spans")).alias("spans"),
+    )
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -53,9 +68,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_byte_bpe": op2_byte_bpe,
         "op3_line_dedup": op3_line_dedup,
         "op4_repetition": op4_repetition,
+        "op6_secrets": op6_secrets,
+        "op8_licenses": op8_licenses,
         "op9_mixing": op9_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.ORACLE_SQL}
+    return {
+        "op8_licenses": licenses.oracle_sql(),
+        "op9_mixing": mixing.ORACLE_SQL,
+    }
