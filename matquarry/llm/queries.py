@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, licenses, linededup, mixing, repetition, secretscan, simhash
+from . import bytebpe, graphann, licenses, linededup, mixing, repetition, secretscan, simhash
 from .common import table
 
 
@@ -62,6 +62,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return graphann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -71,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_secrets": op6_secrets,
         "op8_licenses": op8_licenses,
         "op9_mixing": op9_mixing,
+        "op10_graph_ann": op10_graph_ann,
     }
 
 
