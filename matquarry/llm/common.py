@@ -45,20 +45,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def map_texts(
+def map_batches(
     docs: DataFrame,
     id_col: str,
     text_col: str,
     schema: str,
-    per_text: Callable[[], Callable[[bytes], tuple]],
+    per_task: Callable[[], Callable[[list], Iterable]],
     encoded: bool = True,
 ) -> DataFrame:
-    """One output row for each row of ``docs``: its id, then what ``per_text`` makes of the whole text.
+    """One output row for each row of ``docs``: its id, then what ``per_task`` makes of the whole text.
 
-    ``per_text`` is called once a task and returns the function of a text, as UTF-8
-    bytes (``encoded``) or str; null texts arrive empty. ``schema`` names the new
-    columns. Only the id and the text column leave the JVM, so other columns of
-    ``docs`` may have any name."""
+    ``per_task`` is called once a task and returns a function from a list of texts, as
+    UTF-8 bytes (``encoded``) or str, to the new columns; null texts arrive empty.
+    ``schema`` names the new columns. Only the id and the text column leave the JVM, so
+    other columns of ``docs`` may have any name."""
     picked = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
@@ -68,19 +68,49 @@ def map_texts(
     arrow = _arrow_schema(out)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = per_text()
+        work = per_task()
         for batch in batches:
             for part in pieces(batch):
                 texts = part.column(1)
                 if encoded:
                     texts = texts.cast(pa.binary())
-                rows = [work(t.as_py()) for t in texts]
-                columns = [part.column(0), *(pa.array(c, type=f.type) for c, f in zip(zip(*rows), list(arrow)[1:]))]
+                made = work(texts.to_pylist())
+                columns = [part.column(0), *(pa.array(c, type=f.type) for c, f in zip(made, list(arrow)[1:]))]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return picked.mapInArrow(run, out)
 
 
+def map_texts(
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    schema: str,
+    per_task: Callable[[], Callable[[bytes], tuple]],
+    encoded: bool = True,
+) -> DataFrame:
+    """``map_batches`` with a function of one text, which returns the values of its row."""
+
+    def of_batch() -> Callable[[list], Iterable]:
+        work = per_task()
+        return lambda texts: zip(*map(work, texts))
+
+    return map_batches(docs, id_col, text_col, schema, of_batch, encoded)
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label_col: str, fit_rows: int, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, text, label) of at most ``fit_rows`` labelled rows that are not held out, picked by hash.
+
+    The picked ids are broadcast: ``fit_rows`` bounds them."""
+    usable = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
+    usable = usable.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
+    picked = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(fit_rows)
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(picked), "doc_id")
+
+
 def pieces(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Short slices of an Arrow batch, so that what is made of one is small."""
     for at in range(0, batch.num_rows, rows):

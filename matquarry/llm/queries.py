@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, graphann, licenses, linededup, mixing, repetition, secretscan, simhash
+from . import additive, bytebpe, graphann, licenses, linededup, mixing, repetition, secretscan, simhash, toxicity
 from .common import table
 
 
@@ -42,6 +42,12 @@ def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    cited = F.transform("evidence", lambda e: F.concat_ws(":", e["doc_id"], F.round(e["similarity"], 4), e["label"]))
+    return found.select("doc_id", "held_out", "score", "predicted", F.array_join(cited, ",").alias("evidence"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secretscan.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
@@ -53,6 +59,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -73,7 +83,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_byte_bpe": op2_byte_bpe,
         "op3_line_dedup": op3_line_dedup,
         "op4_repetition": op4_repetition,
+        "op5_toxicity": op5_toxicity,
         "op6_secrets": op6_secrets,
+        "op7_additive": op7_additive,
         "op8_licenses": op8_licenses,
         "op9_mixing": op9_mixing,
         "op10_graph_ann": op10_graph_ann,
