@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -14,12 +15,20 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared checkpoint folder; set a local one only where none is named."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The checkpoint folder: the cluster's shared one, or a local one set here only where none is named."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def rewritten(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to a new place in the shared folder, and read from there."""
+    place = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(place)
+    return df.sparkSession.read.parquet(place)
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -113,6 +113,34 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select(*kept, F.col("low").alias("threshold"))
 
 
+def limits_of(sized: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """(source, source_size, target, whole, budget, threshold) from (source, size, hash).
+
+    A source takes each document ``whole`` times, and those below the threshold once more."""
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
+    budgets = (
+        source_targets(sized, weights, share, most)
+        .withColumn("whole", whole.cast("int"))
+        .withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
+    )
+    return thresholds(sized.select("source", "size", "hash"), budgets)
+
+
+def _sized(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: str) -> DataFrame:
+    return docs.select(
+        F.col(f"`{id_col}`").alias("doc_id"),
+        F.col(f"`{source_col}`").alias("source"),
+        n_words(F.col(f"`{text_col}`")).alias("size"),
+        id_hash(F.col(f"`{id_col}`"), seed).alias("hash"),
+    )
+
+
+def _with_repeats(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    few = limits.count() <= BROADCAST_SOURCES
+    repeats = F.col("whole") + (F.col("hash") < F.col("threshold")).cast("int") * (F.col("budget") > 0).cast("int")
+    return _by_source(rows, limits, few=few).withColumn("repeats", repeats)
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -130,28 +158,31 @@ def mix(
     and are taken alike; null ids count as the empty id; the null source is a source of
     its own, last in order. Documents of size 0 take 0 words. Other columns are ignored; an empty
     table gives an empty result."""
-    sized = materialise(
-        docs.select(
-            F.col(f"`{id_col}`").alias("doc_id"),
-            F.col(f"`{source_col}`").alias("source"),
-            n_words(F.col(f"`{text_col}`")).alias("size"),
-            id_hash(F.col(f"`{id_col}`"), seed).alias("hash"),
-        )
-    )
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    budgets = (
-        source_targets(sized, weights, share, most)
-        .withColumn("whole", whole.cast("int"))
-        .withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
+    sized = materialise(_sized(docs, id_col, source_col, text_col, seed))
+    found = _with_repeats(sized, limits_of(sized, weights, share, most))
+    return found.select(
+        "doc_id", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken")
     )
-    limits = thresholds(sized.select("source", "size", "hash"), budgets)
-    few = limits.count() <= BROADCAST_SOURCES
-    repeats = F.col("whole") + (F.col("hash") < F.col("threshold")).cast("int") * (F.col("budget") > 0).cast("int")
-    return (
-        _by_source(sized, limits, few=few)
-        .withColumn("repeats", repeats)
-        .select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
+
+
+def take(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    text_col: str = "text",
+    weights: tuple[float, ...] = (3, 1, 2),
+    share: float = 1.5,
+    most: float = 2.0,
+    seed: str = "",
+) -> DataFrame:
+    """The rows of ``docs`` as often as ``mix`` takes them, with the columns of ``docs``; texts are not shuffled."""
+    sized = materialise(_sized(docs, id_col, source_col, text_col, seed).select("source", "size", "hash"))
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col(f"`{source_col}`").alias("source"), id_hash(F.col(f"`{id_col}`"), seed).alias("hash")
     )
+    found = _with_repeats(rows, limits_of(sized, weights, share, most)).where("repeats > 0")
+    repeated = found.select("row", F.explode(F.array_repeat(F.lit(0), F.col("repeats"))))
+    return repeated.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 #: DuckDB SQL for ``mix`` over documents: budgets from the definition, thresholds from sorted running sums.
