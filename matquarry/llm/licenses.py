@@ -11,11 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Copyright statements, which differ from holder to holder: a line that opens with one.
-COPYRIGHT = r"(?m)^[ \t]*(?:copyright\b|\(c\)|©)[^\n]*$"
+COPYRIGHT = r"(?im)^[ \t]*(?:copyright\b|\(c\)|©)[^\n]*$"
 #: What separates words: ASCII other than letters and digits, and usual typographic marks.
-GAP = r"[\x00-/:-`{-\x7F‘’“”–—©®·•]+"
+MARKS = r"\x00-/:-@\[-`{-\x7F‘’“”–—©®·•"
+GAP = f"[{MARKS}]+"
+FIRST_WORD = f"[^{MARKS}]+"
 #: Spellings that count as one (the first is replaced by the second).
 SPELLINGS = (
     ("licence", "license"),
@@ -28,7 +29,6 @@ SPELLINGS = (
     ("fulfilment", "fulfillment"),
     ("whilst", "while"),
     ("wilful", "willful"),
-    ("non commercial", "noncommercial"),
     ("https", "http"),
 )
 
@@ -93,15 +93,23 @@ KNOWN = (
 )
 
 
-def canonical(text: Column) -> Column:
-    """Canonical form of a text: words in lower case with single spaces between."""
-    lower = F.translate(text, UPPER, LOWER)
-    words = F.trim(F.regexp_replace(F.regexp_replace(lower, COPYRIGHT, ""), GAP, " "))
+def _spelled(words: Column) -> Column:
     for old, new in SPELLINGS:
         words = F.replace(words, F.lit(old), F.lit(new))
     return words
 
 
+def canonical(text: Column) -> Column:
+    """Canonical form of a text: words in lower case with single spaces between."""
+    return _spelled(F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, COPYRIGHT, "")), GAP, " ")))
+
+
+def first_word(text: Column) -> Column:
+    """First word of a canonical form, without making the rest of it; the text has no copyright lines."""
+    word = F.lower(F.regexp_extract(text, FIRST_WORD, 0))
+    return F.when(word.rlike("|".join(old for old, _ in SPELLINGS)), _spelled(word)).otherwise(word)
+
+
 def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
@@ -120,19 +128,23 @@ def scan(
     spark = docs.sparkSession
     catalogue = F.broadcast(
         spark.createDataFrame([*known], "license string, body string")
-        .select("license", digest(F.col("body")).alias("digest"))
-        .groupBy("digest")
+        .select("license", digest(F.col("body")).alias("digest"), F.substring_index(canonical(F.col("body")), " ", 1).alias("first"))
+        .groupBy("digest", "first")
         .agg(F.min("license").alias("license"))
     )
+    firsts = F.broadcast(catalogue.select("first").distinct())
     rows = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")
     ).withColumn("text_hash", F.xxhash64("text"))
-    # position 0 is the document itself, its lines follow
+    # position 0 is the document itself, its lines follow; the first word tells most texts from licenses at little cost
+    whole = F.regexp_replace("text", COPYRIGHT, "")
     units = rows.select(
-        "doc_id", "text_hash", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("position", "body")
+        "doc_id", "text_hash", F.posexplode(F.concat(F.array(whole), F.split("text", "\n"))).alias("position", "body")
     )
     found = (
-        units.select("doc_id", "text_hash", "position", digest(F.col("body")).alias("digest"))
+        units.withColumn("first", first_word(F.col("body")))
+        .join(firsts, "first", "left_semi")
+        .select("doc_id", "text_hash", "position", digest(F.col("body")).alias("digest"))
         .join(catalogue, "digest")
         .dropDuplicates(["doc_id", "text_hash", "position"])
         .groupBy("doc_id", "text_hash")
@@ -157,8 +169,8 @@ def oracle_sql(known: tuple[tuple[str, str], ...] = KNOWN) -> str:
     """DuckDB SQL for ``scan`` over documents with unique ids: a lookup of canonical texts, without digests or joins of units."""
 
     def canonical_sql(text: str) -> str:
-        lower = f"translate({text}, '{UPPER}', '{LOWER}')"
-        words = f"trim(regexp_replace(regexp_replace({lower}, '{COPYRIGHT}', '', 'g'), '{GAP}', ' ', 'g'))"
+        lower = f"lower(regexp_replace({text}, '{COPYRIGHT}', '', 'g'))"
+        words = f"trim(regexp_replace({lower}, '{GAP}', ' ', 'g'))"
         for old, new in SPELLINGS:
             words = f"replace({words}, '{old}', '{new}')"
         return words
