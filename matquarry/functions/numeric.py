@@ -25,6 +25,12 @@ def _horner(x: Column, coefficients: tuple[float, ...]) -> Column:
     return out
 
 
+def _over(a: Column | float, b: Column) -> Column:
+    """Quotient of doubles; null where the divisor is 0."""
+    top = a if isinstance(a, Column) else F.lit(float(a))
+    return F.try_divide(top.cast("double"), b.cast("double"))
+
+
 def normal_pdf(z: Column) -> Column:
     return F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
 
@@ -63,35 +69,36 @@ def cell_volume(a: Column, b: Column, c: Column, alpha: Column, beta: Column, ga
 
 
 def sound_velocities(bulk: Column, shear: Column, density: Column) -> tuple[Column, Column, Column]:
-    """Longitudinal, transverse and mean velocities in m/s from GPa and g/cm3."""
-    longitudinal = F.sqrt((bulk + 4 * shear / 3) / density)
-    transverse = F.sqrt(shear / density)
-    mean = F.pow((1 / F.pow(longitudinal, 3) + 2 / F.pow(transverse, 3)) / 3, F.lit(-1 / 3))
+    """Longitudinal, transverse and mean velocities in m/s from GPa and g/cm3; the mean is null without shear stiffness."""
+    longitudinal = F.sqrt(_over(bulk + 4 * shear / 3, density))
+    transverse = F.sqrt(_over(shear, density))
+    mean = F.pow((_over(1, F.pow(longitudinal, F.lit(3.0))) + _over(2, F.pow(transverse, F.lit(3.0)))) / 3, F.lit(-1 / 3))
     return longitudinal * 1000, transverse * 1000, mean * 1000
 
 
 def debye_temperature(volume: Column, velocity: Column) -> Column:
     """Acoustic Debye temperature in K from a volume in cubic angstroms and m/s."""
-    return F.lit(PLANCK / BOLTZMANN * 1e10) * F.pow(3 / (4 * math.pi * volume), F.lit(1 / 3)) * velocity
+    return F.lit(PLANCK / BOLTZMANN * 1e10) * F.pow(_over(3, 4 * math.pi * volume), F.lit(1 / 3)) * velocity
 
 
 def poisson_ratio(longitudinal: Column, transverse: Column) -> Column:
-    square = (longitudinal / transverse) * (longitudinal / transverse)
-    return (square - 2) / (2 * square - 2)
+    ratio = _over(longitudinal, transverse)
+    return _over(ratio * ratio - 2, 2 * ratio * ratio - 2)
 
 
 def gruneisen(poisson: Column) -> Column:
-    return 3 * (1 + poisson) / (2 * (2 - 3 * poisson))
+    return _over(3 * (1 + poisson), 2 * (2 - 3 * poisson))
 
 
 def slack_constant(gamma: Column, n: int = 1) -> Column:
     if n == 1:
-        return 2.43e-8 / (1 - 0.514 / gamma + 0.228 / (gamma * gamma))
-    return 1 / (1 + 1 / gamma + 8.3e5 / F.pow(gamma, F.lit(2.4)))
+        return _over(2.43e-8, 1 - _over(0.514, gamma) + _over(0.228, gamma * gamma))
+    return _over(1, 1 + _over(1, gamma) + _over(8.3e5, F.pow(gamma, F.lit(2.4))))
 
 
 def slack_kappa(constant: Column, mass: Column, volume: Column, debye: Column, gamma: Column, atoms: Column, temperature: float = 300.0) -> Column:
-    return constant * mass * F.pow(volume, F.lit(1 / 3)) * F.pow(debye, F.lit(3.0)) / (gamma * gamma * temperature * atoms) * 100
+    top = constant * mass * F.pow(volume, F.lit(1 / 3)) * F.pow(debye, F.lit(3.0))
+    return _over(top, gamma * gamma * temperature * atoms) * 100
 
 
 def finite_or_zero(x: Column) -> Column:
@@ -100,13 +107,13 @@ def finite_or_zero(x: Column) -> Column:
 
 def mtp_kappa(shear: Column, velocity: Column, volume: Column, atoms: Column, gamma: Column, temperature: float = 300.0) -> Column:
     """Conductivity G v V^(1/3) exp(-gamma) / (N T) in SI units; 0 where it is not finite."""
-    value = shear * 1e9 * velocity * F.pow(volume * 1e-30, F.lit(1 / 3)) / (atoms * temperature) * F.exp(-gamma)
+    value = _over(shear * 1e9 * velocity * F.pow(volume * 1e-30, F.lit(1 / 3)), atoms * temperature) * F.exp(-gamma)
     return finite_or_zero(value)
 
 
 def simple_slack_kappa(mass: Column, volume: Column, atoms: Column, velocity: float = 3000.0, gamma: float = 2.0) -> Column:
     """Slack conductivity with a fixed velocity and Grüneisen parameter, all atoms in the Debye temperature."""
-    debye = F.lit(PLANCK / BOLTZMANN * 1e10 * velocity) * F.pow(3 * atoms / (4 * math.pi * volume), F.lit(1 / 3))
+    debye = F.lit(PLANCK / BOLTZMANN * 1e10 * velocity) * F.pow(_over(3 * atoms, 4 * math.pi * volume), F.lit(1 / 3))
     return slack_kappa(slack_constant(F.lit(gamma)), mass, volume, debye, F.lit(gamma), atoms)
 
 

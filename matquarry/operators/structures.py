@@ -113,7 +113,8 @@ def site_distances(table: DataFrame, sites: DataFrame, images: int = 1, radius:
         "cx": F.expr("c * cos(radians(beta))"),
         "cy": F.expr("c * (cos(radians(alpha)) - cos(radians(beta)) * cos(radians(gamma))) / sin(radians(gamma))"),
     }
-    cell = table.select(key, "lattice.*").withColumns(cart).withColumn("cz", F.expr("sqrt(greatest(0, c * c - cx * cx - cy * cy))"))
+    # one lattice a structure; the aggregate also keeps filters on distances from being pushed into its text expressions
+    cell = table.groupBy(key).agg(F.first("lattice").alias("lattice")).select(key, "lattice.*").withColumns(cart).withColumn("cz", F.expr("sqrt(greatest(0, c * c - cx * cx - cy * cy))"))
     cell = cell.select(key, *cart, "cz")
     left = sites.select(key, F.col("position").alias("i"), *(F.col(x).alias(f"{x}1") for x in "xyz"))
     right = sites.select(key, F.col("position").alias("j"), *(F.col(x).alias(f"{x}2") for x in "xyz"))

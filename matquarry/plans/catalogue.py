@@ -11,6 +11,8 @@ from ..functions import formulas as fx
 from ..functions import numeric as nx
 from ..functions import values as vx
 from ..operators import candidates, evaluation, features, ledger, novelty, results, scoring, selection, structures, surrogate, textops
+from ..sources import shared
+from ..streaming import streams
 from . import inputs as i
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -864,3 +866,37 @@ def q_status_latest(spark: SparkSession, d: str) -> DataFrame:
 def q_task_progress(spark: SparkSession, d: str) -> DataFrame:
     log = i.table(spark, d, "events").selectExpr("user_id AS formula", "event_type = 'view' AS relax_success", "event_type = 'click' AS phonon_success")
     return results.task_progress(log)
+
+
+# streams over what has arrived, held against one batch
+
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    # a pattern takes a single file as well as a directory of files
+    return streams.file_stream(spark, f"{d}/events.parque[t]", spark.read.parquet(f"{d}/events.parquet").schema)
+
+
+@registered("SELECT CAST(user_id AS VARCHAR) AS formula, round(min(value), 6) AS k FROM events GROUP BY 1")
+def q_stream_lowest_k(spark: SparkSession, d: str) -> DataFrame:
+    place = shared.new_place(spark)
+    rows = _event_stream(spark, d).selectExpr("cast(user_id AS string) AS formula", "value AS k")
+    streams.upkeep(rows, f"{place}/table", f"{place}/state").awaitTermination()
+    return rounded(streams.current(spark, f"{place}/table"))
+
+
+@registered("""SELECT user_id AS formula, count(*) AS processed, count(*) FILTER (event_type = 'view') AS relax_success, count(*) FILTER (event_type = 'click') AS phonon_success
+FROM events GROUP BY 1""")
+def q_stream_status(spark: SparkSession, d: str) -> DataFrame:
+    place = shared.new_place(spark)
+    log = _event_stream(spark, d).selectExpr(
+        "user_id AS formula", "cast(ts AS timestamp) AS ts", "event_id AS attempt_id", "event_type = 'view' AS relax_success", "event_type = 'click' AS phonon_success"
+    )
+    streams.status_log(log, f"{place}/table", f"{place}/state", "400 days").awaitTermination()
+    return results.task_progress(spark.read.parquet(f"{place}/table"))
+
+
+@registered("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, round(ln(min(value)), 6) AS f_min, count(*) AS n FROM events WHERE value > 0 GROUP BY 1""")
+def q_stream_best(spark: SparkSession, d: str) -> DataFrame:
+    place = shared.new_place(spark)
+    rows = _event_stream(spark, d).selectExpr("cast(ts AS timestamp) AS ts", "value AS k")
+    found = streams.to_memory(streams.best_stream(rows), "best_" + place[-12:].replace("-", "_"), checkpoint=f"{place}/state")
+    return rounded(found.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("hour"), "f_min", "n"))
