@@ -153,7 +153,7 @@ def q_fmin_history(spark: SparkSession, d: str) -> DataFrame:
 
 
 @registered(f"""WITH {i.COMP},
-base AS (SELECT id, formula, a, na, b, nb, c, nc FROM comp WHERE id % 10 = 0),
+base AS (SELECT id, formula, a, na, b, nb, c, nc FROM comp),
 steps AS (
   SELECT id, x AS a, na, b, nb, c, nc FROM base, (SELECT unnest({i._listed(i.A)}) AS x) WHERE x <> a
   UNION ALL SELECT id, a, na, x, nb, c, nc FROM base, (SELECT unnest({i._listed(i.B)}) AS x) WHERE x <> b
@@ -162,8 +162,7 @@ steps AS (
   UNION ALL SELECT id, a, na, b, nb, c, nc + s FROM base, (VALUES (-1), (1)) t(s))
 SELECT id, count(*) AS n_neighbours FROM steps WHERE na BETWEEN 2 AND 10 AND nb BETWEEN 1 AND 10 AND nc BETWEEN 1 AND 10 AND na + nb + nc <= 20 GROUP BY id""")
 def q_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """Valid one-step moves of every tenth part, which is the query set."""
-    base = i.compositions(spark, d).where("id % 10 = 0").select("id", "formula", fx.parse_formula(F.col("formula")).alias("composition"))
+    base = i.compositions(spark, d).select("id", "formula", fx.parse_formula(F.col("formula")).alias("composition"))
     moved = candidates.neighbours(base.select(F.col("id").alias("formula"), "composition"))
     return moved.groupBy(F.col("formula").alias("id")).agg(F.count("*").alias("n_neighbours"))
 
@@ -614,19 +613,19 @@ def q_cell_volume(spark: SparkSession, d: str) -> DataFrame:
 
 # evaluation
 
-EMB = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v, vec_id % 10 = 0 AS gen FROM embeddings WHERE embedding IS NOT NULL),
+EMB = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v, vec_id % 100 = 0 AS gen FROM embeddings WHERE embedding IS NOT NULL),
 near AS (SELECT g.vec_id, min(list_distance(g.v, t.v)) AS fp FROM e g JOIN e t ON g.gen AND NOT t.gen GROUP BY g.vec_id)"""
 
 
 def _nearest(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = i.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("fp"))
-    asked = rows.where("vec_id % 10 = 0")
-    return evaluation.nearest_distance(asked, rows.where("vec_id % 10 <> 0"), ["fp"], "vec_id"), asked
+    asked = rows.where("vec_id % 100 = 0")
+    return evaluation.nearest_distance(asked, rows.where("vec_id % 100 <> 0"), ["fp"], "vec_id"), asked
 
 
 @registered(f"WITH {EMB} SELECT vec_id, round(fp, 6) AS fp FROM near")
 def q_nearest_distance(spark: SparkSession, d: str) -> DataFrame:
-    """Every tenth vector is the generated set, searched against all others."""
+    """Vectors whose id is divisible by 100 are the generated set, searched against all others."""
     return rounded(_nearest(spark, d)[0])
 
 
