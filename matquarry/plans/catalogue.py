@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import formulas as fx
 from ..functions import numeric as nx
 from ..functions import values as vx
-from ..operators import candidates, evaluation, features, ledger, novelty, results, scoring, selection, structures, surrogate, textops
+from ..operators import candidates, evaluation, features, ledger, novelty, results, scoring, selection, structures, surrogate, tables, textops
 from ..sources import shared
 from ..streaming import streams
 from . import inputs as i
@@ -106,6 +106,22 @@ def q_conform_flags(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@registered(f"""WITH {i.COMP} SELECT id, {i.REDUCED} AS reduced, array_to_string(list_sort([a, b, c]), ',') AS elements, 3 AS n_elements, CAST(na + nb + nc AS DOUBLE) AS total_atoms
+FROM (SELECT id, a, na * times AS na, b, nb * times AS nb, c, nc FROM comp)""")
+def q_standard_formulas(spark: SparkSession, d: str) -> DataFrame:
+    made = tables.standardise_formulas(i.compositions(spark, d), "raw")
+    return made.select("id", "reduced", F.array_join("elements", ",").alias("elements"), "n_elements", "total_atoms")
+
+
+@registered(f"""WITH {i.KAPPA} SELECT cif_file, formula, round(k, 6) AS k FROM kappa""")
+def q_conform_records(spark: SparkSession, d: str) -> DataFrame:
+    """Results under drifting names, typed again."""
+    drifted = i.kappa(spark, d).select(
+        F.col("formula").alias("Formula"), F.col("cif_file").alias("CIF_File"), F.concat(F.col("k").cast("string"), F.lit(" W/mK")).alias("kappa (W/m.K)")
+    )
+    return rounded(tables.conform_records(drifted, "kappa").select("cif_file", "formula", "k"))
+
+
 # candidates and scores
 
 
@@ -384,9 +400,24 @@ def q_membership(spark: SparkSession, d: str) -> DataFrame:
     return marked.select("id", "is_success", "is_stable")
 
 
+@registered(f"""WITH {i.COMP} SELECT DISTINCT f AS formula FROM (SELECT formula AS f FROM comp UNION ALL SELECT a || na FROM comp)""")
+def q_formula_set(spark: SparkSession, d: str) -> DataFrame:
+    rows = i.compositions(spark, d).select("formula", F.concat(F.lit(" "), F.concat("a", "na")).alias("other"))
+    return selection.formula_set(rows, ["formula", "other"])
+
+
 # novelty
 
 
+@registered(f"""WITH {i.STATE}, s AS (SELECT formula, cif_file, CASE WHEN iteration % 2 = 0 THEN structure_id END AS path, k FROM stated WHERE dynamic_stable AND k < 5.0),
+b AS (SELECT *, 'stable' AS t FROM s UNION ALL SELECT *, 'success' FROM s WHERE k < 1.0)
+SELECT coalesce(path, formula || '|' || cif_file) AS key, min(formula) AS formula, string_agg(DISTINCT t, ',' ORDER BY t) AS source_types FROM b GROUP BY 1""")
+def q_merge_inputs(spark: SparkSession, d: str) -> DataFrame:
+    rows = _classified(spark, d).withColumn("path", F.expr("CASE WHEN iteration % 2 = 0 THEN structure_id END"))
+    made = novelty.merge_inputs(*(t.select("formula", "cif_file", "path") for t in (results.success(rows), results.stable(rows))))
+    return made.select("key", "formula", F.array_join("source_types", ",").alias("source_types"))
+
+
 @registered(f"""WITH {i.RECORDS}, known AS (SELECT DISTINCT {i.REDUCED} AS reduced FROM records WHERE query_ok)
 SELECT id FROM comp WHERE {i.REDUCED} NOT IN (SELECT reduced FROM known)""")
 def q_known_filter_novel(spark: SparkSession, d: str) -> DataFrame:
