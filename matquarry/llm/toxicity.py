@@ -38,18 +38,25 @@ def word_terms(word: str) -> list[str]:
 
 
 class Counts:
-    """Term counts of texts over a vocabulary."""
+    """Term counts of texts over a vocabulary.
+
+    Most words begin like no term at all, which one look-up tells; words that hold terms
+    are remembered."""
 
     def __init__(self, vocabulary: list[str]) -> None:
         self.number = {t: i for i, t in enumerate(vocabulary)}
+        self.least = min([len(t.rstrip("*")) for t in vocabulary], default=0)
+        self.heads = {t[: self.least] for t in vocabulary}
         self.known: dict[str, tuple[int, ...]] = {}
 
     def __call__(self, text: str) -> dict[int, int]:
         out: dict[int, int] = {}
-        known, number = self.known, self.number
+        known, number, heads, least = self.known, self.number, self.heads, self.least
         if len(known) > MEMORY:
             known.clear()
         for word, times in Counter(text.lower().split()).items():
+            if word[:least] not in heads and (word[0] not in STRIP or word.strip(STRIP)[:least] not in heads):
+                continue
             found = known.get(word)
             if found is None:
                 found = known[word] = tuple(number[t] for t in word_terms(word) if t in number)
@@ -86,8 +93,13 @@ def term_statistics(sample: DataFrame) -> DataFrame:
     return rows.groupBy("term").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
 
 
-def pick_terms(statistics: DataFrame, size: int, n_positive: int, n_negative: int, least: float) -> list[str]:
-    """At most ``size`` terms that are commoner in label 1, by their log-likelihood ratio, of ``least`` or more."""
+def pick_terms(
+    statistics: DataFrame, size: int, n_positive: int, n_negative: int, least: float, least_share: float
+) -> list[str]:
+    """At most ``size`` terms by their log-likelihood ratio, of ``least`` or more.
+
+    Of the texts that hold a term, ``least_share`` or more must have label 1: other terms
+    say little and would tie most texts to most examples."""
 
     def part(observed, expected):
         return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
@@ -98,7 +110,7 @@ def pick_terms(statistics: DataFrame, size: int, n_positive: int, n_negative: in
         part(a, share * n_positive) + part(b, share * n_negative)
         + part(F.lit(n_positive) - a, (1 - share) * n_positive) + part(F.lit(n_negative) - b, (1 - share) * n_negative)
     )
-    good = statistics.where((a > 1) & (a * n_negative > b * n_positive)).withColumn("ratio", ratio)
+    good = statistics.where((a > 1) & (a * n_negative > b * n_positive) & (a >= least_share * (a + b))).withColumn("ratio", ratio)
     rows = good.where(F.col("ratio") >= least).orderBy(F.col("ratio").desc(), "term").limit(size)
     return sorted(r["term"] for r in rows.select("term").collect())
 
@@ -160,7 +172,12 @@ class BlockMaxIndex:
         return cls(*flat, idf, examples, weights, bounds, most.reshape(shape), block)
 
     def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        """Unit TF-IDF vector of term counts; empty without terms."""
+        """Unit TF-IDF vector of term counts; empty without terms.
+
+        The last entry of ``idf`` weighs a term that every text holds once. Beside it the
+        other terms keep their amount: without it one word and twenty point the same way."""
+        if counts:
+            counts = {**counts, len(self.idf) - 1: 1}
         raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
         norm = math.sqrt(sum(w * w for w in raw.values()))
         return {t: w / norm for t, w in raw.items()} if norm else {}
@@ -175,22 +192,31 @@ class BlockMaxIndex:
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         blocks = self.most.shape[1]
-        best: list[tuple[float, int, int]] = []
-        at, step = 0, 4
+        best_s, best_e = np.zeros(0), np.zeros(0, np.int64)
+        at, step = 0, 8
         while at < len(order):
-            if len(best) >= k and bound[order[at]] < -best[k - 1][0] - 1e-9:
+            if len(best_s) >= k and bound[order[at]] < best_s[k - 1] - 1e-9:
                 break
-            for b in order[at : at + step].tolist():
-                sums = np.zeros(self.block)
-                for t, w in zip(terms.tolist(), query.tolist()):
-                    lo, hi = self.bounds[t * blocks + b], self.bounds[t * blocks + b + 1]
-                    if lo < hi:
-                        sums[self.examples[lo:hi] - b * self.block] += w * self.weights[lo:hi]
-                hit = np.flatnonzero(sums)
-                best += [(-round(float(sums[i]), 12), int(self.ids[b * self.block + i]), int(b * self.block + i)) for i in hit]
-            best = sorted(x for x in best if x[2] != without)[: max(k, 1)]
-            at += step
-        return [(-s, e) for s, _, e in best[:k]]
+            taken = order[at : at + step]
+            cells = (terms[:, None] * blocks + taken[None, :]).ravel()
+            lo, size = self.bounds[cells], self.bounds[cells + 1] - self.bounds[cells]
+            # positions lo, lo + 1, … of every cell, one after the other
+            ends = np.cumsum(size)
+            spots = np.arange(ends[-1]) + np.repeat(lo - ends + size, size)
+            place = np.repeat(np.tile(np.arange(len(taken)), len(terms)), size) * self.block + self.examples[spots] % self.block
+            sums = np.bincount(place, self.weights[spots] * np.repeat(np.repeat(query, len(taken)), size), len(taken) * self.block)
+            hit = np.flatnonzero(sums)
+            found = taken[hit // self.block] * self.block + hit % self.block
+            mine = found != without
+            best_s = np.concatenate([best_s, np.round(sums[hit][mine], 12)])
+            best_e = np.concatenate([best_e, found[mine]])
+            if len(best_s) > k:
+                keep = best_s >= np.partition(best_s, len(best_s) - k)[len(best_s) - k]
+                best_s, best_e = best_s[keep], best_e[keep]
+            rank = np.lexsort((self.ids[best_e], -best_s))[:k]
+            best_s, best_e = best_s[rank], best_e[rank]
+            at, step = at + step, step * 2
+        return list(zip(best_s.tolist(), best_e.tolist()))
 
 
 @dataclass
@@ -243,7 +269,9 @@ def train(
     label_col: str = "toxic",
     fit_rows: int = 20_000,
     vocabulary_size: int = 2048,
-    least_ratio: float = 10.0,
+    least_ratio: float = 24.0,
+    least_share: float = 0.5,
+    presence: float = 12.0,
     k: int = 15,
     calibration_rows: int = 2000,
     id_col: str = "doc_id",
@@ -255,9 +283,9 @@ def train(
     sample = labelled_sample(docs, labels, label_col, fit_rows, id_col, text_col)
     totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     positive, negative = totals.get(1, 0), totals.get(0, 0)
-    vocabulary = pick_terms(term_statistics(sample), vocabulary_size, positive, negative, least_ratio) if positive and negative else []
+    vocabulary = pick_terms(term_statistics(sample), vocabulary_size, positive, negative, least_ratio, least_share) if positive and negative else []
     rows, frequency = document_frequencies(docs, vocabulary, text_col) if vocabulary else (0, np.zeros(0, np.int64))
-    idf = np.log((rows + 1) / (frequency + 1)) + 1
+    idf = np.append(np.log((rows + 1) / (frequency + 1)) + 1, presence)
     keyed = sample.select(F.struct("doc_id", "label").alias("key"), "text")
 
     def per_task():
@@ -271,7 +299,7 @@ def train(
 
     counted = map_batches(keyed, "key", "text", "terms array<int>, times array<int>", per_task, encoded=False)
     examples = sorted(
-        ((r["doc_id"]["doc_id"], r["doc_id"]["label"], dict(zip(r["terms"], r["times"]))) for r in counted.toLocalIterator()),
+        ((r["doc_id"]["doc_id"], r["doc_id"]["label"], dict(zip(r["terms"], r["times"]))) for r in counted.collect()),
         key=lambda r: (r[0], r[1], sorted(r[2].items())),
     )
     held = [e for e in examples if e[2]]
