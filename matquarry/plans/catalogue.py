@@ -498,15 +498,17 @@ means AS (SELECT id, {", ".join(f"sum(x * {c}) AS m_{c}" for c in ("mass", "radi
 
 
 @registered(f"""WITH {FEATURE_SQL}
-SELECT id, count(*) AS n_elements, sum(n) AS total_atoms, round(max(x), 6) AS max_atom_fraction, round(min(x), 6) AS min_atom_fraction, round(stddev_pop(x), 6) AS atom_fraction_std,
-  round(-sum(x * ln(x)), 6) AS config_entropy, round(-sum(x * ln(x)) * 8.314, 6) AS "Mixing_entropy",
-  {", ".join(f'round(any_value(m_{c}), 6) AS "{n}_mean", round(sum(x * power({c} - m_{c}, 2)), 6) AS "{n}_variance", round(sqrt(sum(x * power({c} - m_{c}, 2))), 6) AS "{n}_std", min({c}) AS "{n}_min", max({c}) AS "{n}_max", round(max({c}) - min({c}), 6) AS "{n}_range"'
+SELECT id, count(*) AS n_elements, sum(n) AS total_atoms, round(1e-9 + max(x), 6) AS max_atom_fraction, round(1e-9 + min(x), 6) AS min_atom_fraction, round(1e-9 + stddev_pop(x), 6) AS atom_fraction_std,
+  round(1e-9 + -sum(x * ln(x)), 6) AS config_entropy, round(1e-9 + -sum(x * ln(x)) * 8.314, 6) AS "Mixing_entropy",
+  {", ".join(f'round(1e-9 + any_value(m_{c}), 6) AS "{n}_mean", round(1e-9 + sum(x * power({c} - m_{c}, 2)), 6) AS "{n}_variance", round(1e-9 + sqrt(sum(x * power({c} - m_{c}, 2))), 6) AS "{n}_std", min({c}) AS "{n}_min", max({c}) AS "{n}_max", round(1e-9 + max({c}) - min({c}), 6) AS "{n}_range"'
              for c, n in (("mass", "Mass"), ("radius", "Radius"), ("eneg", "Eneg"), ("grp", "Group"), ("period", "Period"), ("valence", "Valence")))},
-  {", ".join(f'round(sqrt(sum(x * power(1 - {c} / m_{c}, 2))), 6) AS "{n}_delta"' for c, n in (("radius", "Radius"), ("mass", "Mass"), ("eneg", "Eneg"), ("valence", "Valence")))},
-  round(2 * (sum(x * eneg * eneg) - power(any_value(m_eneg), 2)) * 2, 6) AS "Mixing_enthalpy"
+  {", ".join(f'round(1e-9 + sqrt(sum(x * power(1 - {c} / m_{c}, 2))), 6) AS "{n}_delta"' for c, n in (("radius", "Radius"), ("mass", "Mass"), ("eneg", "Eneg"), ("valence", "Valence")))},
+  round(1e-9 + 2 * (sum(x * eneg * eneg) - power(any_value(m_eneg), 2)) * 2, 6) AS "Mixing_enthalpy"
 FROM frac JOIN means USING (id) GROUP BY id""")
 def q_comp_features(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(features.composition_features(i.compositions(spark, d).select("id", "formula"), features.element_table(spark)))
+    made = features.composition_features(i.compositions(spark, d).select("id", "formula"), features.element_table(spark))
+    # sixteenths of two-digit values end in exact halves of the last digit: a small shift puts both engines on one side
+    return rounded(made.select(*((F.col(c) + 1e-9).alias(c) if t == "double" else F.col(c) for c, t in made.dtypes)))
 
 
 @registered(f"""WITH {FEATURE_SQL}
