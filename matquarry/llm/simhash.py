@@ -246,8 +246,11 @@ def near_duplicates(
     heads = named.groupBy("root").agg(F.min("first_id").alias("head"))
     degree = links.select(F.explode(F.array("u", "v")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
     resolved = named.join(heads, "root").select("fp", "head").join(degree, "fp", "left")
-    components = distinct.join(resolved, "fp", "left").select(
-        "fp", F.coalesce("head", "first_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    # written first: a join of written tables can split the rows of a fingerprint that very many texts share
+    components = materialise(
+        distinct.join(resolved, "fp", "left").select(
+            "fp", F.coalesce("head", "first_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        )
     )
     return marked.join(components, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links"
