@@ -170,10 +170,10 @@ def build_index(
     Equal vectors share one point, which keeps the k + 1 smallest of their ids: no
     query has use for more of them."""
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
-    rows = rows.where(usable(F.col("v")) & F.col("id").isNotNull())
+    rows = rows.where(usable(F.col("v")) & F.col("id").isNotNull()).distinct()
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("rank") <= k + 1)
     points = materialise(
-        ranked.groupBy("v").agg(F.array_distinct(F.sort_array(F.collect_list("id"))).alias("ids"))
+        ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
         .select("v", "ids", F.size("v").alias("dim"))
     )
     counts = points.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(shard_rows)).alias("shards"))

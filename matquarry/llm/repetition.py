@@ -80,6 +80,7 @@ def measure(text: bytes, rules: Rules = Rules()) -> tuple:
     words = text.split()
     n_words = len(words)
     sizes = np.fromiter(map(len, words), np.int64, n_words)
+    ends = np.concatenate(([0], np.cumsum(sizes)))
     joined = b"".join(words)
     word_chars = len(joined.decode("utf-8", "replace"))
     n_symbols = len(text) - len(text.translate(None, SYMBOLS))
@@ -96,9 +97,8 @@ def measure(text: bytes, rules: Rules = Rules()) -> tuple:
             continue
         _, first, which, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
         if n in top and counts.max() >= rules.top_least:
-            frequent = counts == counts.max()
-            at = first[frequent]
-            share = counts.max() * max(sizes[i : i + n].sum() for i in at.tolist()[:64]) / total
+            at = first[counts == counts.max()]
+            share = counts.max() * (ends[at + n] - ends[at]).max() / total
             top_most = max(top_most, share)
             broken |= bool(share > top[n])
         if n == WINDOW or n in dup:

@@ -192,6 +192,19 @@ def slow_base(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(inside), failed
 
 
+def test_top_share_is_the_largest_of_all_most_frequent_ngrams():
+    rules = repetition.Rules()
+    n = rules.max_top_share[0][0]
+    for at in range(0, 400, 40):
+        words = [f"w{i:03d}" for i in range(400)]
+        words[at] = "long" * 50
+        grams = Counter(zip(*(words[i:] for i in range(n))))
+        text = " ".join(words * rules.top_least)
+        total = sum(map(len, words)) * rules.top_least
+        want = max(sum(map(len, g)) for g in grams) * rules.top_least / total
+        assert repetition.measure(text.encode(), rules)[7] >= want - 1e-12
+
+
 def test_repetition_base_matches_brute_force(spark):
     rows = edge_texts() + [(40, "a b c d e " * 30), (41, "same line here\n" * 9), (42, prose(7, 200) + " " + prose(7, 30)), (43, "# * $ % | " * 5)]
     got = sorted(map(tuple, repetition.quality_rules(frame(spark, rows)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect()), key=repr)
@@ -401,6 +414,13 @@ def test_graph_search_recall_ties_and_edges(spark):
     assert 3000 not in got and graphann.nearest(df.limit(0), df.limit(0)).collect() == []
 
 
+def test_graph_ann_repeated_rows_do_not_push_out_other_ids(spark):
+    rows = [(1, [1.0, 2.0])] * 9 + [(i, [1.0, 2.0]) for i in range(2, 8)] + [(20, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r["vec_id"]) for r in graphann.nearest(df, df.where("vec_id = 20")).collect())
+    assert got == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]
+
+
 # the pipeline
 
 
