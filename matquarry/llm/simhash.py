@@ -18,12 +18,13 @@ large-star and small-star hooks over checkpointed edges.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, materialise
@@ -257,15 +258,55 @@ def near_duplicates(
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest id.
+def digest(text: Column) -> Column:
+    """SHA-256 of a text, null counting as empty."""
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
+
+
+def keep_heads(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one row of each component; ``rows`` is (doc_id, digest, root), a row for each of theirs.
+
+    The first row of a component by id (null ids last) and digest stays. Of rows equal in both, which
+    are in one component, one stays."""
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
+    heads = rows.groupBy("root").agg(F.min(key).alias("head")).select("head.doc_id", "head.digest")
+    times = rows.groupBy("doc_id", "digest").agg(F.count("*").alias("times"))
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.digest") == F.col("b.digest"))
+    heads = materialise(heads.alias("a").join(times.alias("b"), same).select("a.doc_id", "a.digest", "times"))
+
+    def rows_of(some: DataFrame) -> DataFrame:
+        some = some.select(F.col("doc_id").alias("__head"), F.col("digest").alias("__digest"))
+        own = docs[f"`{id_col}`"].eqNullSafe(some["__head"]) & (digest(docs[f"`{text_col}`"]) == some["__digest"])
+        return docs.join(some, own, "left_semi")
+
+    kept = rows_of(heads.where("times = 1"))
+    repeated = heads.where("times > 1")
+    if repeated.isEmpty():
+        return kept
+    one = (
+        rows_of(repeated)
+        .select(F.struct("*").alias("__row"), F.col(f"`{id_col}`").alias("__head"), digest(F.col(f"`{text_col}`")).alias("__digest"))
+        .groupBy("__head", "__digest")
+        .agg(F.first("__row").alias("__row"))
+    )
+    return kept.unionByName(one.select("__row.*"))
+
+
+def drop_near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 3,
+    radius: int = 3,
+    shard_rows: int = 2048,
+) -> DataFrame:
+    """``docs`` with one row of each component of fingerprints, as ``keep_heads`` picks it, whatever the ids are."""
 
-    Of rows that repeat that id the first in the order of the text stays. Rows with a
-    null id, which cannot name a component, are kept only if no other row is like them."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    heads = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__head")).distinct()
-    from pyspark.sql import Window
+    def per_text(text: bytes) -> tuple:
+        return fingerprint(text, width), hashlib.sha256(text).digest()
 
-    rank = F.row_number().over(Window.partitionBy(f"`{id_col}`").orderBy(F.col(f"`{text_col}`")))
-    kept = docs.join(heads, docs[f"`{id_col}`"].eqNullSafe(heads["__head"]), "left_semi")
-    return kept.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    marked = materialise(map_texts(docs, id_col, text_col, "fp long, digest binary", lambda: per_text))
+    links = materialise(fingerprint_links(marked.select("fp").distinct(), radius, shard_rows))
+    stars = connected_components(links).withColumnRenamed("u", "fp")
+    rows = marked.join(stars, "fp", "left").select("doc_id", "digest", F.coalesce("root", "fp").alias("root"))
+    return keep_heads(docs, rows, id_col, text_col)

@@ -101,6 +101,18 @@ def test_near_duplicates_leave_one_of_each_group(spark):
     assert simhash.near_duplicates(frame(spark, [])).collect() == []
 
 
+def test_near_duplicates_keep_one_row_of_each_component_whatever_the_ids(spark):
+    a, b, c, d = (prose(s, 80) for s in (1, 9, 13, 17))
+    rows = [(None, a), (None, a), (None, b), (None, c), (5, c), (5, d), (5, d), (7, d), (8, None), (9, ""), (None, "")]
+    for drop in (simhash.drop_near_duplicates,):
+        df = frame(spark, rows)
+        kept = drop(df)
+        assert kept.columns == df.columns
+        got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+        assert got == Counter([(None, a), (None, b), (5, c), (5, d), (8, None)])
+        assert drop(frame(spark, [])).collect() == []
+
+
 # 2
 
 
