@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from matquarry.llm import additive, bytebpe, graphann, licenses, linededup, mixing, repetition, secretscan, simhash, toxicity
+from matquarry.llm import additive, bytebpe, graphann, licenses, linededup, mixing, repetition, secretscan, shingles, simhash, toxicity
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
@@ -104,7 +104,7 @@ def test_near_duplicates_leave_one_of_each_group(spark):
 def test_near_duplicates_keep_one_row_of_each_component_whatever_the_ids(spark):
     a, b, c, d = (prose(s, 80) for s in (1, 9, 13, 17))
     rows = [(None, a), (None, a), (None, b), (None, c), (5, c), (5, d), (5, d), (7, d), (8, None), (9, ""), (None, "")]
-    for drop in (simhash.drop_near_duplicates,):
+    for drop in (simhash.drop_near_duplicates, shingles.drop_near_duplicates):
         df = frame(spark, rows)
         kept = drop(df)
         assert kept.columns == df.columns
@@ -113,6 +113,40 @@ def test_near_duplicates_keep_one_row_of_each_component_whatever_the_ids(spark):
         assert drop(frame(spark, [])).collect() == []
 
 
+def test_pipeline_drops_texts_with_most_shingles_in_common(spark):
+    import corpus_pipeline
+
+    def edited(text, seed, share):
+        rng = np.random.default_rng(seed)
+        words = text.split(" ")
+        for at in rng.choice(len(words), int(share * len(words)), replace=False):
+            words[at] = f"new{seed}x{at}"
+        return " ".join(words)
+
+    def similarity(a, b):
+        x, y = (set(zip(*(t.lower().split()[i:] for i in range(5)))) for t in (a, b))
+        return len(x & y) / len(x | y)
+
+    rows = []
+    for i in range(30):
+        base = prose(500 + i, 300)
+        rows += [(10 * i, base)] + [(10 * i + j + 1, edited(base, 10 * i + j, s)) for j, s in enumerate((0.005, 0.01, 0.015, 0.02, 0.03, 0.1))]
+    rows += [(1000 + i, edited(prose(77, 300), i, 0.01)) for i in range(60)]
+    parent = {i: i for i, _ in rows}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for (i, a), (j, b) in combinations(rows, 2):
+        if i // 10 == j // 10 or i >= 1000 <= j:
+            if similarity(a, b) >= 0.8:
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, frame(spark, rows), "").collect()}
+    assert kept == {root(i) for i in parent}
+
+
 # 2
 
 
