@@ -79,16 +79,18 @@ def measure(text: bytes, rules: Rules = Rules()) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, top_share, dup_share, dup_line_chars."""
     words = text.split()
     n_words = len(words)
-    sizes = np.fromiter(map(len, words), np.int64, n_words)
-    ends = np.concatenate(([0], np.cumsum(sizes)))
     joined = b"".join(words)
-    word_chars = len(joined.decode("utf-8", "replace"))
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n_words))
+    if not joined.isascii():  # characters: bytes that do not continue one
+        ends = np.cumsum((np.frombuffer(joined, np.uint8) & 0xC0) != 0x80)[ends - 1]
+    ends = np.concatenate(([0], ends))
+    sizes, word_chars = np.diff(ends), int(ends[-1])
     n_symbols = len(text) - len(text.translate(None, SYMBOLS))
     lines = [x for x in text.split(b"\n") if x.strip()]
     n_dup_lines = len(lines) - len(set(lines))
-    dup_line_bytes = sum(map(len, lines)) - sum(map(len, set(lines))) if n_dup_lines else 0
+    line_chars, once = (sum(len(x.decode()) for x in some) for some in (lines, set(lines))) if n_dup_lines else (1, 1)
     n_repeat_words, broken, top_most, dup_most = 0, False, 0.0, 0.0
-    top, dup, total = dict(rules.max_top_share), dict(rules.max_dup_share), max(1, len(joined))
+    top, dup, total = dict(rules.max_top_share), dict(rules.max_dup_share), max(1, word_chars)
     for n, hashes in rolling(word_numbers(words), rules.lengths):
         order = np.sort(hashes)
         if (order[1:] != order[:-1]).all():
@@ -109,7 +111,7 @@ def measure(text: bytes, rules: Rules = Rules()) -> tuple:
                 share = sizes[inside].sum() / total
                 dup_most = max(dup_most, share)
                 broken |= bool(share > dup[n])
-    dup_line_chars = dup_line_bytes / max(1, sum(map(len, lines)))
+    dup_line_chars = 1 - once / line_chars
     broken |= n_dup_lines > rules.max_dup_line_share * len(lines) and n_dup_lines > 2
     broken |= dup_line_chars > rules.max_dup_line_chars
     broken |= n_symbols > rules.max_symbols_per_word * n_words

@@ -288,6 +288,46 @@ def test_repetition_base_matches_brute_force(spark):
     assert got == sorted(((i, *slow_base(t)) for i, t in rows), key=repr)
 
 
+def slow_verdict(text, rules):
+    """kept and the shares, from all n-grams of a text as tuples of words."""
+    words, lines = words_of(text), [x for x in (text or "").split("\n") if words_of(x)]
+    total, broken, tops, dups = max(1, sum(map(len, words))), False, [0.0], [0.0]
+    for n, most in rules.max_top_share:
+        grams = Counter(zip(*(words[i:] for i in range(n))))
+        times = max(grams.values(), default=0)
+        if times >= rules.top_least and times > 1:
+            tops.append(max(times * sum(map(len, g)) for g, c in grams.items() if c == times) / total)
+            broken |= tops[-1] > most
+    for n, most in rules.max_dup_share:
+        grams = Counter(zip(*(words[i:] for i in range(n))))
+        inside = {i + j for i, g in enumerate(zip(*(words[i:] for i in range(n)))) if grams[g] > 1 for j in range(n)}
+        dups.append(sum(len(words[i]) for i in inside) / total)
+        broken |= dups[-1] > most
+    repeated = len(lines) - len(set(lines))
+    share = sum(map(len, lines)) - sum(map(len, set(lines)))
+    share = share / sum(map(len, lines)) if lines else 0.0
+    broken |= (repeated > rules.max_dup_line_share * len(lines) and repeated > 2) or share > rules.max_dup_line_chars
+    broken |= len(re.findall(r"[#*$%&|<>]", text or "")) > rules.max_symbols_per_word * len(words)
+    return not (slow_base(text)[-1] or broken), max(tops), max(dups), share
+
+
+def test_repetition_verdict_matches_brute_force():
+    rng, rules, kept = np.random.default_rng(6), repetition.Rules(), Counter()
+    for seed in range(300):
+        words = prose(seed, int(rng.integers(10, 150))).split(" ")
+        for _ in range(int(rng.integers(0, 4))):
+            a, n = int(rng.integers(len(words))), int(rng.integers(2, 12))
+            words = words + words[a : a + n] * int(rng.integers(1, 6))
+        if seed % 3 == 0:
+            words = [w.replace("a", "日本").replace("e", "é") if rng.random() < 0.5 else w for w in words]
+        lines = " ".join(words).split("eta")
+        text = "\n".join(lines + lines[: int(rng.integers(0, 3))]) + " #" * int(rng.integers(0, 8))
+        got, want = repetition.measure(text.encode()), slow_verdict(text, rules)
+        assert got[6] == want[0] and got[7:] == pytest.approx(want[1:]), seed
+        kept[got[6]] += 1
+    assert min(kept[True], kept[False]) > 40
+
+
 def test_repetition_verdict(spark):
     clean = prose(11, 300)
     rows = [(1, clean), (2, "x y z w v " * 40), (3, None), (4, " ".join(w + "###" for w in clean.split()))]
