@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, pieces
 
-#: Pre-tokens whose ids a task remembers at most; beyond it the memory starts anew.
-MEMORY = 100_000
+#: Pre-tokens whose ids a task remembers at most, and their characters; beyond either the memory starts anew.
+MEMORY, MEMORY_CHARS = 100_000, 8_000_000
 #: Pre-tokens given to sentencepiece at once.
 BLOCK = 65_536
 
@@ -86,6 +86,7 @@ class Codec:
         self.packed = [b"", *(struct.pack("<I", i) for i in ids)]
         self.bytes_of = dict(zip(ids, tokens))
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def encode(self, text: str) -> bytes:
         """Ids of the text as little-endian unsigned 32-bit integers."""
@@ -93,9 +94,10 @@ class Codec:
         for at in range(0, len(parts), BLOCK):
             block = parts[at : at + BLOCK]
             if new := [p for p in dict.fromkeys(block) if p not in self.known]:
-                if len(self.known) + len(new) > MEMORY:
-                    self.known = {}
+                if len(self.known) + len(new) > MEMORY or self.held > MEMORY_CHARS:
+                    self.known, self.held = {}, 0
                     new = list(dict.fromkeys(block))
+                self.held += sum(map(len, new))
                 mapped = [p.encode().decode("latin-1").translate(self.shown) for p in new]
                 for part, ids in zip(new, self.pieces.encode(mapped, num_threads=1)):
                     self.known[part] = b"".join(map(self.packed.__getitem__, ids))
