@@ -4,7 +4,8 @@ Besides the fixed patterns, values that stand in a credential context ("pwd: x",
 "Authorization: Bearer x") are weighed by the guesses an attacker needs. A value is
 cut into dictionary words, dates, repeats, keyboard walks and sequences, and
 brute-force characters; the cheapest cut is its cost, in powers of ten. Values that
-cost at least ``min_log10`` are secrets; cheap ones are placeholders or prose.
+cost at least ``min_log10`` are secrets; cheap ones are placeholders or prose. After "is", where prose
+is likelier, a value must also not consist of dictionary words for the most part.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bytebpe import default_vocabulary, read_tokens
 from .common import map_texts
 
 #: Kinds of spans in the order that breaks ties.
@@ -26,13 +28,17 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
+#: A keyword, within an identifier or not, what may end the identifier, a separator and the value.
 CONTEXT = re.compile(
-    r"""(?ai:\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[ _-]?key|access[ _-]?key"""
-    r"""|private[ _-]?key|bearer|auth(?:orization)?))["'`]?\x20*(?:[:=]+>?|(?ai:is)\x20)\x20*(?:(?ai:bearer|basic)\x20+)?["'`]?([^\s"'`<>]+)"""
+    r"""(?ai:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[ _-]?key|access[ _-]?key|private[ _-]?key|bearer|\bauth(?:orization)?)"""
+    r"""(?ai:[_-]?(?:key|id|token|value|string|hash|secret|access[_-]key|prod|dev|test)s?|s)?[0-9]{0,3}["'`]?\x20*"""
+    r"""(?:[:=]+>?|(?P<prose>(?ai:is)\x20))\x20*(?:(?ai:bearer|basic)\x20+)?["'`]?(?P<value>[^\s"'`<>]+)"""
 )
 #: Each text that holds a match of ASSIGN or CONTEXT holds one of these, in some case.
 HINTS = ("pass", "pwd", "secret", "token", "credential", "key", "bearer", "auth")
 
+#: Part of a value's letters in dictionary words from which on a value after "is" counts as prose.
+MAX_WORD_SHARE = 0.75
 #: Common password words, the most frequent first.
 WORDS = (
     "password pass qwerty admin welcome letmein monkey dragon master login princess sunshine shadow football "
@@ -57,6 +63,15 @@ JOIN_COST = math.log10(2)
 UNIT = 8
 
 
+def dictionary(path: str | None = None) -> tuple[str, ...]:
+    """Words, the most frequent first: WORDS, then those of 3 to 16 letters that a public tokenizer's rank file holds.
+
+    Ranks of such a file follow frequency in the text it was made from. There are some 30,000 words."""
+    tokens, _ = read_tokens(path or default_vocabulary()[0])
+    whole = (t.decode(errors="ignore").strip().lower() for t in tokens)
+    return (*WORDS, *dict.fromkeys(w for w in whole if 3 <= len(w) <= 16 and w.isascii() and w.isalpha() and w not in WORDS))
+
+
 def _neighbours() -> set[str]:
     pairs = set()
     for row in ROWS:
@@ -80,7 +95,8 @@ def brute_cost(char: str) -> float:
 def guess_cost(words: tuple[str, ...] = tuple(WORDS)) -> Callable[[str], float]:
     """Function of a value: log10 of the guesses of its cheapest segmentation.
 
-    Time grows in proportion to the value's length."""
+    Time grows in proportion to the value's length. The function's ``word_share`` is the part of the last value's
+    letters that this segmentation took as words."""
     rank = {w: math.log10(i) for i, w in reversed(list(enumerate(words, 1)))}
     longest = max(map(len, rank), default=0)
     adjacent = _neighbours()
@@ -97,28 +113,30 @@ def guess_cost(words: tuple[str, ...] = tuple(WORDS)) -> Callable[[str], float]:
         for pattern, price in ((DATE, DATE_COST), (YEAR, YEAR_COST)):
             for m in pattern.finditer(value):
                 found.setdefault(m.end(), []).append((m.start(), price))
-        best = [0.0] * (n + 1)
+        best, in_words = [0.0] * (n + 1), [0] * (n + 1)
         runs = [[1] * (n + 1) for _ in range(UNIT + 1)]  # repeats of a unit that end before each position
         for j in range(1, n + 1):
-            low = best[j - 1] + brute_cost(value[j - 1])
+            low, held = best[j - 1] + brute_cost(value[j - 1]), in_words[j - 1]
             for i in range(max(0, j - longest), j - 1):
                 price = rank.get(plain[i:j])
                 if price is not None:
                     price += JOIN_COST * ((value[i:j] != lower[i:j]) + (lower[i:j] != plain[i:j]))
-                    low = min(low, best[i] + price + JOIN_COST)
-            for i, price in found.get(j, ()):
-                low = min(low, best[i] + price + JOIN_COST)
+                    if best[i] + price + JOIN_COST < low:
+                        low, held = best[i] + price + JOIN_COST, in_words[i] + j - i
+            others = list(found.get(j, ()))
             if walk[j] >= 3:
-                i = j - walk[j]
-                low = min(low, best[i] + walk_start + walk_step * (walk[j] - 1) + JOIN_COST)
+                others.append((j - walk[j], walk_start + walk_step * (walk[j] - 1)))
             for unit in range(1, min(UNIT, j // 2) + 1):
                 if value[j - unit : j] == value[j - 2 * unit : j - unit]:
                     times = runs[unit][j] = runs[unit][j - unit] + 1
                     if times * unit >= 3:
                         i = j - times * unit
-                        once = sum(map(brute_cost, value[i : i + unit]))
-                        low = min(low, best[i] + once + math.log10(times) + JOIN_COST)
-            best[j] = low
+                        others.append((i, sum(map(brute_cost, value[i : i + unit])) + math.log10(times)))
+            for i, price in others:
+                if best[i] + price + JOIN_COST < low:
+                    low, held = best[i] + price + JOIN_COST, in_words[i]
+            best[j], in_words[j] = low, held
+        cost.word_share = in_words[n] / max(1, sum(map(str.isalpha, value)))
         return best[n]
 
     return cost
@@ -137,12 +155,12 @@ def spans(text: str, cost: Callable[[str], float], min_log10: float) -> list[tup
     if hinted:
         base = sorted((a, b) for _, a, b, _ in out)
         for m in CONTEXT.finditer(text):
-            value = m[1].rstrip(".,;:!?)]}")
-            start, end = m.start(1), m.start(1) + len(value)
+            value = m["value"].rstrip(".,;:!?)]}")
+            start, end = m.start("value"), m.start("value") + len(value)
             if any(a <= start and end <= b for a, b in base):
                 continue
             price = cost(value)
-            if price >= min_log10:
+            if price >= min_log10 and not (m["prose"] and cost.word_share >= MAX_WORD_SHARE):
                 out.append((3, start, end, price))
     return sorted(out, key=lambda s: (s[1], s[0]))
 
@@ -152,17 +170,18 @@ def scan(
     id_col: str = "doc_id",
     text_col: str = "text",
     min_log10: float = 10.0,
-    words: tuple[str, ...] = tuple(WORDS),
+    words: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """One row for each row of ``docs``: doc_id, spans array<struct<kind, start, end, log10_guesses>>.
 
     Positions count code points, ends are exclusive; base kinds have null guesses. A
     context value inside a base span is not reported again. Null and empty texts have
     no spans; repeated rows each return their row; other columns are ignored; an empty
-    table gives an empty result."""
+    table gives an empty result. ``words`` (by default ``dictionary()``) are broadcast: a parameter of fixed size."""
+    shared = docs.sparkSession.sparkContext.broadcast(dictionary() if words is None else words)
 
     def per_text() -> Callable[[str], tuple]:
-        cost = guess_cost(words)
+        cost = guess_cost(shared.value)
 
         def one(text: str) -> tuple:
             return ([{"kind": KINDS[k], "start": a, "end": b, "log10_guesses": g} for k, a, b, g in spans(text, cost, min_log10)],)

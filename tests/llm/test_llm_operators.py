@@ -428,6 +428,17 @@ def test_secret_base_spans_match_plain_loop(spark):
     assert [k for k, _, _ in got[7]] == ["guess"] and got[8] == [] and "guess" in [k for k, _, _ in got[11]]
 
 
+def test_credential_contexts(spark):
+    secret = ["AWS_SECRET_ACCESS_KEY=wJalr:XUtnFEMI/K7MD!NG", "SECRET_KEY = 'q!7$kf)02@x9#Lm'", "DB_PWD=k!X9#vQ2m!zL7", "dbPassword: k!X9#vQ2m!zL7", "client_private_key: z$8Qp~w2!Lr0", "the password is kX9vQ2mzL7wp4."]
+    clean = ["the password is important", "the secret is definitely out", "password is development-environment", "the passphrase is johnathan", "token is configuration-management-service",
+             "author: somebody", "max_tokens: 4096", "compass: north-east", "pwd: qwertyuiop", "the secret is 2020-01-31."]
+    rows = list(enumerate(secret + clean))
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secretscan.scan(frame(spark, rows)).collect()}
+    assert [i for i in got if got[i]] == list(range(len(secret))), {t: got[i] for i, t in rows}
+    words = secretscan.dictionary()
+    assert len(words) > 20_000 and len(set(words)) == len(words)
+
+
 def test_guess_cost_is_the_cheapest_segmentation():
     words = ("pass", "word", "abc")
     cost = secretscan.guess_cost(words)
