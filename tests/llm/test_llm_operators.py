@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import os
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -463,16 +465,41 @@ def test_guess_cost_is_the_cheapest_segmentation():
 
 
 def test_license_scan(spark):
-    mit = licenses.KNOWN[4][1]
+    mit = licenses.MIT
     shouted = "Copyright (c) 2020 Somebody\n\n" + mit.upper().replace("LICENSE", "LICENCE").replace(". ", ".\n")
     rows = [(1, mit), (2, shouted), (3, "text\nReleased under the MIT Licence\nmore\nLicensed under CC BY-NC 4.0."), (4, "quoting: released under the MIT License."), (5, None), (6, ""), (1, mit)]
-    got = sorted((r["doc_id"], r["document_license"], r["n_license_lines"], r["licenses"]) for r in licenses.scan(frame(spark, rows)).collect() if r["doc_id"] < 4)
+    rows += [(None, "SPDX-License-Identifier: MPL-2.0"), (None, "nothing")]
+    got = sorted((r["doc_id"], r["document_license"], r["n_license_lines"], r["licenses"]) for r in licenses.scan(frame(spark, rows)).collect() if (r["doc_id"] or 9) < 4)
     assert got == [(1, "MIT", 1, "MIT"), (1, "MIT", 1, "MIT"), (2, "MIT", 0, "MIT"), (3, None, 2, "CC-BY-NC-4.0,MIT")]
-    rest = [r for r in licenses.scan(frame(spark, rows)).collect() if r["doc_id"] >= 4]
+    rest = [r for r in licenses.scan(frame(spark, rows)).collect() if (r["doc_id"] or 0) >= 4]
     assert all(r["document_license"] is None and r["n_license_lines"] == 0 and r["licenses"] == "" for r in rest) and len(rest) == 3
+    assert sorted((r["document_license"] or "") for r in licenses.scan(frame(spark, rows)).collect() if r["doc_id"] is None) == ["", "MPL-2.0"]
     assert licenses.scan(frame(spark, [])).collect() == []
 
 
+def test_license_texts_in_their_usual_layout(spark):
+    """Bodies wrapped anew, with a title, a copyright line, comment marks and list marks of another kind."""
+    rows = []
+    for n, (name, body, titles) in enumerate(licenses.TITLED):
+        wrapped = "\n".join("\n".join(textwrap.wrap(x, 70)) for x in body.split("\n"))
+        for i, title in enumerate(("", *titles)):
+            text = f"{title}\n\nCopyright (c) 2019-2021, Some Body <a@b.example>\nAll rights reserved.\n\n{wrapped}\n"
+            rows += [(10 * n + i, text), (10 * n + i, re.sub(r"(?m)^\d\. ", "* ", text).lower()), (10 * n + i, "\n".join("# " + x for x in text.split("\n")))]
+    got = Counter((r["doc_id"], r["document_license"]) for r in licenses.scan(frame(spark, rows)).collect())
+    assert got == Counter((i, licenses.TITLED[i // 10][0]) for i, _ in rows)
+    changed = [(i, t.replace("software", "hardware", 1)) for i, t in rows if "software" in t and len(t) > 500]
+    assert {r["document_license"] for r in licenses.scan(frame(spark, changed)).collect()} == {None}
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="needs the system's license texts")
+def test_long_license_texts_by_digest(spark):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = [(i, open(f"/usr/share/common-licenses/{n}", encoding="utf-8").read()) for i, n in enumerate(names) if os.path.exists(f"/usr/share/common-licenses/{n}")]
+    rows += [(i, " ".join(t.upper().split(" "))) for i, t in rows] + [(i, t.split("END OF TERMS AND CONDITIONS")[0]) for i, t in rows]
+    want = dict(enumerate(names.values()))
+    assert all(r["document_license"] == want[r["doc_id"]] for r in licenses.scan(frame(spark, rows)).collect())
+
+
 # 9
 
 
