@@ -112,16 +112,17 @@ def labelled_sample(
 ) -> DataFrame:
     """(doc_id, text, label) of at most ``fit_rows`` labelled rows that are not held out, picked by hash.
 
-    The picked ids are broadcast: ``fit_rows`` bounds them."""
+    The picked ids are broadcast: ``fit_rows`` bounds them. Of texts that share an id the first in order stands for it, so
+    the result has no more rows than were picked."""
     usable = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
-    usable = usable.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
+    usable = usable.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"))).distinct()
     # a share of the hash range that holds somewhat more than is asked for, so that what is sorted is as small as the sample
     parts = 1_000_000
-    share = min(parts, -(-2 * fit_rows * parts // max(1, usable.count())))
+    share = min(parts, -(-(2 * fit_rows + 100) * parts // max(1, usable.count())))
     near = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < share)
     picked = near.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(fit_rows)
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(picked), "doc_id")
+    return texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def pieces(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:

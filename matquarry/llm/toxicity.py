@@ -1,10 +1,10 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and word beginnings, lower-cased; the labels pick a bounded vocabulary,
-document frequencies come from all documents. The examples' vectors lie in an
+Terms are words and word beginnings, lower-cased; the ``vocabulary_size`` terms that tell the labels apart
+most, half of them for either label, are the vocabulary. Document frequencies come from all documents. The examples' vectors lie in an
 inverted index cut into blocks of consecutive examples, with the largest weight of each
 term in each block. A search bounds every block by the query's weights times those
-maxima, visits blocks from the highest bound down, and stops when no bound reaches
+maxima, visits the quarter with the highest bounds, then those whose bound still reaches
 the k-th best similarity: its result is exact. Neighbours vote by their similarity;
 the votes, calibrated on examples scored without themselves, are the score, and the
 neighbours are its evidence.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, map_batches
+from .common import held_out, labelled_sample, map_batches, rewritten
 
 STRIP = ".,;:!?()[]{}\"'«»…"
 #: Lengths of the word beginnings that are terms.
@@ -32,34 +32,43 @@ MEMORY = 200_000
 
 
 def word_terms(word: str) -> list[str]:
-    """Terms of a word: itself, and its beginnings, marked by an asterisk."""
+    """Terms of a word: itself, and its beginnings, marked by an asterisk. Words of fewer than three characters have none."""
     plain = word.strip(STRIP)
-    return [plain, *(plain[:n] + "*" for n in BEGINNINGS if len(plain) > n)] if plain else []
+    return [plain, *(plain[:n] + "*" for n in BEGINNINGS if len(plain) > n)] if len(plain) >= BEGINNINGS[0] else []
 
 
 class Counts:
     """Term counts of texts over a vocabulary.
 
-    Most words begin like no term at all, which one look-up tells; words that hold terms
-    are remembered."""
+    Most words begin like no term at all, which one look-up tells; the others are remembered."""
 
     def __init__(self, vocabulary: list[str]) -> None:
         self.number = {t: i for i, t in enumerate(vocabulary)}
-        self.least = min([len(t.rstrip("*")) for t in vocabulary], default=0)
-        self.heads = {t[: self.least] for t in vocabulary}
+        least = BEGINNINGS[0]
+        self.heads = {t[:least] for t in vocabulary}
+        self.beginnings = {t[:n] for t in vocabulary if t[-1] == "*" for n in range(least, len(t))}
         self.known: dict[str, tuple[int, ...]] = {}
 
+    def terms_of(self, word: str) -> list[int]:
+        """Numbers of the terms of ``word_terms``; longer beginnings are not tried where no term begins like that."""
+        plain, number, least = word.strip(STRIP), self.number, BEGINNINGS[0]
+        found = [number[plain]] if len(plain) >= least and plain in number else []
+        for n in BEGINNINGS:
+            if n >= len(plain) or plain[:n] not in self.beginnings:
+                break
+            if (i := number.get(plain[:n] + "*")) is not None:
+                found.append(i)
+        return found
+
     def __call__(self, text: str) -> dict[int, int]:
         out: dict[int, int] = {}
-        known, number, heads, least = self.known, self.number, self.heads, self.least
+        known, number, heads, least = self.known, self.number, self.heads, BEGINNINGS[0]
         if len(known) > MEMORY:
             known.clear()
-        for word, times in Counter(text.lower().split()).items():
-            if word[:least] not in heads and (word[0] not in STRIP or word.strip(STRIP)[:least] not in heads):
-                continue
+        for word, times in [x for x in Counter(text.lower().split()).items() if x[0][:least] in heads or x[0][0] in STRIP]:
             found = known.get(word)
             if found is None:
-                found = known[word] = tuple(number[t] for t in word_terms(word) if t in number)
+                found = known[word] = tuple(self.terms_of(word))
             for i in found:
                 out[i] = out.get(i, 0) + times
         return out
@@ -93,13 +102,8 @@ def term_statistics(sample: DataFrame) -> DataFrame:
     return rows.groupBy("term").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
 
 
-def pick_terms(
-    statistics: DataFrame, size: int, n_positive: int, n_negative: int, least: float, least_share: float
-) -> list[str]:
-    """At most ``size`` terms by their log-likelihood ratio, of ``least`` or more.
-
-    Of the texts that hold a term, ``least_share`` or more must have label 1: other terms
-    say little and would tie most texts to most examples."""
+def pick_terms(statistics: DataFrame, size: int, n_positive: int, n_negative: int) -> list[str]:
+    """Terms of the largest log-likelihood ratio, ``size // 2`` that favour each label; ties by term."""
 
     def part(observed, expected):
         return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
@@ -110,9 +114,9 @@ def pick_terms(
         part(a, share * n_positive) + part(b, share * n_negative)
         + part(F.lit(n_positive) - a, (1 - share) * n_positive) + part(F.lit(n_negative) - b, (1 - share) * n_negative)
     )
-    good = statistics.where((a > 1) & (a * n_negative > b * n_positive) & (a >= least_share * (a + b))).withColumn("ratio", ratio)
-    rows = good.where(F.col("ratio") >= least).orderBy(F.col("ratio").desc(), "term").limit(size)
-    return sorted(r["term"] for r in rows.select("term").collect())
+    rated = statistics.withColumn("ratio", F.round(ratio, 9)).withColumn("lean", F.signum(a * n_negative - b * n_positive))
+    picked = [rated.where(F.col("lean") == lean).orderBy(F.col("ratio").desc(), "term").limit(size // 2).select("term") for lean in (1, -1)]
+    return sorted(r["term"] for r in picked[0].union(picked[1]).collect())
 
 
 def document_frequencies(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> tuple[int, np.ndarray]:
@@ -141,10 +145,13 @@ class BlockMaxIndex:
     """Inverted index of unit vectors in blocks of ``block`` consecutive examples.
 
     Postings are ordered by term, then example; ``bounds[t, b]`` is where those of term t
-    in block b begin, ``most[t, b]`` their largest weight."""
+    in block b begin, ``most[t, b]`` their largest weight. ``rank`` orders the examples by id; examples of one
+    ``twin`` number have equal vectors."""
 
-    ids: np.ndarray
+    ids: list
+    rank: np.ndarray
     labels: np.ndarray
+    twin: np.ndarray
     idf: np.ndarray
     examples: np.ndarray
     weights: np.ndarray
@@ -153,38 +160,35 @@ class BlockMaxIndex:
     block: int
 
     @classmethod
-    def build(cls, ids: list[int], labels: list[int], vectors: list[dict[int, float]], idf: np.ndarray, block: int = 64) -> BlockMaxIndex:
+    def build(cls, ids: list, labels: list[int], vectors: list[dict[int, float]], idf: np.ndarray, block: int = 64) -> BlockMaxIndex:
+        """Index of vectors that are not empty, ``ids`` in their order."""
         # examples that share their heaviest term stand together, which makes block bounds tight
-        order = sorted(range(len(ids)), key=lambda i: (max(vectors[i], key=vectors[i].__getitem__), ids[i]))
-        rows = [(t, new, w) for new, old in enumerate(order) for t, w in vectors[old].items()]
-        terms = np.array([r[0] for r in rows], np.int64)
-        examples = np.array([r[1] for r in rows], np.int64)
-        weights = np.array([r[2] for r in rows], float)
+        order = sorted(range(len(ids)), key=lambda i: (max(vectors[i], key=vectors[i].__getitem__), i))
+        sizes = [len(vectors[i]) for i in order]
+        terms = np.fromiter((t for i in order for t in vectors[i]), np.int64, sum(sizes))
+        weights = np.fromiter((w for i in order for w in vectors[i].values()), float, sum(sizes))
+        examples = np.repeat(np.arange(len(order)), sizes)
         by_term = np.lexsort((examples, terms))
         terms, examples, weights = terms[by_term], examples[by_term], weights[by_term]
         blocks = -(-len(ids) // block) or 1
         cell = terms * blocks + examples // block
         most = np.zeros(len(idf) * blocks)
         np.maximum.at(most, cell, weights)
-        bounds = np.searchsorted(cell, np.arange(len(idf) * blocks + 1))
-        shape = (len(idf), blocks)
-        flat = np.array([ids[i] for i in order], np.int64), np.array([labels[i] for i in order], np.int64)
-        return cls(*flat, idf, examples, weights, bounds, most.reshape(shape), block)
+        bounds = np.searchsorted(cell, np.arange(len(idf) * blocks + 1)).astype(np.int32)
+        twins: dict[tuple, int] = {}
+        twin = np.array([twins.setdefault(tuple(sorted(vectors[i].items())), len(twins)) for i in order], np.int64)
+        own = [ids[i] for i in order]
+        return cls(own, np.array(order, np.int64), np.array([labels[i] for i in order], np.int64), twin, idf, examples.astype(np.int32), weights, bounds, most.reshape(len(idf), blocks), block)
 
     def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        """Unit TF-IDF vector of term counts; empty without terms.
-
-        The last entry of ``idf`` weighs a term that every text holds once. Beside it the
-        other terms keep their amount: without it one word and twenty point the same way."""
-        if counts:
-            counts = {**counts, len(self.idf) - 1: 1}
+        """Unit TF-IDF vector of term counts; empty without terms."""
         raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
         norm = math.sqrt(sum(w * w for w in raw.values()))
         return {t: w / norm for t, w in raw.items()} if norm else {}
 
     def nearest(self, vector: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
-        """(similarity, example) of the k nearest examples that share a term, ties to the smaller id."""
-        if not vector or not len(self.ids):
+        """(similarity, example) of the k nearest examples that share a term, ties to the smaller id; none of the twin ``without``."""
+        if not vector or not self.ids:
             return []
         terms = np.fromiter(vector, np.int64, len(vector))
         query = np.fromiter(vector.values(), float, len(vector))
@@ -193,29 +197,31 @@ class BlockMaxIndex:
         order = order[bound[order] > 0]
         blocks = self.most.shape[1]
         best_s, best_e = np.zeros(0), np.zeros(0, np.int64)
-        at, step = 0, 8
-        while at < len(order):
-            if len(best_s) >= k and bound[order[at]] < best_s[k - 1] - 1e-9:
-                break
-            taken = order[at : at + step]
+        taken, rest = np.split(order, [max(8, blocks // 4)])
+        while len(taken):
             cells = (terms[:, None] * blocks + taken[None, :]).ravel()
-            lo, size = self.bounds[cells], self.bounds[cells + 1] - self.bounds[cells]
+            lo = self.bounds[cells]
+            size = self.bounds[cells + 1] - lo
+            held = np.flatnonzero(size)
+            lo, size = lo[held], size[held]
             # positions lo, lo + 1, … of every cell, one after the other
             ends = np.cumsum(size)
             spots = np.arange(ends[-1]) + np.repeat(lo - ends + size, size)
-            place = np.repeat(np.tile(np.arange(len(taken)), len(terms)), size) * self.block + self.examples[spots] % self.block
-            sums = np.bincount(place, self.weights[spots] * np.repeat(np.repeat(query, len(taken)), size), len(taken) * self.block)
-            hit = np.flatnonzero(sums)
-            found = taken[hit // self.block] * self.block + hit % self.block
-            mine = found != without
-            best_s = np.concatenate([best_s, np.round(sums[hit][mine], 12)])
-            best_e = np.concatenate([best_e, found[mine]])
-            if len(best_s) > k:
-                keep = best_s >= np.partition(best_s, len(best_s) - k)[len(best_s) - k]
-                best_s, best_e = best_s[keep], best_e[keep]
-            rank = np.lexsort((self.ids[best_e], -best_s))[:k]
-            best_s, best_e = best_s[rank], best_e[rank]
-            at, step = at + step, step * 2
+            found = self.examples[spots]
+            sums = np.bincount(found, self.weights[spots] * np.repeat(query[held // len(taken)], size), len(self.ids))
+            found = np.flatnonzero(sums)
+            if without >= 0:
+                found = found[self.twin[found] != without]
+            near = np.round(sums[found], 12)
+            if len(near) > k:
+                keep = near >= np.partition(near, len(near) - k)[len(near) - k]
+                found, near = found[keep], near[keep]
+            best_s, best_e = np.concatenate([best_s, near]), np.concatenate([best_e, found])
+            first = np.lexsort((self.rank[best_e], -best_s))[:k]
+            best_s, best_e = best_s[first], best_e[first]
+            if len(best_s) == k:
+                rest = rest[bound[rest] >= best_s[-1] - 1e-9]
+            taken, rest = rest, rest[:0]
         return list(zip(best_s.tolist(), best_e.tolist()))
 
 
@@ -268,24 +274,22 @@ def train(
     labels: DataFrame,
     label_col: str = "toxic",
     fit_rows: int = 20_000,
-    vocabulary_size: int = 2048,
-    least_ratio: float = 24.0,
-    least_share: float = 0.5,
-    presence: float = 12.0,
+    vocabulary_size: int = 1024,
     k: int = 15,
     calibration_rows: int = 2000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> Model:
-    """Index of at most ``fit_rows`` labelled rows that are not held out.
+    """Index of at most ``fit_rows`` labelled rows that are not held out, one row an id.
 
-    What reaches the driver is bounded by ``fit_rows`` and ``vocabulary_size``; texts do not."""
-    sample = labelled_sample(docs, labels, label_col, fit_rows, id_col, text_col)
+    The votes are calibrated on some ``calibration_rows`` of them with different vectors, spread evenly over their order, each scored
+    without the examples of its own vector. What reaches the driver is bounded by ``fit_rows`` and ``vocabulary_size``; texts do not."""
+    sample = rewritten(labelled_sample(docs, labels, label_col, fit_rows, id_col, text_col))
     totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     positive, negative = totals.get(1, 0), totals.get(0, 0)
-    vocabulary = pick_terms(term_statistics(sample), vocabulary_size, positive, negative, least_ratio, least_share) if positive and negative else []
+    vocabulary = pick_terms(term_statistics(sample), vocabulary_size, positive, negative) if positive and negative else []
     rows, frequency = document_frequencies(docs, vocabulary, text_col) if vocabulary else (0, np.zeros(0, np.int64))
-    idf = np.append(np.log((rows + 1) / (frequency + 1)) + 1, presence)
+    idf = np.log((rows + 1) / (frequency + 1)) + 1
     keyed = sample.select(F.struct("doc_id", "label").alias("key"), "text")
 
     def per_task():
@@ -300,7 +304,7 @@ def train(
     counted = map_batches(keyed, "key", "text", "terms array<int>, times array<int>", per_task, encoded=False)
     examples = sorted(
         ((r["doc_id"]["doc_id"], r["doc_id"]["label"], dict(zip(r["terms"], r["times"]))) for r in counted.collect()),
-        key=lambda r: (r[0], r[1], sorted(r[2].items())),
+        key=lambda r: (r[0], r[1]),
     )
     held = [e for e in examples if e[2]]
     empty = BlockMaxIndex.build([], [], [], idf)
@@ -308,10 +312,10 @@ def train(
     bare = [e[1] for e in examples if not e[2]]
     share = (positive + 0.5) / (positive + negative + 1)
     model = Model(vocabulary, index, share, (sum(bare) + share) / (len(bare) + 1), 1.0, 0.0, k)
-    own = {tuple(sorted(e[2].items())): e for e in held}
-    place = {int(i): e for e, i in enumerate(index.ids)}
-    tried = list(own.values())[:: max(1, len(own) // calibration_rows)]
-    votes = [(model.vote(index.nearest(index.vector(e[2]), k, place[e[0]])), e[1]) for e in tried]
+    _, tried = np.unique(index.twin, return_index=True)
+    tried = tried[:: max(1, len(tried) // calibration_rows)].tolist()
+    own = ((i, held[index.rank[i]]) for i in tried)
+    votes = [(model.vote(index.nearest(index.vector(e[2]), k, int(index.twin[i]))), e[1]) for i, e in own]
     model.slope, model.shift = platt(np.array([v for v, _ in votes]), np.array([y for _, y in votes], float))
     return model
 
@@ -331,12 +335,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
         def one(text: str) -> tuple[float, list]:
             found = index.nearest(index.vector(counts(text)), own.k)
-            seen = [{"doc_id": int(index.ids[e]), "similarity": s, "label": int(index.labels[e])} for s, e in found[:evidence]]
+            seen = [{"doc_id": index.ids[e], "similarity": s, "label": int(index.labels[e])} for s, e in found[:evidence]]
             return own.score(found), seen
 
         return lambda texts: zip(*map(one, texts))
 
-    schema = "score double, evidence array<struct<doc_id: long, similarity: double, label: int>>"
+    id_type = docs.select(F.col(f"`{id_col}`")).schema[0].dataType.simpleString()
+    schema = f"score double, evidence array<struct<doc_id: {id_type}, similarity: double, label: int>>"
     return map_batches(docs, id_col, text_col, schema, per_task, encoded=False)
 
 
