@@ -8,7 +8,9 @@ a beam; what the beams return is scored again in double precision on the origina
 vectors, and the best of all shards are the result.
 
 Blocks of queries meet shard graphs by a cogrouped shuffle on (shard, block), so a
-task holds one graph and one block of queries whatever the size of the tables.
+task holds one graph and one block of queries whatever the size of the tables. Both are large, as each
+graph is sent once a block and each block once a graph. A shard of no more points than the beam is compared whole:
+with ``beam`` of ``shard_rows`` or more the search is exact.
 """
 
 from __future__ import annotations
@@ -200,7 +202,13 @@ def build_index(
         )
 
     schema = "dim int, shard int, n int, ids binary, vectors binary, graph binary, entries binary"
-    return dealt.groupBy("dim", "shard").applyInPandas(build, schema)
+    # a stated number of partitions: shards are small for what building one takes, and would be put together in few tasks
+    return dealt.repartition(_spread(counts.agg(F.sum("shards")).first()[0]), "dim", "shard").groupBy("dim", "shard").applyInPandas(build, schema)
+
+
+def _spread(groups: int | None) -> int:
+    """Partitions over which hashing deals so many groups with few in one."""
+    return 4 * int(groups or 0) + 1
 
 
 def nearest(
@@ -209,12 +217,12 @@ def nearest(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     k: int = 5,
-    shard_rows: int = 4096,
+    shard_rows: int = 16_384,
     degree: int = 32,
     build_beam: int = 64,
     alpha: float = 1.2,
     beam: int = 128,
-    query_block: int = 2048,
+    query_block: int = 8192,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``queries`` its k nearest rows of ``vectors``.
 
@@ -249,10 +257,12 @@ def nearest(
             own = block["query_id"].to_numpy()
             for at in range(0, len(block), STEP):
                 here = slice(at, at + STEP)
-                rows, _ = beam_search(x, graph, entries, asked[here], beam)
-                keep = rows[:, : 4 * (k + 1)]
-                safe = np.minimum(keep, len(ids) - 1)
-                score = np.where(keep < len(ids), cosine(original[safe], exact[here][:, None, :]), -np.inf)
+                if len(ids) > beam:
+                    rows, _ = beam_search(x, graph, entries, asked[here], beam)
+                else:
+                    rows = np.tile(np.arange(len(ids)), (len(asked[here]), 1))
+                safe = np.minimum(rows, len(ids) - 1)
+                score = np.where(rows < len(ids), cosine(original[safe], exact[here][:, None, :]), -np.inf)
                 names = np.where(np.isneginf(score)[..., None], -(2**63), ids[safe])
                 for i in range(len(rows)):
                     one, value = names[i].ravel(), np.repeat(score[i], k + 1)
@@ -271,7 +281,8 @@ def nearest(
         )
 
     right = right.withColumn("q_hash", F.xxhash64("q"))
-    keys = ["dim", "shard", "block"]
+    keys, tasks = ["dim", "shard", "block"], _spread(left.count())
+    left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
     each = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, q_hash long, vec_id long, score double")
     order = Window.partitionBy("query_id", "q_hash").orderBy(F.col("score").desc(), "vec_id")
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
