@@ -10,8 +10,9 @@ a shard (children keyed by their Hamming distance to the parent) and follows, fr
 each node, only the edges whose distance is within the radius of the probe's own.
 A shard above ``shard_rows`` fingerprints is cut into sub-shards, and each pair of
 sub-shards is a tree probed by the other: no task holds more than two sub-shards.
-A shard tree reaches its probes through the shuffle instead of a broadcast, as the
-trees together grow with the corpus and nothing bounds them. Links leave a shard as a
+Where there are no more than ``broadcast_rows`` distinct fingerprints, the trees of all shards are broadcast and each task
+probes them with its own fingerprints. Trees grow with the corpus, so beyond that bound a tree
+meets its probes through the shuffle. Links leave a task as a
 spanning forest, never as all pairs, and components are joined by rounds of
 large-star and small-star hooks over checkpointed edges.
 """
@@ -19,6 +20,7 @@ large-star and small-star hooks over checkpointed edges.
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -60,9 +62,9 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 class BKTree:
     """A Burkhard-Keller tree of distinct unsigned 64-bit numbers under Hamming distance."""
 
-    def __init__(self) -> None:
-        self.values: list[int] = []
-        self.children: list[dict[int, int]] = []
+    def __init__(self, values: list[int] | None = None, children: list[dict[int, int]] | None = None) -> None:
+        self.values = values or []
+        self.children = children or []
 
     def add(self, value: int) -> None:
         new, at = len(self.values), 0
@@ -92,33 +94,43 @@ class BKTree:
         return found
 
 
-def shard_links(tree_values: list[int], probes: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the shard: (value, representative of its tree).
+class Forest:
+    """Spanning links of what was joined: (value, representative of its tree)."""
 
-    ``probes`` empty: the values are probed against each other as the tree grows."""
-    tree, parent = BKTree(), {}
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
 
-    def root(x: int) -> int:
+    def root(self, x: int) -> int:
+        parent = self.parent
         while parent.get(x, x) != x:
             parent[x] = x = parent.get(parent[x], parent[x])
         return x
 
-    def join(a: int, b: int) -> None:
-        a, b = root(a), root(b)
-        parent.setdefault(a, a)
-        parent.setdefault(b, b)
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        self.parent.setdefault(a, a)
+        self.parent.setdefault(b, b)
         if a != b:
-            parent[max(a, b)] = min(a, b)
+            self.parent[max(a, b)] = min(a, b)
+
+    def links(self) -> list[tuple[int, int]]:
+        return [(x, r) for x in self.parent if (r := self.root(x)) != x]
+
 
+def shard_links(tree_values: list[int], probes: list[int], radius: int) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the shard.
+
+    ``probes`` empty: the values are probed against each other as the tree grows."""
+    tree, forest = BKTree(), Forest()
     for value in tree_values:
         if not probes:
             for at in tree.within(value, radius):
-                join(value, tree.values[at])
+                forest.join(value, tree.values[at])
         tree.add(value)
     for value in probes:
         for at in tree.within(value, radius):
-            join(value, tree.values[at])
-    return [(x, r) for x in parent if (r := root(x)) != x]
+            forest.join(value, tree.values[at])
+    return forest.links()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -126,8 +138,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_texts(docs, id_col, text_col, "fp long", lambda: lambda text: (fingerprint(text, width),))
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = 3, shard_rows: int = 2048) -> DataFrame:
-    """(u, v): links that span every component of the distinct fingerprints ``fp`` at ``radius``."""
+def banded(distinct: DataFrame, radius: int) -> DataFrame:
+    """(fp, band, value): the shards of each fingerprint."""
     bands = radius + 1
     size = -(-64 // bands)
     mask = (1 << size) - 1
@@ -135,11 +147,18 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3, shard_rows: int = 20
         F.struct(F.lit(b).alias("band"), F.shiftrightunsigned("fp", b * size).bitwiseAND(F.lit(mask)).alias("value"))
         for b in range(bands)
     ]
-    banded = distinct.select("fp", F.inline(F.array(*keys)))
-    counts = banded.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
+    return distinct.select("fp", F.inline(F.array(*keys)))
+
+
+def fingerprint_links(distinct: DataFrame, radius: int = 3, shard_rows: int = 2048, broadcast_rows: int = 65_536) -> DataFrame:
+    """(u, v): links that span every component of the distinct fingerprints ``fp`` at ``radius``."""
+    dealt = banded(distinct, radius)
+    counts = dealt.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
+    if distinct.count() <= broadcast_rows:
+        return _probe_broadcast(dealt.join(counts, ["band", "value"]), radius).distinct()
     cuts = F.ceil(F.col("n") / F.lit(shard_rows)).cast("int")
     dealt = (
-        banded.join(counts, ["band", "value"])
+        dealt.join(counts, ["band", "value"])
         .withColumn("cuts", cuts)
         .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
@@ -161,6 +180,43 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3, shard_rows: int = 20
     )
 
 
+def _unsigned(batch: pa.RecordBatch, column: str) -> list[int]:
+    return batch.column(column).to_numpy(zero_copy_only=False).view(np.uint64).tolist()
+
+
+def _links_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+
+def _probe_broadcast(dealt: DataFrame, radius: int) -> DataFrame:
+    """Links of few fingerprints: tasks build the trees of the shards, all trees are broadcast, and tasks probe them."""
+
+    def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees: dict[tuple[int, int], BKTree] = {}
+        for batch in batches:
+            for *shard, value in zip(batch.column("band").to_pylist(), batch.column("value").to_pylist(), _unsigned(batch, "fp")):
+                trees.setdefault(tuple(shard), BKTree()).add(value)
+        plain = {shard: (tree.values, tree.children) for shard, tree in trees.items()}
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(plain)], pa.binary())], names=["trees"])
+
+    dealt = materialise(dealt)
+    built = dealt.repartition("band", "value").mapInArrow(build, "trees binary").collect()
+    shared = dealt.sparkSession.sparkContext.broadcast([r["trees"] for r in built])
+
+    def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = {shard: BKTree(*tree) for some in shared.value for shard, tree in pickle.loads(some).items()}
+        forest = Forest()
+        for batch in batches:
+            for *shard, value in zip(batch.column("band").to_pylist(), batch.column("value").to_pylist(), _unsigned(batch, "fp")):
+                tree = trees[tuple(shard)]
+                for at in tree.within(value, radius):
+                    forest.join(value, tree.values[at])
+        yield _links_batch(forest.links())
+
+    return dealt.select("fp", "band", "value").mapInArrow(probe, "u long, v long")
+
+
 def _search_shards(batches: Iterable[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Search the shards of a partition that is sorted by shard."""
 
@@ -170,10 +226,6 @@ def _search_shards(batches: Iterable[pa.RecordBatch], radius: int) -> Iterator[p
             return shard_links(values, [], radius)
         return shard_links([v for v, t in zip(values, in_tree) if t], [v for v, t in zip(values, in_tree) if not t], radius)
 
-    def emit(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
-
     rest: tuple | None = None
     for batch in batches:
         keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
@@ -187,11 +239,11 @@ def _search_shards(batches: Iterable[pa.RecordBatch], radius: int) -> Iterator[p
         for lo, hi in zip(bounds, bounds[1:]):
             found += links(values[lo:hi], trees[lo:hi], keys[2, lo] != keys[3, lo])
         if found:
-            yield emit(found)
+            yield _links_batch(found)
         rest = tuple(x[..., bounds[-1] :] for x in (keys, trees, values))
     if rest is not None and rest[2].size:
         if found := links(rest[2], rest[1], rest[0][2, 0] != rest[0][3, 0]):
-            yield emit(found)
+            yield _links_batch(found)
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -230,6 +282,7 @@ def near_duplicates(
     width: int = 3,
     radius: int = 3,
     shard_rows: int = 2048,
+    broadcast_rows: int = 65_536,
 ) -> DataFrame:
     """One row for each row of ``docs``: doc_id, fingerprint (16 hex digits), component_id, n_links.
 
@@ -240,7 +293,7 @@ def near_duplicates(
     An empty table gives an empty result."""
     marked = materialise(fingerprints(docs, id_col, text_col, width))
     distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    links = materialise(fingerprint_links(distinct, radius, shard_rows))
+    links = materialise(fingerprint_links(distinct, radius, shard_rows, broadcast_rows))
     stars = connected_components(links)
     member = stars.union(stars.select(F.col("root").alias("u"), "root").distinct()).withColumnRenamed("u", "fp")
     named = member.join(distinct, "fp").select("fp", "root", "first_id")
@@ -299,6 +352,7 @@ def drop_near_duplicates(
     width: int = 3,
     radius: int = 3,
     shard_rows: int = 2048,
+    broadcast_rows: int = 65_536,
 ) -> DataFrame:
     """``docs`` with one row of each component of fingerprints, as ``keep_heads`` picks it, whatever the ids are."""
 
@@ -306,7 +360,7 @@ def drop_near_duplicates(
         return fingerprint(text, width), hashlib.sha256(text).digest()
 
     marked = materialise(map_texts(docs, id_col, text_col, "fp long, digest binary", lambda: per_text))
-    links = materialise(fingerprint_links(marked.select("fp").distinct(), radius, shard_rows))
+    links = materialise(fingerprint_links(marked.select("fp").distinct(), radius, shard_rows, broadcast_rows))
     stars = connected_components(links).withColumnRenamed("u", "fp")
     rows = marked.join(stars, "fp", "left").select("doc_id", "digest", F.coalesce("root", "fp").alias("root"))
     return keep_heads(docs, rows, id_col, text_col)

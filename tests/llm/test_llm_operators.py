@@ -81,14 +81,14 @@ def test_simhash_matches_brute_force(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("shard_rows", [3, 2048])
-def test_links_span_components_whatever_the_shards(spark, shard_rows):
+@pytest.mark.parametrize("shard_rows, broadcast_rows", [(3, 0), (2048, 0), (2048, 65_536)])
+def test_links_span_components_whatever_the_shards(spark, shard_rows, broadcast_rows):
     rng = np.random.default_rng(5)
     centre = int(rng.integers(1 << 62))
     values = {centre ^ sum(1 << int(b) for b in rng.integers(64, size=rng.integers(0, 6))) for _ in range(150)} | {int(x) for x in rng.integers(1 << 62, size=100)}
     values = [v - (1 << 64) if v >= 1 << 63 else v for v in values]
     distinct = spark.createDataFrame([(v,) for v in values], "fp long")
-    stars = simhash.connected_components(simhash.fingerprint_links(distinct, 3, shard_rows))
+    stars = simhash.connected_components(simhash.fingerprint_links(distinct, 3, shard_rows, broadcast_rows))
     root = {r["u"]: r["root"] for r in stars.collect()}
     want = components([(i, v & (1 << 64) - 1) for i, v in enumerate(values)])
     groups = defaultdict(set)
