@@ -81,6 +81,16 @@ def stable(classified: DataFrame, threshold: float = 5.0, k: str = "k") -> DataF
     return success(classified, threshold, k)
 
 
+def filter_stable(phonons: DataFrame, tolerance: float = -0.1, frequency: str = "min_frequency") -> DataFrame:
+    """Structures whose lowest frequency is known and not below the tolerance."""
+    return phonons.where(F.col(frequency) >= tolerance)
+
+
+def exact_distinct(rows: DataFrame) -> DataFrame:
+    """The fallback where rows name no structure to compare: rows that are equal in all columns count once."""
+    return rows.dropDuplicates()
+
+
 def below_threshold(rows: DataFrame, threshold: float, k: str = "k") -> DataFrame:
     """Rows with a k below the threshold; null and NaN are not."""
     return rows.where(F.col(k).isNotNull() & ~F.isnan(k) & (F.col(k) < threshold))

@@ -101,11 +101,12 @@ def multiplicity_check(table: DataFrame, sites: DataFrame, key: str = "id") -> D
     return table.select(key).join(checked, key, "left").select(key, F.coalesce("same", F.lit(False)).alias("multiplicity_consistent"))
 
 
-def site_distances(table: DataFrame, sites: DataFrame, images: int = 1, radius: float = 8.0, key: str = "id") -> DataFrame:
+def site_distances(table: DataFrame, sites: DataFrame, radius: float = 8.0, key: str = "id") -> DataFrame:
     """(key, i, j, distance): distances of site pairs with periodic images within the radius.
 
-    Sites meet only sites of their own structure; each pair of positions is tried over
-    (2 images + 1)^3 shifts, and a site's own images count."""
+    Sites meet only sites of their own structure. Along each axis as many images are tried as the radius holds
+    distances between the cell's faces, and one more, as positions inside a cell differ by less than one: no pair within the radius is
+    missed. A site's own images count. Cells without a volume give no rows."""
     cart = {
         "ax": F.col("a"),
         "bx": F.expr("b * cos(radians(gamma))"),
@@ -113,15 +114,17 @@ def site_distances(table: DataFrame, sites: DataFrame, images: int = 1, radius:
         "cx": F.expr("c * cos(radians(beta))"),
         "cy": F.expr("c * (cos(radians(alpha)) - cos(radians(beta)) * cos(radians(gamma))) / sin(radians(gamma))"),
     }
+    # heights over the faces: the volume over each face's area
+    faces = {"u": "b * c * sin(radians(alpha))", "v": "a * c * sin(radians(beta))", "w": "a * b * sin(radians(gamma))"}
+    steps = {f"n{x}": F.expr(f"cast(ceil({radius} * {area} / (ax * by * cz)) + 1 AS int)") for x, area in faces.items()}
     # one lattice a structure; the aggregate also keeps filters on distances from being pushed into its text expressions
     cell = table.groupBy(key).agg(F.first("lattice").alias("lattice")).select(key, "lattice.*").withColumns(cart).withColumn("cz", F.expr("sqrt(greatest(0, c * c - cx * cx - cy * cy))"))
-    cell = cell.select(key, *cart, "cz")
+    cell = cell.where("ax * by * cz > 1e-6").withColumns(steps).select(key, *cart, "cz", *steps)
     left = sites.select(key, F.col("position").alias("i"), *(F.col(x).alias(f"{x}1") for x in "xyz"))
     right = sites.select(key, F.col("position").alias("j"), *(F.col(x).alias(f"{x}2") for x in "xyz"))
-    steps = F.sequence(F.lit(-images), F.lit(images))
     pairs = left.join(right, key).join(cell, key)
     for axis in "uvw":
-        pairs = pairs.withColumn(axis, F.explode(steps))
+        pairs = pairs.withColumn(axis, F.explode(F.expr(f"sequence(-n{axis}, n{axis})")))
     shifted = pairs.selectExpr("*", "x2 - x1 + u AS fx", "y2 - y1 + v AS fy", "z2 - z1 + w AS fz")
     distance = F.expr("sqrt(pow(ax * fx + bx * fy + cx * fz, 2) + pow(by * fy + cy * fz, 2) + pow(cz * fz, 2))")
     return shifted.where("i <> j OR u <> 0 OR v <> 0 OR w <> 0").select(key, "i", "j", distance.alias("distance")).where(F.col("distance") <= radius)

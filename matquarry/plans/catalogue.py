@@ -801,8 +801,8 @@ def q_token_offsets(spark: SparkSession, d: str) -> DataFrame:
 def q_site_distances(spark: SparkSession, d: str) -> DataFrame:
     texts = _cifs(spark, d)
     table, sites = structures.structure_table(texts), structures.atom_sites(texts)
-    found = structures.site_distances(table, sites)
-    return structures.quality_gate(table, found).select("id", "min_distance", "passes_gate")
+    found = structures.site_distances(table, sites, radius=1.5)
+    return structures.quality_gate(table, found, least=1.5).select("id", "passes_gate")
 
 
 # documents

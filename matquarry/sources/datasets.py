@@ -94,6 +94,12 @@ def read_structures(spark: SparkSession, path: str) -> DataFrame:
     loose = spark.read.text(path, wholetext=True, pathGlobFilter="*.cif", recursiveFileLookup=True)
     stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)\.cif$", 1)
 
+    return unpack_archives(archives).unionByName(loose.select(stem.alias("id"), F.col("value").alias("cif")))
+
+
+def unpack_archives(archives: DataFrame) -> DataFrame:
+    """(id, cif) of the .cif members of .tar.gz archives in the binary column ``content``, one task an archive, members streamed."""
+
     def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
         import tarfile
@@ -106,7 +112,7 @@ def read_structures(spark: SparkSession, path: str) -> DataFrame:
                             text = archive.extractfile(member).read().decode("utf-8", "replace")
                             yield pd.DataFrame({"id": [member.name.rsplit("/", 1)[-1][:-4]], "cif": [text]})
 
-    return archives.select("content").mapInPandas(members, "id string, cif string").unionByName(loose.select(stem.alias("id"), F.col("value").alias("cif")))
+    return archives.select("content").mapInPandas(members, "id string, cif string")
 
 
 def export_archives(structures: DataFrame, path: str) -> DataFrame:
