@@ -197,17 +197,31 @@ def regression_metrics(table: DataFrame, truth: str, guess: str, by: list[str] |
     )
 
 
+def value_ranges(rows: DataFrame, value: str, ranges: int = 256) -> DataFrame:
+    """``rows`` with ``__range``: the number of a range of values; ranges hold about equally many rows however values are spread.
+
+    Their bounds are approximate quantiles, one row that is broadcast. Rows of one value are in one range."""
+    cuts = [n / ranges for n in range(1, ranges)]
+    bounds = rows.agg(F.percentile_approx(value, F.array(*map(F.lit, cuts)), F.lit(4 * ranges)).alias("__bounds"))
+    place = F.size(F.filter("__bounds", lambda b: b < F.col(value)))
+    return rows.join(F.broadcast(bounds)).withColumn("__range", F.coalesce(place, F.lit(0))).drop("__bounds")
+
+
 def classification_metrics(table: DataFrame, label: str, score: str, threshold: float = 0.5) -> DataFrame:
     """One row: precision, recall, f1, accuracy and auc of a score for a 0/1 label.
 
-    AUC is the rank-sum statistic over distinct scores, so windows hold distinct scores, not rows."""
+    AUC is the rank-sum statistic. Distinct scores are dealt into ranges by approximate quantiles; counts of the ranges
+    below and running counts inside each range make it up, so no task sorts all scores."""
     from pyspark.sql import Window
 
     y, p = F.col(label) == 1, F.col(score) >= threshold
     counts = table.agg(F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"), F.count("*").alias("n"))
     by_score = table.groupBy(score).agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    area = by_score.withColumn("below", below).agg(
+    ranged = value_ranges(by_score, score)
+    inside = F.sum("neg").over(Window.partitionBy("__range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
+    sums = ranged.groupBy("__range").agg(F.sum("neg").alias("__neg"))
+    before = sums.select("__range", (F.sum("__neg").over(Window.orderBy("__range")) - F.col("__neg")).alias("__before"))
+    area = ranged.withColumn("__inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(before), "__range").withColumn("below", F.col("__inside") + F.col("__before")).agg(
         F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc")
     )
     precision, recall = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))
@@ -233,8 +247,8 @@ def split_labels(rows: DataFrame, key: str, fractions: dict[str, float], seed: i
     return rows.withColumn("split", F.lit(names[-1]) if label is None else label.otherwise(names[-1]))
 
 
-def exact_folds(rows: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
-    """``rows`` with ``fold`` 0..k-1 of equal sizes (to one row), by the order of a hash.
+def exact_ranks(rows: DataFrame, key: str, name: str, seed: int | str = 42) -> DataFrame:
+    """``rows`` with their place 0.. in the order of a hash of (seed, key) in a column ``name``.
 
     Ranks come from two passes: rows are counted by the hash's leading digits, and rank
     within them, so no task sorts all rows."""
@@ -246,4 +260,9 @@ def exact_folds(rows: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
     before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__b")) - F.col("__n"))
     inside = F.row_number().over(Window.partitionBy("__b").orderBy("__h", key))
     ranked = keyed.withColumn("__r", inside).join(F.broadcast(before), "__b")
-    return ranked.withColumn("fold", F.pmod(F.col("__before") + F.col("__r") - 1, F.lit(k)).cast("int")).drop("__h", "__b", "__n", "__before", "__r")
+    return ranked.withColumn(name, F.col("__before") + F.col("__r") - 1).drop("__h", "__b", "__n", "__before", "__r")
+
+
+def exact_folds(rows: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
+    """``rows`` with ``fold`` 0..k-1 of equal sizes (to one row), by the order of a hash."""
+    return exact_ranks(rows, key, "__place", seed).withColumn("fold", F.pmod(F.col("__place"), F.lit(k)).cast("int")).drop("__place")

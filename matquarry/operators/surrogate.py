@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .features import exact_folds, regression_metrics
+from ..sources import shared
+from .features import exact_folds, exact_ranks, regression_metrics
 
 JITTER = 1e-6
 
@@ -22,10 +23,11 @@ def standardisation(table: DataFrame, columns: list[str]) -> tuple[list[float],
     return [float(row[i] or 0.0) for i in range(n)], [float(row[n + i] or 1.0) for i in range(n)]
 
 
-def kernel(a: np.ndarray, b: np.ndarray, length: float, amplitude: float) -> np.ndarray:
-    """Product of a squared-exponential and a rational-quadratic kernel with one length scale."""
-    square = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0) / (length * length)
-    return amplitude * np.exp(-square / 2) / (1 + square / 2)
+def kernel(a: np.ndarray, b: np.ndarray, length: float, amplitude: float, rq_length: float | None = None, alpha: float = 1.0) -> np.ndarray:
+    """Product of a squared-exponential and a rational-quadratic kernel; ``rq_length`` is the latter's own scale, ``alpha`` its mixture."""
+    square = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
+    rational = (1 + square / (2 * alpha * (rq_length or length) ** 2)) ** -alpha
+    return amplitude * np.exp(-square / (2 * length * length)) * rational
 
 
 @dataclass
@@ -39,100 +41,118 @@ class Expert:
     length: float
     amplitude: float
     noise: float
+    rq_length: float | None = None
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, length: float, noise: float) -> Expert:
+    def fit(cls, x: np.ndarray, y: np.ndarray, length: float, noise: float, rq_length: float | None = None) -> Expert:
         mean, amplitude = float(y.mean()), float(max(y.var(), 1e-6))
-        k = kernel(x, x, length, amplitude) + (noise * amplitude + JITTER) * np.eye(len(x))
+        k = kernel(x, x, length, amplitude, rq_length) + (noise * amplitude + JITTER) * np.eye(len(x))
         factor = np.linalg.cholesky(k)
         alpha = np.linalg.solve(factor.T, np.linalg.solve(factor, y - mean))
-        return cls(x, alpha, factor, mean, length, amplitude, noise)
+        return cls(x, alpha, factor, mean, length, amplitude, noise, rq_length)
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Mean, variance and prior variance of the latent value."""
-        across = kernel(self.x, x, self.length, self.amplitude)
+        across = kernel(self.x, x, self.length, self.amplitude, self.rq_length)
         half = np.linalg.solve(self.factor, across)
         variance = np.maximum(self.amplitude - (half * half).sum(0), 1e-12)
         return self.mean + across.T @ self.alpha, variance, np.full(len(x), self.amplitude)
 
 
-def committee(experts: list[Expert], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Robust Bayesian committee: experts weigh by how much they reduce the prior's uncertainty."""
-    precision, weighted, left = np.zeros(len(x)), np.zeros(len(x)), np.ones(len(x))
-    prior_mean = float(np.mean([e.mean for e in experts]))
-    prior = float(np.mean([e.amplitude for e in experts]))
-    for e in experts:
-        mu, variance, _ = e.predict(x)
-        beta = 0.5 * np.maximum(math.log(prior) - np.log(variance), 0)
-        precision += beta / variance
-        weighted += beta * (mu - prior_mean) / variance
-        left -= beta
-    precision += left / prior
-    precision = np.maximum(precision, 1e-12)
-    return prior_mean + weighted / precision, np.sqrt(1 / precision)
+def _shards(rows: DataFrame, key: str, expert_rows: int) -> tuple[DataFrame, int]:
+    """``rows`` with ``__shard`` by hash of the key, some ``expert_rows`` in each, and the number of shards."""
+    shards = max(1, -(-rows.count() // expert_rows))
+    return rows.withColumn("__shard", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")), shards
 
 
 def tune(
-    table: DataFrame, columns: list[str], target: str, key: str, lengths: tuple[float, ...] = (1.0, 2.0, 4.0), noises: tuple[float, ...] = (1e-3, 1e-2),
-    folds: int = 5, fit_rows: int = 1000, seed: int = 42,
+    table: DataFrame, columns: list[str], target: str, key: str, lengths: tuple[float, ...] = (1.0, 2.0, 4.0), rq_lengths: tuple[float, ...] = (1.0, 4.0),
+    noises: tuple[float, ...] = (1e-3, 1e-2), folds: int = 5, expert_rows: int = 500, seed: int = 42,
 ) -> DataFrame:
-    """(length, noise, fold, n, r2, mae, rmse): cross-validation of each setting, one task a (setting, fold).
+    """(length, rq_length, noise, fold, n, r2, mae, rmse): cross-validation of each setting over all rows.
 
-    Rows beyond ``fit_rows`` of the hash order are left to the experts; the log target is modelled."""
+    Rows with a positive target are dealt to the experts that ``predict_experts`` would fit; in each, a fold is predicted from the expert's
+    other rows, one task a (setting, fold, expert). The log target is modelled."""
     means, deviations = standardisation(table, columns)
-    rows = exact_folds(table.select(key, *columns, target).orderBy(F.md5(F.col(key).cast("string"))).limit(fit_rows), key, folds, seed)
-    settings = F.array(*(F.struct(F.lit(a).alias("length"), F.lit(b).alias("noise")) for a in lengths for b in noises))
+    rows, _ = _shards(exact_folds(table.where(F.col(target) > 0).select(key, *columns, target), key, folds, seed), key, expert_rows)
+    settings = F.array(*(F.struct(F.lit(a).alias("length"), F.lit(r).alias("rq_length"), F.lit(b).alias("noise")) for a in lengths for r in rq_lengths for b in noises))
     tasks = rows.withColumn("__of", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).select("*", F.inline(settings))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         x = (pdf[columns].to_numpy(float) - means) / deviations
         y = np.log(pdf[target].to_numpy(float))
         test = (pdf["fold"] == pdf["__of"]).to_numpy()
-        out = pdf.loc[test, ["length", "noise", "__of"]].rename(columns={"__of": "fold"})
-        guess = Expert.fit(x[~test], y[~test], float(pdf["length"].iloc[0]), float(pdf["noise"].iloc[0])).predict(x[test])[0] if (~test).any() else 0.0
+        out = pdf.loc[test, ["length", "rq_length", "noise", "__of"]].rename(columns={"__of": "fold"})
+        if (~test).any():
+            setting = (float(pdf[c].iloc[0]) for c in ("length", "noise", "rq_length"))
+            guess = Expert.fit(x[~test], y[~test], *setting).predict(x[test])[0]
+        else:
+            guess = 0.0
         return out.assign(truth=y[test], guess=guess)
 
-    predicted = tasks.groupBy("length", "noise", "__of").applyInPandas(one, "length double, noise double, fold int, truth double, guess double")
-    return regression_metrics(predicted, "truth", "guess", ["length", "noise", "fold"])
+    names = ["length", "rq_length", "noise"]
+    predicted = tasks.groupBy(*names, "__of", "__shard").applyInPandas(one, "length double, rq_length double, noise double, fold int, truth double, guess double")
+    return regression_metrics(predicted, "truth", "guess", [*names, "fold"])
 
 
 def predict_experts(
     train: DataFrame, candidates: DataFrame, columns: list[str], target: str, key: str, length: float = 2.0, noise: float = 1e-2, expert_rows: int = 500,
-    max_experts: int = 64,
+    rq_length: float | None = None, block_rows: int = 4096,
 ) -> DataFrame:
-    """``candidates`` with mu_log, sigma_log, k_pred, k_lower and k_upper.
+    """``candidates`` with mu_log, sigma_log, k_pred, k_lower and k_upper, by a robust committee of experts.
 
-    Training rows go to experts of at most about ``expert_rows`` by hash, fitted in parallel; at most
-    ``max_experts`` of them (a hash sample beyond that) are broadcast, whose size these two bound."""
+    Training rows with a positive target go to experts of about ``expert_rows`` by hash, fitted in parallel and written to the shared folder. Blocks of
+    candidates meet every expert in a shuffle, and the committee's sums are aggregated, so no expert is left out and none passes through the
+    driver. Keys of candidates are unique; rows without a key or with a null feature get nulls."""
     means, deviations = standardisation(train, columns)
-    clean = train.where(F.col(target) > 0).select(key, *columns, target)
-    shards = max(1, -(-clean.count() // expert_rows))
-    dealt = clean.withColumn("__shard", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")).where(F.col("__shard") < max_experts)
+    dealt, shards = _shards(train.where(F.col(target) > 0).select(key, *columns, target), key, expert_rows)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         x = (pdf[columns].to_numpy(float) - means) / deviations
-        e = Expert.fit(x, np.log(pdf[target].to_numpy(float)), length, noise)
-        return pd.DataFrame({"x": [e.x.tobytes()], "alpha": [e.alpha.tobytes()], "factor": [e.factor.tobytes()], "mean": [e.mean], "amplitude": [e.amplitude]})
-
-    packed = dealt.groupBy("__shard").applyInPandas(pack, "x binary, alpha binary, factor binary, mean double, amplitude double").collect()
-    fitted = []
-    for r in sorted(packed, key=lambda r: (len(r["x"]), r["mean"])):
-        alpha = np.frombuffer(r["alpha"])
-        n = len(alpha)
-        fitted.append(Expert(np.frombuffer(r["x"]).reshape(n, -1), alpha, np.frombuffer(r["factor"]).reshape(n, n), r["mean"], length, r["amplitude"], noise))
-    shared = train.sparkSession.sparkContext.broadcast(fitted)
-
-    @F.pandas_udf("mu_log double, sigma_log double")
-    def predict(*features: pd.Series) -> pd.DataFrame:
-        x = (np.column_stack([f.to_numpy(float) for f in features]) - means) / deviations
-        parts = [committee(shared.value, x[i : i + 512]) for i in range(0, len(x), 512)]
-        return pd.DataFrame({"mu_log": np.concatenate([p[0] for p in parts]), "sigma_log": np.concatenate([p[1] for p in parts])})
-
-    scored = candidates.withColumn("__p", predict(*(F.col(c).cast("double") for c in columns)))
-    mu, sigma = F.col("__p.mu_log"), F.col("__p.sigma_log")
-    return scored.withColumns(
-        {"mu_log": mu, "sigma_log": sigma, "k_pred": F.exp(mu), "k_lower": F.exp(mu - 1.96 * sigma), "k_upper": F.exp(mu + 1.96 * sigma)}
-    ).drop("__p")
+        e = Expert.fit(x, np.log(pdf[target].to_numpy(float)), length, noise, rq_length)
+        one = {"x": e.x.tobytes(), "alpha": e.alpha.tobytes(), "factor": e.factor.tobytes(), "mean": e.mean, "amplitude": e.amplitude}
+        return pd.DataFrame({"__shard": [int(pdf["__shard"].iloc[0])], **{c: [v] for c, v in one.items()}})
+
+    place = shared.new_place(train.sparkSession)
+    schema = "__shard int, x binary, alpha binary, factor binary, mean double, amplitude double"
+    dealt.repartition(4 * shards, "__shard").groupBy("__shard").applyInPandas(pack, schema).write.parquet(place)
+    experts = train.sparkSession.read.parquet(place)
+    prior = experts.agg(F.avg("mean").alias("m"), F.avg("amplitude").alias("a")).first()
+    prior_mean, prior_amplitude = float(prior["m"] or 0.0), float(prior["a"] or 1.0)
+
+    asked = candidates.select(F.col(key).alias("__key"), *(F.col(c).cast("double").alias(c) for c in columns)).dropna()
+    blocks = max(1, -(-asked.count() // block_rows))
+    left = experts.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = asked.withColumn("__block", F.pmod(F.xxhash64("__key"), F.lit(blocks)).cast("int"))
+    right = right.withColumn("__shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+
+    def predict(own: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"__key": block["__key"], "precision": 0.0, "weighted": 0.0, "beta": 0.0})
+        if len(own) and len(block):
+            e, n = own.iloc[0], len(own["alpha"].iloc[0]) // 8
+            expert = Expert(np.frombuffer(e["x"]).reshape(n, -1), np.frombuffer(e["alpha"]), np.frombuffer(e["factor"]).reshape(n, n), e["mean"], length, e["amplitude"], noise, rq_length)
+            mu, variance, _ = expert.predict((block[columns].to_numpy(float) - means) / deviations)
+            beta = 0.5 * np.maximum(math.log(prior_amplitude) - np.log(variance), 0)
+            out = out.assign(precision=beta / variance, weighted=beta * (mu - prior_mean) / variance, beta=beta)
+        return out
+
+    kind = asked.schema["__key"].dataType.simpleString()
+    tasks = 4 * shards * blocks
+    parts = left.repartition(tasks, "__shard", "__block").groupBy("__shard", "__block").cogroup(right.repartition(tasks, "__shard", "__block").groupBy("__shard", "__block"))
+    sums = parts.applyInPandas(predict, f"__key {kind}, precision double, weighted double, beta double").groupBy("__key").agg(*(F.sum(c).alias(c) for c in ("precision", "weighted", "beta")))
+    precision = F.greatest(F.col("precision") + (1 - F.col("beta")) / prior_amplitude, F.lit(1e-12))
+    found = sums.select("__key", (F.lit(prior_mean) + F.col("weighted") / precision).alias("mu_log"), F.sqrt(1 / precision).alias("sigma_log"))
+    kept = candidates.drop("mu_log", "sigma_log", "k_pred", "k_lower", "k_upper")
+    mu, sigma = F.col("mu_log"), F.col("sigma_log")
+    scored = kept.join(found, kept[key] == found["__key"], "left").drop("__key")
+    return scored.withColumns({"k_pred": F.exp(mu), "k_lower": F.exp(mu - 1.96 * sigma), "k_upper": F.exp(mu + 1.96 * sigma)})
+
+
+def _written(rows: DataFrame) -> DataFrame:
+    """Rows that several fits read, written to the shared folder once."""
+    place = shared.new_place(rows.sparkSession)
+    rows.write.parquet(place)
+    return rows.sparkSession.read.parquet(place)
 
 
 def _ensemble(method: str, seed: int):
@@ -157,9 +177,8 @@ def rank_features(
     assembler = VectorAssembler(inputCols=columns, outputCol="__v")
     model = _ensemble(method, seed).fit(assembler.transform(rows.where("fold > 0")))
     test = rows.where("fold = 0")
-    own, other = Window.orderBy(F.md5(F.col(key).cast("string"))), Window.orderBy(F.md5(F.concat(F.lit("shuffled"), F.col(key).cast("string"))))
-    numbered = test.withColumn("__i", F.row_number().over(own))
-    dealt = test.select(*(F.col(c).alias(f"__{c}") for c in columns), F.row_number().over(other).alias("__i"))
+    numbered = exact_ranks(test, key, "__i", "own")
+    dealt = exact_ranks(test, key, "__i", "shuffled").select(*(F.col(c).alias(f"__{c}") for c in columns), "__i")
     both = numbered.join(dealt, "__i")
     choices = F.array(F.lit(""), *map(F.lit, columns))
     tried = both.withColumn("feature", F.explode(choices))
@@ -176,7 +195,8 @@ def feature_curve(
     """(n_features, n, r2, mae, rmse): cross-validated metrics of the first 1..n features."""
     from pyspark.ml.feature import VectorAssembler
 
-    rows = exact_folds(table.select(key, *(F.col(c).cast("double").alias(c) for c in ranked), F.log(target).alias("__y")), key, folds, seed).dropna().cache()
+    rows = exact_folds(table.select(key, *(F.col(c).cast("double").alias(c) for c in ranked), F.log(target).alias("__y")), key, folds, seed).dropna()
+    rows = _written(rows)
     parts = []
     for n in range(1, min(most or len(ranked), len(ranked)) + 1):
         assembled = VectorAssembler(inputCols=ranked[:n], outputCol="__v").transform(rows)
@@ -203,7 +223,8 @@ def compare_sets(table: DataFrame, sets: dict[str, list[str]], target: str, key:
     from pyspark.sql import Window
 
     columns = list(dict.fromkeys(c for s in sets.values() for c in s))
-    rows = exact_folds(table.select(key, *(F.col(c).cast("double").alias(c) for c in columns), F.log(target).alias("__y")), key, folds, seed).dropna().cache()
+    rows = exact_folds(table.select(key, *(F.col(c).cast("double").alias(c) for c in columns), F.log(target).alias("__y")), key, folds, seed).dropna()
+    rows = _written(rows)
     every = None
     for name, chosen in sets.items():
         assembled = VectorAssembler(inputCols=chosen, outputCol="__v").transform(rows)

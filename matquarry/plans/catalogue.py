@@ -575,29 +575,30 @@ def _table14(spark: SparkSession, d: str) -> DataFrame:
 
 @registered()
 def q_gp_tune(spark: SparkSession, d: str) -> DataFrame:
-    return surrogate.tune(_table14(spark, d), [*fx.FEATURE_ELEMENTS], "k", "id", lengths=(2.0, 4.0), noises=(1e-2,), folds=3, fit_rows=600)
+    return surrogate.tune(_table14(spark, d), [*fx.FEATURE_ELEMENTS], "k", "id")
 
 
 @registered()
 def q_gp_predict(spark: SparkSession, d: str) -> DataFrame:
     table = _table14(spark, d)
-    scored = surrogate.predict_experts(table.where("id % 2 = 0"), table, [*fx.FEATURE_ELEMENTS], "k", "id")
+    scored = surrogate.predict_experts(table, table, [*fx.FEATURE_ELEMENTS], "k", "id")
     return scored.select("id", "mu_log", "sigma_log", "k_pred", "k_lower", "k_upper")
 
 
 @registered()
 def q_importance(spark: SparkSession, d: str) -> DataFrame:
-    return surrogate.rank_features(_table14(spark, d), ["Ag", "Sb", "Te", "S", "Ge"], "k", "id", method="random_forest")
+    return surrogate.rank_features(_table14(spark, d), [*fx.FEATURE_ELEMENTS], "k", "id", method="random_forest")
 
 
 @registered()
 def q_feature_curve(spark: SparkSession, d: str) -> DataFrame:
-    return surrogate.feature_curve(_table14(spark, d), ["Ag", "Sb", "Te"], "k", "id", folds=2)
+    return surrogate.feature_curve(_table14(spark, d), [*fx.FEATURE_ELEMENTS], "k", "id", folds=2)
 
 
 @registered()
 def q_feature_sets(spark: SparkSession, d: str) -> DataFrame:
-    return surrogate.compare_sets(_table14(spark, d), {"cations": ["Ag", "Cu", "In"], "anions": ["S", "Se", "Te"]}, "k", "id", folds=2)
+    sets = {"cations": ["Ag", "Cu", "In", "Sn", "Pb"], "framework": ["As", "Sb", "Ge", "Bi", "Ti", "V"], "anions": ["S", "Se", "Te"]}
+    return surrogate.compare_sets(_table14(spark, d), {**sets, "all": [*fx.FEATURE_ELEMENTS]}, "k", "id")
 
 
 # transport models
@@ -768,7 +769,7 @@ def q_neardup(spark: SparkSession, d: str) -> DataFrame:
     texts = _cifs(spark, d)
     table = structures.structure_table(texts)
     blocks = structures.fingerprint_blocks(table, structures.atom_sites(texts))
-    return structures.drop_similar(blocks, by=("block",))
+    return structures.drop_similar(blocks)
 
 
 @registered(f"""WITH {i.COMP}, t AS (SELECT id, {i.REDUCED} AS r FROM comp), base AS (SELECT DISTINCT r FROM t WHERE id % 2 = 0)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formulas as fx
 from ..operators import novelty, results, scoring, selection, structures
-from ..sources import datasets
+from ..sources import datasets, shared
 
 
 @dataclass(frozen=True)
@@ -25,9 +25,11 @@ def extract(kappa: DataFrame, phonon: DataFrame, by: list[str], blocks: DataFram
             threshold: float = 1.0, wide: float = 5.0, tolerance: float = -0.1) -> Extracted:
     """Join, classify and filter results; with ``blocks`` drop structural duplicates, with ``checks`` add the novelty status.
 
-    No materials give empty tables: that is a success. The classified input is shared by all outputs."""
+    No materials give empty tables: that is a success. The classified input is written to the shared folder for all outputs."""
     joined = results.backfill_stability(kappa, phonon, by=tuple(by))
-    classified = results.classify_stability(joined, tolerance).persist()
+    place = shared.new_place(kappa.sparkSession)
+    results.classify_stability(joined, tolerance).write.parquet(place)
+    classified = kappa.sparkSession.read.parquet(place)
     counts = results.extraction_counts(classified, "iteration", threshold=threshold, wide=wide)
     good, near = results.success(classified, threshold), results.stable(classified, wide)
     if blocks is not None:

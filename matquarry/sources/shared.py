@@ -9,8 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def new_place(spark: SparkSession) -> str:
-    """A new path in the cluster's checkpoint folder; a local folder is made only where the session names none."""
+    """A new path in the cluster's checkpoint folder; a local folder is made only in local mode, where the session names none."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return f"{context.getCheckpointDir()}/place-{uuid.uuid4()}"
