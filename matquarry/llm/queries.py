@@ -39,7 +39,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.quality_rules(table(spark, sf_dir, "documents"))
+    found = repetition.quality_rules(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("top_share", "dup_share", "dup_line_chars")})
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_repetition": repetition.oracle_sql(),
         "op8_licenses": licenses.oracle_sql(),
         "op9_mixing": mixing.ORACLE_SQL,
     }

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import WORD, map_texts
 
 #: Symbols that the rules count.
 SYMBOLS = b"#*$%&|<>"
@@ -145,3 +145,43 @@ def keep_good(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -
         return pd.Series([measure((t or "").encode(), rules)[6] for t in texts], dtype=bool)
 
     return docs.where(good(F.col(f"`{text_col}`").cast("string")))
+
+
+def oracle_sql(rules: Rules = Rules()) -> str:
+    """DuckDB SQL for ``quality_rules`` over documents with unique ids, shares to six digits: every n-gram as text."""
+    lengths = sorted({WINDOW, *(n for n, _ in rules.max_top_share), *(n for n, _ in rules.max_dup_share)})
+    grams = " UNION ALL ".join(
+        f"SELECT doc_id, {n} AS n, s, array_to_string(words[s:s + {n - 1}], ' ') AS gram, upto[s + {n - 1}] - upto[s] + len(words[s]) AS chars FROM "
+        f"(SELECT *, unnest(range(1, len(words) - {n - 2})) AS s FROM w)"
+        for n in lengths
+    )
+    top = ", ".join(f"({n}, {most})" for n, most in rules.max_top_share)
+    dup = ", ".join(f"({n}, {most})" for n, most in rules.max_dup_share)
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w0 AS (SELECT doc_id, text, regexp_extract_all(text, '{WORD}') AS words FROM d),
+e AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w0),
+u0 AS (SELECT doc_id, i, sum(len(word)) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM e),
+u1 AS (SELECT doc_id, list(n ORDER BY i) AS upto FROM u0 GROUP BY doc_id),
+w AS (SELECT w0.*, upto, coalesce(list_last(upto), 0)::BIGINT AS word_chars FROM w0 LEFT JOIN u1 USING (doc_id)),
+g0 AS ({grams}),
+g AS (SELECT *, count(*) OVER (PARTITION BY doc_id, n, gram) AS times FROM g0),
+most AS (SELECT doc_id, n, max(times) AS times FROM g GROUP BY ALL),
+tops AS (SELECT g.doc_id, g.n, max(g.times * g.chars) / max(w.word_chars) AS share FROM g JOIN most USING (doc_id, n, times) JOIN w USING (doc_id) WHERE g.times >= {rules.top_least} GROUP BY ALL),
+top AS (SELECT doc_id, max(share) AS share, bool_or(share > limits.most) AS broken FROM tops JOIN (VALUES {top}) limits(n, most) USING (n) GROUP BY doc_id),
+inside AS (SELECT DISTINCT doc_id, n, unnest(range(s, s + n)) AS i FROM g WHERE times > 1),
+cover AS (SELECT doc_id, n, sum(len(words[i])) / max(word_chars) AS share, count(*) AS repeated FROM inside JOIN w USING (doc_id) GROUP BY ALL),
+dup AS (SELECT doc_id, max(share) AS share, bool_or(share > limits.most) AS broken FROM cover JOIN (VALUES {dup}) limits(n, most) USING (n) GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+l1 AS (SELECT doc_id, line, count(*) AS times FROM l WHERE regexp_matches(line, '{WORD}') GROUP BY ALL),
+lines AS (SELECT doc_id, sum(times) AS n_lines, sum(times - 1) AS n_dup_lines, sum((times - 1) * length(line)) / sum(times * length(line)) AS dup_line_chars FROM l1 GROUP BY doc_id),
+base AS (SELECT w.doc_id, len(words) AS n_words, word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines,
+  coalesce(c.repeated, 0) AS n_repeat_words, coalesce(dup_line_chars, 0) AS dup_line_chars, coalesce(t.share, 0) AS top_share, coalesce(u.share, 0) AS dup_share, coalesce(t.broken, false) OR coalesce(u.broken, false) AS broken
+  FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN cover c ON c.doc_id = w.doc_id AND c.n = {WINDOW} LEFT JOIN top t ON t.doc_id = w.doc_id LEFT JOIN dup u ON u.doc_id = w.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words,
+  n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_word_percent} * n_words AS base_failed,
+  NOT (n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_word_percent} * n_words OR broken OR (n_dup_lines > {rules.max_dup_line_share} * n_lines AND n_dup_lines > 2)
+    OR dup_line_chars > {rules.max_dup_line_chars} OR n_symbols > {rules.max_symbols_per_word} * n_words) AS kept,
+  round(top_share, 6) AS top_share, round(dup_share, 6) AS dup_share, round(dup_line_chars, 6) AS dup_line_chars
+FROM base
+"""
