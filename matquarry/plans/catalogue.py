@@ -912,7 +912,7 @@ def _event_stream(spark: SparkSession, d: str) -> DataFrame:
 def q_stream_lowest_k(spark: SparkSession, d: str) -> DataFrame:
     place = shared.new_place(spark)
     rows = _event_stream(spark, d).selectExpr("cast(user_id AS string) AS formula", "value AS k")
-    streams.upkeep(rows, f"{place}/table", f"{place}/state").awaitTermination()
+    streams.upkeep(rows, f"{place}/table", f"{place}/state", parts=8).awaitTermination()
     return rounded(streams.current(spark, f"{place}/table"))
 
 

@@ -14,29 +14,40 @@ def file_stream(spark: SparkSession, path: str, schema: StructType | str, files_
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def upkeep(results_stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Keep the lowest k of each formula in a table at ``path``, in versions ``v=<batch>``.
+LAYOUT = "formula string, k double, part int, v long"
 
-    Each batch is merged with the version before and written as a new one; a batch that
-    is run again reads the same predecessor and overwrites its own version, so replays and
+
+def upkeep(results_stream: DataFrame, path: str, checkpoint: str, available_now: bool = True, parts: int = 64) -> StreamingQuery:
+    """Keep the lowest k of each formula in a table at ``path``, dealt by hash into ``parts``, each in versions ``v=<batch>``.
+
+    A batch reads and writes only the parts that its formulas fall into: their last versions before it are merged with its rows.
+    A batch that is run again reads the same versions and overwrites its own, so replays and
     files out of order end in the table that one batch over all rows gives."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.select("formula", "k").where("formula IS NOT NULL AND k IS NOT NULL")
-        old = spark.read.schema("formula string, k double").parquet(f"{path}/v={number - 1}") if number else None
-        every = new if old is None else old.unionByName(new)
-        every.groupBy("formula").agg(F.min("k").alias("k")).write.mode("overwrite").parquet(f"{path}/v={number}")
+        part = F.pmod(F.xxhash64("formula"), F.lit(parts)).cast("int").alias("part")
+        new = batch.where("formula IS NOT NULL AND k IS NOT NULL").select("formula", F.col("k").cast("double").alias("k"), part)
+        every = new
+        if number:
+            touched = [r["part"] for r in new.select("part").distinct().collect()]
+            before = spark.read.schema(LAYOUT).parquet(path).where(F.col("part").isin(touched) & (F.col("v") < number))
+            every = _latest(before).drop("v").unionByName(new)
+        best = every.groupBy("part", "formula").agg(F.min("k").alias("k")).withColumn("v", F.lit(number).cast("long"))
+        best.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "v").parquet(path)
 
     writer = results_stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def _latest(rows: DataFrame) -> DataFrame:
+    """Rows of the last version of each part; there are as many parts as ``upkeep`` was given."""
+    return rows.join(F.broadcast(rows.groupBy("part").agg(F.max("v").alias("v"))), ["part", "v"])
+
+
 def current(spark: SparkSession, path: str) -> DataFrame:
-    """The latest version of the table that ``upkeep`` keeps."""
-    rows = spark.read.parquet(path)
-    newest = rows.agg(F.max("v").alias("v")).first()["v"]
-    return rows.where(F.col("v") == newest).drop("v")
+    """(formula, k): the table that ``upkeep`` keeps."""
+    return _latest(spark.read.schema(LAYOUT).parquet(path)).select("formula", "k")
 
 
 def status_log(log: DataFrame, path: str, checkpoint: str, watermark: str = "1 day") -> StreamingQuery:
