@@ -670,3 +670,28 @@ def test_pipeline_stages_and_result(spark, tmp_path):
     assert {r["doc_id"] for r in result} <= set(counts[2])
     for r in result:
         assert r["decoded_sha256"] == hashlib.sha256(counts[2][r["doc_id"]].encode()).hexdigest() and r["n_tokens"] * 4 == len(r["ids"])
+
+
+def test_pipeline_without_rows_and_with_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, root string, found string"
+    long = prose(1, 90)
+    rows = [(None, prose(2, 60)), (None, prose(3, 60)), (None, None), (5, prose(4, 60)), (5, prose(5, 60)), (5, prose(5, 60)), (6, long), (7, long + " more"), (8, ""), (None, long)]
+    full = [(i, t, None, None if n % 2 else "s", None, "x", "y") for n, (i, t) in enumerate(rows)]
+    for name, some in (("empty", []), ("odd", full)):
+        spark.createDataFrame(some, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").collect() == []
+    docs = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    kept = corpus_pipeline.quality(spark, docs, "")
+    assert kept.columns == docs.columns and kept.count() == 8
+    cut = corpus_pipeline.lines(spark, kept, "")
+    got = Counter((r["doc_id"], r["text"], r["n_chars"]) for r in cut.collect())
+    # the null id comes first, so it keeps the long text, and both later copies lose theirs
+    want = [(i, t) for i, t in rows if t and i not in (6, 7)] + [(6, ""), (7, "more")]
+    assert got == Counter((i, t, len(t)) for i, t in want)
+    once = corpus_pipeline.near_duplicates(spark, cut, "")
+    assert Counter((r["doc_id"], r["text"]) for r in once.collect()) == Counter(set(want))
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    digests = {hashlib.sha256(t.encode()).hexdigest() for _, t in want}
+    assert out and {r["decoded_sha256"] for r in out} <= digests
