@@ -179,63 +179,83 @@ def charge_balance(rows: DataFrame, oxidation: DataFrame, key: str = "id", formu
     return parts.select(key, valid.alias("charge_valid"))
 
 
-def fingerprint_blocks(table: DataFrame, sites: DataFrame, key: str = "id") -> DataFrame:
-    """(key, block, n_sites, lengths, angles): what duplicates are compared by.
+def fingerprint_blocks(table: DataFrame, sites: DataFrame, key: str = "id", n: int = 12, radius: float = 4.0) -> DataFrame:
+    """(key, block, n_sites, lengths, angles, profile): what duplicates are compared by.
 
-    Lengths are those of the cell at unit volume, sorted; the block is the reduced formula."""
+    Lengths are those of the cell at unit volume, sorted; the block is the reduced formula. The profile tells arrangements of sites
+    apart: the mean distance of the sites' first, second … ``n``-th neighbours in units of the mean room of a site, null beyond ``radius``."""
     counted = sites.groupBy(key).agg(F.sum("multiplicity").alias("n_sites"))
+    order = Window.partitionBy(key, "i").orderBy("distance")
+    near = site_distances(table, sites, radius, key).withColumn("r", F.row_number().over(order)).where(F.col("r") <= n)
+    means = near.groupBy(key, "r").agg(F.avg("distance").alias("d")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("r", "d"))).alias("found"))
     scaled = table.withColumn("__scale", F.pow(F.nullif(F.coalesce("cell_volume", "volume"), F.lit(0.0)), F.lit(1 / 3)))
     scale = F.col("__scale")
-    return scaled.join(counted, key, "left").select(
+    room = scale / F.pow(F.greatest(F.coalesce("n_sites", F.lit(0)), F.lit(1)).cast("double"), F.lit(1 / 3))
+    return scaled.join(counted, key, "left").join(means, key, "left").select(
         key,
         fx.reduced_formula(F.coalesce("formula_sum", "data_formula")).alias("block"),
         F.coalesce("n_sites", F.lit(0)).alias("n_sites"),
         F.array_sort(F.array(*(F.col(f"lattice.{x}") / scale for x in LENGTHS))).alias("lengths"),
         F.array_sort(F.array(*(F.col(f"lattice.{x}") for x in ANGLES))).alias("angles"),
+        F.transform(F.sequence(F.lit(1), F.lit(n)), lambda r: F.try_element_at("found", r) / room).alias("profile"),
     )
 
 
-def similar(left: str, right: str, length: float = 0.2, angle: float = 5.0) -> Column:
-    """Sorted unit-volume lengths within a relative tolerance and sorted angles within degrees."""
-    near = F.forall(F.arrays_zip(F.col(f"{left}.lengths").alias("l"), F.col(f"{right}.lengths").alias("r")), lambda p: F.abs(p["l"] - p["r"]) <= length * F.greatest(p["l"], p["r"]))
-    turned = F.forall(F.arrays_zip(F.col(f"{left}.angles").alias("l"), F.col(f"{right}.angles").alias("r")), lambda p: F.abs(p["l"] - p["r"]) <= angle)
-    return F.coalesce(near & turned, F.lit(False))
+def similar(left: str, right: str, length: float = 0.2, angle: float = 5.0, site: float | None = None) -> Column:
+    """Sorted unit-volume lengths within a relative tolerance, sorted angles within degrees and, if ``site`` is given, profiles within that."""
 
+    def zipped(column: str) -> Column:
+        return F.arrays_zip(F.col(f"{left}.{column}").alias("l"), F.col(f"{right}.{column}").alias("r"))
 
-def drop_similar(blocks: DataFrame, length: float = 0.2, angle: float = 5.0, by: tuple[str, ...] = ("block", "n_sites"), key: str = "id") -> DataFrame:
+    near = F.forall(zipped("lengths"), lambda p: F.abs(p["l"] - p["r"]) <= length * F.greatest(p["l"], p["r"]))
+    turned = F.forall(zipped("angles"), lambda p: F.abs(p["l"] - p["r"]) <= angle)
+    if site is None:
+        return F.coalesce(near & turned, F.lit(False))
+    placed = F.forall(zipped("profile"), lambda p: F.coalesce(F.abs(p["l"] - p["r"]) <= site, F.lit(True)))
+    return F.coalesce(near & turned & F.coalesce(placed, F.lit(True)), F.lit(False))
+
+
+def drop_similar(
+    blocks: DataFrame, length: float = 0.2, angle: float = 5.0, by: tuple[str, ...] = ("block", "n_sites"), key: str = "id", site: float = 0.3
+) -> DataFrame:
     """(key, kept, duplicate_of): keep-first deduplication inside each block, in the order of the key.
 
     A structure is a duplicate of the first kept one that it is similar to. The rule is
-    sequential inside a block, so a block is walked in one task; only its key and six
-    numbers a structure go there. Structures without a whole lattice are left out."""
+    sequential inside a block, so a block is walked in one task; only its key and some
+    numbers a structure go there. Structures without a whole lattice are left out. Profiles are compared where ``blocks`` have them."""
+    profiled = "profile" in blocks.columns
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         kept, out = [], []
+
+        def placed(a, b) -> bool:
+            return a is None or b is None or all(x is None or y is None or x != x or y != y or abs(x - y) <= site for x, y in zip(a, b))
+
         for row in pdf.sort_values(key).itertuples(index=False):
-            lengths, angles = row.lengths, row.angles
+            lengths, angles, profile = row.lengths, row.angles, row.profile if profiled else None
             if any(v is None or v != v for v in (*lengths, *angles)):
                 continue
             match = next(
                 (
-                    k for k, kl, ka in kept
-                    if all(abs(x - y) <= length * max(x, y) for x, y in zip(lengths, kl)) and all(abs(x - y) <= angle for x, y in zip(angles, ka))
+                    k for k, kl, ka, kp in kept
+                    if all(abs(x - y) <= length * max(x, y) for x, y in zip(lengths, kl)) and all(abs(x - y) <= angle for x, y in zip(angles, ka)) and placed(profile, kp)
                 ),
                 None,
             )
             if match is None:
-                kept.append((getattr(row, key), lengths, angles))
+                kept.append((getattr(row, key), lengths, angles, profile))
             out.append((getattr(row, key), match is None, match))
         return pd.DataFrame(out, columns=[key, "kept", "duplicate_of"])
 
     kind = blocks.schema[key].dataType.simpleString()
-    return blocks.select(key, *by, "lengths", "angles").groupBy(*by).applyInPandas(walk, f"{key} {kind}, kept boolean, duplicate_of {kind}")
+    return blocks.select(key, *by, "lengths", "angles", *(["profile"] if profiled else [])).groupBy(*by).applyInPandas(walk, f"{key} {kind}, kept boolean, duplicate_of {kind}")
 
 
-def novelty_vs_base(generated: DataFrame, base: DataFrame, length: float = 0.2, angle: float = 5.0, key: str = "id") -> DataFrame:
+def novelty_vs_base(generated: DataFrame, base: DataFrame, length: float = 0.2, angle: float = 5.0, key: str = "id", site: float = 0.3) -> DataFrame:
     """(key, novel, reason): novel by composition if the base has no such formula, else unless a base structure is similar."""
     keys = base.select("block").distinct().withColumn("has", F.lit(True))
     left, right = generated.alias("g"), base.alias("b")
-    matched = left.join(right, F.expr("g.block = b.block")).where(similar("g", "b", length, angle)).select(F.col(f"g.{key}").alias(key)).distinct()
+    matched = left.join(right, F.expr("g.block = b.block")).where(similar("g", "b", length, angle, site if "profile" in generated.columns else None)).select(F.col(f"g.{key}").alias(key)).distinct()
     marked = generated.select(key, "block").join(keys, "block", "left").join(matched.withColumn("hit", F.lit(True)), key, "left")
     reason = F.when(F.col("has").isNull(), "composition").when(F.col("hit").isNull(), "structure").otherwise("matched")
     return marked.select(key, (reason != "matched").alias("novel"), reason.alias("reason"))

@@ -160,6 +160,16 @@ def test_greedy_structure_dedup(spark):
             kept.append((i, lengths))
 
 
+def test_structures_of_one_cell_are_told_apart_by_their_sites(spark):
+    moved = CIF.replace("0.5", "0.1")
+    assert moved != CIF
+    texts = spark.createDataFrame([(1, CIF), (2, CIF.replace("4.0", "4.1")), (3, moved), (4, moved)], "id int, cif string")
+    blocks = structures.fingerprint_blocks(structures.structure_table(texts), structures.atom_sites(texts), radius=6.0)
+    assert {r["id"]: r["duplicate_of"] for r in structures.drop_similar(blocks).collect()} == {1: None, 2: 1, 3: None, 4: 3}
+    found = structures.novelty_vs_base(blocks.where("id IN (2, 3)"), blocks.where("id = 1"))
+    assert {r["id"]: r["reason"] for r in found.collect()} == {2: "matched", 3: "structure"}
+
+
 def test_charge_balance(spark):
     states = spark.createDataFrame([("Ag", [1], True, 1.9), ("Se", [-2, 4], False, 2.5), ("Cu", [1, 2], True, 1.9)], "element string, states array<int>, is_metal boolean, eneg double")
     rows = spark.createDataFrame([(1, "Ag2Se"), (2, "AgSe"), (3, "AgCu"), (4, "Se"), (5, "XeAg")], "id int, formula string")
