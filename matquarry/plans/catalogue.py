@@ -190,7 +190,23 @@ def q_hash_sample(spark: SparkSession, d: str) -> DataFrame:
     return picked.select("formula", F.md5(F.concat(F.lit("42|"), "formula")).alias("h"))
 
 
-@registered()
+CANON = """list_reduce(list_transform(list_sort([a || ' ' || na, b || ' ' || nb, c || ' ' || nc]),
+  lambda x: CASE WHEN split_part(x, ' ', 2) = '1' THEN split_part(x, ' ', 1) ELSE replace(x, ' ', '') END), lambda x, y: x || y)"""
+_SWAPS = ", ".join(f"('{old}', '{new}')" for old, news in candidates.SUBSTITUTES.items() for new in news)
+MUTATED = f"""{i.COMP}, win AS (SELECT DISTINCT a, na, b, nb, c, nc, {CANON} AS formula FROM comp WHERE p_retailprice < 1000), swap AS (SELECT * FROM (VALUES {_SWAPS}) t(old, new)),
+moved AS (SELECT new AS a, na, b, nb, c, nc FROM win JOIN swap ON old = a WHERE new NOT IN (b, c) UNION ALL SELECT a, na, new, nb, c, nc FROM win JOIN swap ON old = b WHERE new NOT IN (a, c)
+  UNION ALL SELECT a, na, b, nb, new, nc FROM win JOIN swap ON old = c WHERE new NOT IN (a, b) UNION ALL SELECT a, na + d, b, nb, c, nc FROM win, (VALUES (-1), (1)) t(d)
+  UNION ALL SELECT a, na, b, nb + d, c, nc FROM win, (VALUES (-1), (1)) t(d) UNION ALL SELECT a, na, b, nb, c, nc + d FROM win, (VALUES (-1), (1)) t(d)),
+mutated AS (SELECT DISTINCT {CANON} AS formula FROM moved WHERE least(na, nb, nc) >= 1 AND na + nb + nc <= 20),
+new AS (SELECT formula FROM mutated WHERE formula NOT IN (SELECT formula FROM win) ORDER BY md5('42|' || formula), formula LIMIT 70),
+space AS (SELECT a, b, c, na, nb, nc FROM (SELECT unnest({i._listed(i.A)}) AS a), (SELECT unnest({i._listed(i.B)}) AS b), (SELECT unnest({i._listed(i.C)}) AS c),
+  (SELECT unnest(range(2, 11)) AS na), (SELECT unnest(range(1, 11)) AS nb), (SELECT unnest(range(1, 11)) AS nc) WHERE na + nb + nc <= 20),
+named AS (SELECT {CANON} AS formula FROM space),
+drawn AS (SELECT formula FROM named WHERE formula NOT IN (SELECT formula FROM win) AND formula NOT IN (SELECT formula FROM new) ORDER BY md5('42|' || formula), formula LIMIT 100)"""
+
+
+@registered(f"""WITH {MUTATED}, every AS (SELECT formula, 'mutation' AS origin FROM new UNION ALL SELECT formula, 'random' FROM drawn)
+SELECT formula, origin FROM every ORDER BY origin, md5('42|' || formula), formula LIMIT 100""")
 def q_mutation_mix(spark: SparkSession, d: str) -> DataFrame:
     winners = i.compositions(spark, d).where("p_retailprice < 1000").select("formula").distinct()
     winners = winners.select(F.col("formula").alias("f")).select(
@@ -323,8 +339,6 @@ def _ranked(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("iteration").orderBy("k", "id")))
 
 
-CANON = """list_reduce(list_transform(list_sort([a || ' ' || na, b || ' ' || nb, c || ' ' || nc]),
-  lambda x: CASE WHEN split_part(x, ' ', 2) = '1' THEN split_part(x, ' ', 1) ELSE replace(x, ' ', '') END), lambda x, y: x || y)"""
 RANKED = f"""{i.COMP}, ranked AS (SELECT id, {CANON} AS formula, id // 30 AS iteration, p_retailprice / 1000 AS k,
   row_number() OVER (PARTITION BY id // 30 ORDER BY p_retailprice / 1000, id) AS rank FROM comp)"""
 
