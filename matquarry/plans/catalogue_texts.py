@@ -372,3 +372,23 @@ def q_loop_warm(spark: SparkSession, d: str) -> DataFrame:
     """No row is a success at this threshold, so the stable rows start the next iteration."""
     found = loop.extract(i.kappa(spark, d).where("k >= 2"), i.phonon(spark, d), ["ts"], threshold=0.1, wide=9.0)
     return rounded(loop.warm_rows(found, i.predictions(spark, d).select("formula", F.lit(1.0).alias("k"))))
+
+
+# features
+
+
+@registered("""WITH t AS (SELECT l_quantity AS q, l_quantity + 5 * l_discount AS near_q, l_tax AS t, l_extendedprice AS y, CAST(NULL AS DOUBLE) AS z, 1.0::DOUBLE AS c FROM lineitem),
+m AS (SELECT abs(corr(q, near_q)) AS qn, abs(corr(q, t)) AS qt, abs(corr(near_q, t)) AS nt, abs(corr(q, y)) AS qy, abs(corr(near_q, y)) AS ny, count(z) AS n_z, min(c) = max(c) AS one FROM t)
+SELECT 'q' AS feature, CASE WHEN qn > 0.85 AND qy < ny THEN 'like near_q' ELSE 'kept' END AS outcome FROM m UNION ALL SELECT 'again', 'equal to q' FROM m
+UNION ALL SELECT 'near_q', CASE WHEN qn > 0.85 AND qy >= ny THEN 'like q' ELSE 'kept' END FROM m UNION ALL SELECT 't', 'kept' FROM m WHERE qt <= 0.85 AND nt <= 0.85
+UNION ALL SELECT 'z', 'all null' FROM m WHERE n_z = 0 UNION ALL SELECT 'c', 'constant' FROM m WHERE one""")
+def q_pruned_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Columns of the line items sanitised and pruned: null, constant, repeated and correlated ones go."""
+    table = i.table(spark, d, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("id"), F.col("l_quantity").alias("q"), F.col("l_quantity").alias("again"),
+        (F.col("l_quantity") + 5 * F.col("l_discount")).alias("near_q"), F.col("l_tax").alias("t"), F.lit(None).cast("double").alias("z"), F.lit(1.0).alias("c"), F.col("l_extendedprice").alias("y"),
+    )
+    kept, removed = features.sanitise(table, ["q", "again", "near_q", "t", "z", "c"], "id")
+    gone = spark.createDataFrame([*removed.items()], "feature string, outcome string")
+    pruned = features.prune_correlated(table, kept, "y")
+    return pruned.select("feature", F.when(F.col("kept"), "kept").otherwise(F.concat(F.lit("like "), "correlated_with")).alias("outcome")).unionByName(gone)
