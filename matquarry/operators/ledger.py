@@ -23,7 +23,8 @@ def iteration_state(done: DataFrame, steps: DataFrame) -> DataFrame:
     ``steps``: (step, step_no). next_step is the first that is not done; if a later one is
     done, the round is reset from that gap."""
     rounds = done.select("iteration").distinct()
-    grid = rounds.withColumn("__all", F.lit(1)).join(F.broadcast(steps.withColumn("__all", F.lit(1))), "__all").drop("__all")
+    every = steps.agg(F.collect_list(F.struct("step", "step_no")).alias("__steps"))  # one row, of a fixed number of steps
+    grid = rounds.join(F.broadcast(every)).select("iteration", F.inline("__steps"))
     marked = grid.join(done, ["iteration", "step"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
     first_gap = F.min(F.when(~F.col("done"), F.struct("step_no", "step")))
     state = marked.groupBy("iteration").agg(first_gap.alias("gap"), F.max(F.when(F.col("done"), F.col("step_no"))).alias("last"))

@@ -187,8 +187,7 @@ def q_heading_blocks(spark: SparkSession, d: str) -> DataFrame:
 @registered(f"""WITH {MARKDOWN}, s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 0 AS section_no FROM turns WHERE level = 2), w AS (SELECT unnest(['user', 'assist']) AS wanted)
 SELECT doc_id, wanted, role AS title, CAST(section_no AS INT) AS section_no FROM s JOIN w ON contains(lower(role), wanted) QUALIFY row_number() OVER (PARTITION BY doc_id, wanted ORDER BY (lower(role) = wanted) DESC, section_no) = 1""")
 def q_find_section(spark: SparkSession, d: str) -> DataFrame:
-    wanted = spark.createDataFrame([("User",), ("assist ",)], "wanted string")
-    return textops.find_section(textops.sections(_markdown(spark, d)), wanted).select("doc_id", "wanted", "title", "section_no")
+    return textops.find_section(textops.sections(_markdown(spark, d)), ["User", "assist "]).select("doc_id", "wanted", "title", "section_no")
 
 
 @registered(r"""WITH p AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^[ \t\n\x0B\f\r]*(?:#+|[-*+]|\d+\.|>)[ \t\n\x0B\f\r]+', '', 'g'), '[*_`|]+', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS t FROM documents)

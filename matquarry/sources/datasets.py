@@ -56,7 +56,7 @@ def scan_iterations(spark: SparkSession, root: str, kind: str, preferred: Iterab
         {"iteration": F.regexp_extract("source_file", r"iteration_(\d+)", 1).cast("int"), "source_type": F.lit(kind)}
     )
     best = numbered.groupBy("iteration").agg(F.min("__place").alias("__best"))
-    return numbered.join(F.broadcast(best), "iteration").where("__place = __best").drop("__place", "__best")
+    return numbered.join(best, "iteration").where("__place = __best").drop("__place", "__best")
 
 
 def latest_snapshot(table: DataFrame, n: int, column: str = "iteration") -> DataFrame:
