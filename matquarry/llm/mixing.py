@@ -22,9 +22,9 @@ BITS = 10
 BROADCAST_SOURCES = 100_000
 
 
-def id_hash(doc_id: Column, seed: str = "") -> Column:
-    """A number of 60 bits from the md5 digest of the id's text; null ids count as empty."""
-    text = F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")))
+def id_hash(doc_id: Column, text: Column, seed: str = "") -> Column:
+    """A number of 60 bits from the md5 digest of the id's text; a row with a null id has its own text's, null counting as empty."""
+    text = F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), text.cast("string"), F.lit("")))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
@@ -131,7 +131,7 @@ def _sized(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: s
         F.col(f"`{id_col}`").alias("doc_id"),
         F.col(f"`{source_col}`").alias("source"),
         n_words(F.col(f"`{text_col}`")).alias("size"),
-        id_hash(F.col(f"`{id_col}`"), seed).alias("hash"),
+        id_hash(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), seed).alias("hash"),
     )
 
 
@@ -155,7 +155,7 @@ def mix(
 
     size is the number of words (null text: 0), repeats how often the mix takes the
     document, taken the words it takes with that. Rows that share an id share a hash
-    and are taken alike; null ids count as the empty id; the null source is a source of
+    and are taken alike; rows with null ids are told apart by their texts; the null source is a source of
     its own, last in order. Documents of size 0 take 0 words. Other columns are ignored; an empty
     table gives an empty result."""
     sized = materialise(_sized(docs, id_col, source_col, text_col, seed))
@@ -178,7 +178,7 @@ def take(
     """The rows of ``docs`` as often as ``mix`` takes them, with the columns of ``docs``; texts are not shuffled."""
     sized = materialise(_sized(docs, id_col, source_col, text_col, seed).select("source", "size", "hash"))
     rows = docs.select(
-        F.struct("*").alias("row"), F.col(f"`{source_col}`").alias("source"), id_hash(F.col(f"`{id_col}`"), seed).alias("hash")
+        F.struct("*").alias("row"), F.col(f"`{source_col}`").alias("source"), id_hash(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), seed).alias("hash")
     )
     found = _with_repeats(rows, limits_of(sized, weights, share, most)).where("repeats > 0")
     repeated = found.select("row", F.explode(F.array_repeat(F.lit(0), F.col("repeats"))))
