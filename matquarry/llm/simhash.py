@@ -246,14 +246,26 @@ def _search_shards(batches: Iterable[pa.RecordBatch], radius: int) -> Iterator[p
             yield _links_batch(found)
 
 
-def connected_components(links: DataFrame) -> DataFrame:
-    """(u, root): every node of the links (u, v) with the smallest node of its component.
+def _roots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forest = Forest()
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            forest.join(u, v)
+    pairs = np.array(forest.links(), np.int64).reshape(-1, 2)
+    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "root"])
+
+
+def connected_components(links: DataFrame, few: int = 500_000) -> DataFrame:
+    """(u, root): every node of the links (u, v) but the smallest of each component, with that one.
 
-    Rounds of large-star and small-star: each hooks the neighbours of a node to the
+    At most ``few`` distinct links, whose number is checked, go through a union-find in one task. More take
+    rounds of large-star and small-star: each hooks the neighbours of a node to the
     smallest of them, so edges shrink to stars in a logarithmic number of rounds in
     practice. Minima are combined before the shuffle and joined back, so a node with
     very many neighbours is never gathered in one place."""
     edges = materialise(links.where("u <> v").select("u", "v").distinct())
+    if edges.count() <= few:
+        return materialise(edges.coalesce(1).mapInArrow(_roots, "u long, root long"))
     before = None
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

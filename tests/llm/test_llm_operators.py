@@ -81,14 +81,14 @@ def test_simhash_matches_brute_force(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("shard_rows, broadcast_rows", [(3, 0), (2048, 0), (2048, 65_536)])
-def test_links_span_components_whatever_the_shards(spark, shard_rows, broadcast_rows):
+@pytest.mark.parametrize("shard_rows, broadcast_rows, few", [(3, 0, 0), (2048, 0, 500_000), (2048, 65_536, 500_000)])
+def test_links_span_components_whatever_the_shards(spark, shard_rows, broadcast_rows, few):
     rng = np.random.default_rng(5)
     centre = int(rng.integers(1 << 62))
     values = {centre ^ sum(1 << int(b) for b in rng.integers(64, size=rng.integers(0, 6))) for _ in range(150)} | {int(x) for x in rng.integers(1 << 62, size=100)}
     values = [v - (1 << 64) if v >= 1 << 63 else v for v in values]
     distinct = spark.createDataFrame([(v,) for v in values], "fp long")
-    stars = simhash.connected_components(simhash.fingerprint_links(distinct, 3, shard_rows, broadcast_rows))
+    stars = simhash.connected_components(simhash.fingerprint_links(distinct, 3, shard_rows, broadcast_rows), few)
     root = {r["u"]: r["root"] for r in stars.collect()}
     want = components([(i, v & (1 << 64) - 1) for i, v in enumerate(values)])
     groups = defaultdict(set)
@@ -588,7 +588,7 @@ def slow_targets(sizes):
 def test_mixing_meets_targets(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [None, "b", "B", "é", "c", ""][int(rng.choice(6, p=[0.05, 0.4, 0.2, 0.1, 0.2, 0.05]))], prose(i, int(rng.integers(0, 60)))) for i in range(600)]
-    rows += [(None, "b", None), (7, "b", prose(7, 5)), (7, "b", prose(7, 5))]
+    rows += [(None, "b", None), (7, "b", prose(7, 5)), (7, "b", prose(7, 5))] + [(None, "no ids", prose(9000 + i, 20)) for i in range(100)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumns({c: F.lit(1) for c in ("size", "hash", "budget", "row")})
     got = mixing.mix(df).collect()
     sizes = Counter()
