@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive, bytebpe, graphann, licenses, linededup, mixing, repetition, secretscan, simhash, toxicity
+from . import additive, bytebpe, fingerprint, graphann, licenses, linededup, mixing, repetition, secretscan, simhash, toxicity
 from .common import table
 
 
@@ -78,6 +78,19 @@ def op10_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op13_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint.printed(F.col("vector")).alias("fingerprint"),
+        fingerprint.printed(F.col("edited_vector")).alias("edited_fingerprint"),
+        fingerprint.likeness(F.col("vector"), F.col("edited_vector")).alias("near_edited"),
+        fingerprint.likeness(F.col("vector"), F.col("next_vector")).alias("near_next"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -90,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licenses": op8_licenses,
         "op9_mixing": op9_mixing,
         "op10_graph_ann": op10_graph_ann,
+        "op13_fingerprint": op13_fingerprint,
     }
 
 
@@ -98,4 +112,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_repetition": repetition.oracle_sql(),
         "op8_licenses": licenses.oracle_sql(),
         "op9_mixing": mixing.ORACLE_SQL,
+        "op13_fingerprint": fingerprint.oracle_sql(),
     }
