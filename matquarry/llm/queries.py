@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive, bytebpe, fingerprint, graphann, licenses, linededup, mixing, prefixtrie, repetition, secretscan, simhash, toxicity
+from . import additive, bytebpe, fingerprint, graphann, licenses, linededup, mixing, prefixtrie, repetition, secretscan, simhash, spelling, toxicity
 from .common import table
 
 
@@ -78,6 +78,10 @@ def op10_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.trie(table(spark, sf_dir, "conversations"))
 
@@ -107,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licenses": op8_licenses,
         "op9_mixing": op9_mixing,
         "op10_graph_ann": op10_graph_ann,
+        "op11_spelling": op11_spelling,
         "op12_prefix_trie": op12_prefix_trie,
         "op13_fingerprint": op13_fingerprint,
     }
@@ -117,6 +122,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_repetition": repetition.oracle_sql(),
         "op8_licenses": licenses.oracle_sql(),
         "op9_mixing": mixing.ORACLE_SQL,
+        "op11_spelling": spelling.ORACLE_SQL,
         "op12_prefix_trie": prefixtrie.ORACLE_SQL,
         "op13_fingerprint": fingerprint.oracle_sql(),
     }
