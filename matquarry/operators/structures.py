@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import formulas as fx
 from ..functions import numeric as nx
+from ..sources import shared
 
 LENGTHS, ANGLES = ("a", "b", "c"), ("alpha", "beta", "gamma")
 SPACE_GROUP, SUM = "_symmetry_space_group_name_H-M", "_chemical_formula_sum"
@@ -104,9 +106,10 @@ def multiplicity_check(table: DataFrame, sites: DataFrame, key: str = "id") -> D
 def site_distances(table: DataFrame, sites: DataFrame, radius: float = 8.0, key: str = "id") -> DataFrame:
     """(key, i, j, distance): distances of site pairs with periodic images within the radius.
 
-    Sites meet only sites of their own structure. Along each axis as many images are tried as the radius holds
-    distances between the cell's faces, and one more, as positions inside a cell differ by less than one: no pair within the radius is
-    missed. A site's own images count. Cells without a volume give no rows."""
+    Sites and images of a structure are dealt to cubes as wide as the radius, and a site meets the images of its cube and the 26 around, so
+    the pairs tried grow with those found, however large a structure is. Along each axis as many images are made as the radius holds
+    distances between the cell's faces, and one more, as positions inside a cell differ by less than one; those farther than the radius from the box
+    around the sites are left out. No pair within the radius is missed. A site's own images count. Cells without a volume give no rows."""
     cart = {
         "ax": F.col("a"),
         "bx": F.expr("b * cos(radians(gamma))"),
@@ -120,11 +123,26 @@ def site_distances(table: DataFrame, sites: DataFrame, radius: float = 8.0, key:
     # one lattice a structure; the aggregate also keeps filters on distances from being pushed into its text expressions
     cell = table.groupBy(key).agg(F.first("lattice").alias("lattice")).select(key, "lattice.*").withColumns(cart).withColumn("cz", F.expr("sqrt(greatest(0, c * c - cx * cx - cy * cy))"))
     cell = cell.where("ax * by * cz > 1e-6").withColumns(steps).select(key, *cart, "cz", *steps)
-    left = sites.select(key, F.col("position").alias("i"), *(F.col(x).alias(f"{x}1") for x in "xyz"))
-    right = sites.select(key, F.col("position").alias("j"), *(F.col(x).alias(f"{x}2") for x in "xyz"))
-    pairs = left.join(right, key).join(cell, key)
+    placed = sites.select(key, "position", "x", "y", "z").where("x + y + z IS NOT NULL").join(cell, key)
+    at = {"px": "ax * ({x}) + bx * ({y}) + cx * ({z})", "py": "by * ({y}) + cy * ({z})", "pz": "cz * ({z})"}
+    edge = radius * (1 + 1e-9)  # so that rounding does not part neighbours by two cubes
+
+    def cubes(names: str) -> list[Column]:
+        return [F.floor(F.col(f"p{x}") / edge).alias(f"q{x}") for x in names]
+
+    home = placed.withColumns({c: F.expr(e.format(x="x", y="y", z="z")) for c, e in at.items()})
+    box = home.groupBy(key).agg(*(f(c).alias(f"{n}_{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in at))
+    images = placed
     for axis in "uvw":
-        pairs = pairs.withColumn(axis, F.explode(F.expr(f"sequence(-n{axis}, n{axis})")))
+        images = images.withColumn(axis, F.explode(F.expr(f"sequence(-n{axis}, n{axis})")))
+    images = images.withColumns({c: F.expr(e.format(x="x + u", y="y + v", z="z + w")) for c, e in at.items()}).join(box, key)
+    for c in at:
+        images = images.where(F.col(c).between(F.col(f"lo_{c}") - edge, F.col(f"hi_{c}") + edge))
+    images = images.select(key, F.col("position").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("z2"), "u", "v", "w", *cubes("xyz"))
+    left = home.select(key, F.col("position").alias("i"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("z").alias("z1"), *cart, "cz", *cubes("xyz"))
+    for axis in "xyz":
+        left = left.withColumn(f"q{axis}", F.explode(F.array(*(F.col(f"q{axis}") + d for d in (-1, 0, 1)))))
+    pairs = left.join(images, [key, "qx", "qy", "qz"])
     shifted = pairs.selectExpr("*", "x2 - x1 + u AS fx", "y2 - y1 + v AS fy", "z2 - z1 + w AS fz")
     distance = F.expr("sqrt(pow(ax * fx + bx * fy + cx * fz, 2) + pow(by * fy + cy * fz, 2) + pow(cz * fz, 2))")
     return shifted.where("i <> j OR u <> 0 OR v <> 0 OR w <> 0").select(key, "i", "j", distance.alias("distance")).where(F.col("distance") <= radius)
@@ -202,7 +220,9 @@ def fingerprint_blocks(table: DataFrame, sites: DataFrame, key: str = "id", n: i
 
 
 def similar(left: str, right: str, length: float = 0.2, angle: float = 5.0, site: float | None = None) -> Column:
-    """Sorted unit-volume lengths within a relative tolerance, sorted angles within degrees and, if ``site`` is given, profiles within that."""
+    """Sorted unit-volume lengths within a relative tolerance, sorted angles within degrees and, if ``site`` is given, profiles within that.
+
+    A profile's number that only one side has is a difference."""
 
     def zipped(column: str) -> Column:
         return F.arrays_zip(F.col(f"{left}.{column}").alias("l"), F.col(f"{right}.{column}").alias("r"))
@@ -211,51 +231,106 @@ def similar(left: str, right: str, length: float = 0.2, angle: float = 5.0, site
     turned = F.forall(zipped("angles"), lambda p: F.abs(p["l"] - p["r"]) <= angle)
     if site is None:
         return F.coalesce(near & turned, F.lit(False))
-    placed = F.forall(zipped("profile"), lambda p: F.coalesce(F.abs(p["l"] - p["r"]) <= site, F.lit(True)))
+    placed = F.forall(zipped("profile"), lambda p: F.coalesce(F.abs(p["l"] - p["r"]) <= site, p["l"].isNull() & p["r"].isNull()))
     return F.coalesce(near & turned & F.coalesce(placed, F.lit(True)), F.lit(False))
 
 
+def _cells(blocks: DataFrame, length: float, angle: float, around: bool) -> DataFrame:
+    """``blocks`` with ``__cell``, a grid cell by logarithms of the shortest and longest length and the smallest angle; ``around``: each of the 27 about its own.
+
+    Similar structures are at most one cell apart on each axis."""
+    width = -math.log(1 - length)
+
+    def step(value: Column, size: float) -> Column:
+        own = F.floor(value / size)
+        return F.explode(F.array(own - 1, own, own + 1)) if around else own
+
+    def log(value: Column) -> Column:
+        return F.when(value > 0, F.log(value)).otherwise(F.lit(-1e6))
+
+    out = blocks.withColumn("__c1", step(log(F.col("lengths")[0]), width)).withColumn("__c2", step(log(F.col("lengths")[2]), width))
+    out = out.withColumn("__c3", step(F.col("angles")[0], angle))
+    return out.withColumn("__cell", F.struct("__c1", "__c2", "__c3")).drop("__c1", "__c2", "__c3")
+
+
+def _alike(first: DataFrame, second: DataFrame, by: tuple[str, ...], key: str, length: float, angle: float, site: float | None, ordered: bool) -> DataFrame:
+    """(a, b): keys of similar structures of two tables that agree in ``by``, if ``ordered`` with a before b."""
+    left, right = _cells(first, length, angle, False).alias("l"), _cells(second, length, angle, True).alias("r")
+    meets = F.col("l.__cell") == F.col("r.__cell")
+    for c in by:
+        meets = meets & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    if ordered:
+        meets = meets & (F.col(f"l.{key}") < F.col(f"r.{key}"))
+    return left.join(right, meets).where(similar("l", "r", length, angle, site)).select(F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b"))
+
+
+def _numbered(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``__rank``, their place in the order of the key, from counts of ranges and places inside each."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = shared.written(rows.repartitionByRange(parts, key).withColumn("__part", F.spark_partition_id()))
+    counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row a range
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(key))
+    return dealt.withColumn("__i", inside).join(F.broadcast(before), "__part").withColumn("__rank", F.col("__before") + F.col("__i") - 1).drop("__part", "__i", "__before")
+
+
 def drop_similar(
-    blocks: DataFrame, length: float = 0.2, angle: float = 5.0, by: tuple[str, ...] = ("block", "n_sites"), key: str = "id", site: float = 0.3
+    blocks: DataFrame, length: float = 0.2, angle: float = 5.0, by: tuple[str, ...] = ("block", "n_sites"), key: str = "id", site: float = 0.3, first_batch: int = 4096
 ) -> DataFrame:
     """(key, kept, duplicate_of): keep-first deduplication inside each block, in the order of the key.
 
-    A structure is a duplicate of the first kept one that it is similar to. The rule is
-    sequential inside a block, so a block is walked in one task; only its key and some
-    numbers a structure go there. Structures without a whole lattice are left out. Profiles are compared where ``blocks`` have them."""
-    profiled = "profile" in blocks.columns
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, out = [], []
-
-        def placed(a, b) -> bool:
-            return a is None or b is None or all(x is None or y is None or x != x or y != y or abs(x - y) <= site for x, y in zip(a, b))
-
-        for row in pdf.sort_values(key).itertuples(index=False):
-            lengths, angles, profile = row.lengths, row.angles, row.profile if profiled else None
-            if any(v is None or v != v for v in (*lengths, *angles)):
-                continue
-            match = next(
-                (
-                    k for k, kl, ka, kp in kept
-                    if all(abs(x - y) <= length * max(x, y) for x, y in zip(lengths, kl)) and all(abs(x - y) <= angle for x, y in zip(angles, ka)) and placed(profile, kp)
-                ),
-                None,
-            )
-            if match is None:
-                kept.append((getattr(row, key), lengths, angles, profile))
-            out.append((getattr(row, key), match is None, match))
-        return pd.DataFrame(out, columns=[key, "kept", "duplicate_of"])
-
-    kind = blocks.schema[key].dataType.simpleString()
-    return blocks.select(key, *by, "lengths", "angles", *(["profile"] if profiled else [])).groupBy(*by).applyInPandas(walk, f"{key} {kind}, kept boolean, duplicate_of {kind}")
+    A structure is a duplicate of the first kept one that it is similar to: what is kept is the lexicographically first maximal
+    independent set of the similar pairs. Structures of equal numbers count as their first one. The others are taken in batches of the order, each as
+    large as all before it: first those similar to a structure kept already go, so that crowds of near copies never meet each
+    other; among the rest, rounds keep what no undecided smaller structure is similar to, and drop what is similar to that. Pairs meet in grid
+    cells of the lattice by joins; no task holds a block. Structures without a whole lattice are left out. Profiles are compared where ``blocks`` have them."""
+    profiled = ["profile"] if "profile" in blocks.columns else []
+    compared = [*by, "lengths", "angles", *profiled]
+    whole = F.forall(F.concat("lengths", "angles"), lambda v: v.isNotNull() & ~F.isnan(v))
+    rows = blocks.where(F.coalesce(whole, F.lit(False))).select(key, *compared).withColumn("__shape", F.md5(F.to_json(F.struct(*compared))))
+    rows = shared.written(rows)
+    firsts = rows.groupBy("__shape").agg(F.min(F.struct(key, *compared)).alias("r")).select("r.*")
+    numbered = shared.written(_numbered(firsts, key))
+    count, near = numbered.count(), site if profiled else None
+    kept, duplicates, start, end = None, [], 0, first_batch
+    while start < count or kept is None:
+        batch = numbered.where(F.col("__rank").between(start, end - 1)).drop("__rank")
+        if kept is not None:
+            gone = shared.written(_alike(kept, batch, by, key, length, angle, near, False).groupBy("b").agg(F.min("a").alias("a")))
+            duplicates.append(gone)
+            batch = shared.written(batch.join(gone.select(F.col("b").alias(key)), key, "left_anti"))
+        edges = shared.written(_alike(batch, batch, by, key, length, angle, near, True))
+        dropped = _dropped(edges).withColumnRenamed("b", key)
+        new = batch.join(dropped, key, "left_anti")
+        kept = shared.written(new if kept is None else kept.unionByName(new))
+        duplicates.append(edges.join(kept.select(F.col(key).alias("a")), "a").groupBy("b").agg(F.min("a").alias("a")))
+        start, end = end, 2 * end
+    found = duplicates[0]
+    for d in duplicates[1:]:
+        found = found.unionByName(d)
+    stands = rows.groupBy("__shape").agg(F.min(key).alias("__first"))
+    every = rows.select(key, "__shape").join(stands, "__shape").join(found.select(F.col("b").alias("__first"), F.col("a").alias("__of")), "__first", "left")
+    of = F.coalesce("__of", F.when(F.col(key) != F.col("__first"), F.col("__first")))
+    return every.select(key, of.isNull().alias("kept"), of.alias("duplicate_of"))
+
+
+def _dropped(edges: DataFrame) -> DataFrame:
+    """(b): what the first maximal independent set leaves out, by rounds over (a, b) with a before b."""
+    out, left = None, edges
+    while not left.isEmpty():
+        sure = left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        gone = shared.written(left.join(sure, "a").select("b").distinct())
+        out = gone if out is None else out.unionByName(gone)
+        # with what is dropped go its edges both ways; those of kept rows lead to dropped ones only
+        left = shared.written(left.join(gone, "b", "left_anti").join(gone.select(F.col("b").alias("a")), "a", "left_anti"))
+    return edges.select("b").limit(0) if out is None else out
 
 
 def novelty_vs_base(generated: DataFrame, base: DataFrame, length: float = 0.2, angle: float = 5.0, key: str = "id", site: float = 0.3) -> DataFrame:
     """(key, novel, reason): novel by composition if the base has no such formula, else unless a base structure is similar."""
     keys = base.select("block").distinct().withColumn("has", F.lit(True))
-    left, right = generated.alias("g"), base.alias("b")
-    matched = left.join(right, F.expr("g.block = b.block")).where(similar("g", "b", length, angle, site if "profile" in generated.columns else None)).select(F.col(f"g.{key}").alias(key)).distinct()
+    matched = _alike(base, generated, ("block",), key, length, angle, site if "profile" in generated.columns else None, False)
+    matched = matched.select(F.col("b").alias(key)).distinct()
     marked = generated.select(key, "block").join(keys, "block", "left").join(matched.withColumn("hit", F.lit(True)), key, "left")
     reason = F.when(F.col("has").isNull(), "composition").when(F.col("hit").isNull(), "structure").otherwise("matched")
     return marked.select(key, (reason != "matched").alias("novel"), reason.alias("reason"))

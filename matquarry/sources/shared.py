@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def new_place(spark: SparkSession) -> str:
@@ -17,3 +17,10 @@ def new_place(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return f"{context.getCheckpointDir()}/place-{uuid.uuid4()}"
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the shared folder once, for what reads them several times. The cluster's owner clears the folder."""
+    place = new_place(rows.sparkSession)
+    rows.write.parquet(place)
+    return rows.sparkSession.read.parquet(place)
