@@ -124,10 +124,11 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     gives no rows; other columns of ``docs`` may have any name."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
-    texts = texts.withColumns({"text_md5": F.md5("text"), "n_chars": F.length("text").cast("long")})
-    places = materialise(next_places(texts.select("doc_id", "text_md5", "n_chars").distinct()))
+    texts = texts.withColumn("text_md5", F.md5("text"))
+    keys = texts.select("doc_id", "text_md5", F.length("text").cast("long").alias("n_chars"))
+    places = materialise(next_places(keys.distinct()))
     texts = with_vector(texts, "text", "vector")
-    # both joins deal the texts by the same key, so they are shuffled once
+    # both joins deal the same columns of the texts by the same key, so they are shuffled once
     owners = places.select(
         F.col("next_id").alias("key_id"), F.col("next_md5").alias("key_md5"), F.col("doc_id").alias("owner_id"), F.col("text_md5").alias("owner_md5"), F.floor(F.col("n_chars") / 3).alias("cut")
     )
@@ -135,6 +136,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     follows = follows.select("owner_id", "owner_md5", F.expr("substring(text, 1, cut)").alias("head"), F.col("vector").alias("next_vector"), F.col("doc_id").alias("next_id"))
     follows = follows.dropDuplicates(["owner_id", "owner_md5"])
     both = texts.join(follows, F.col("doc_id").eqNullSafe(F.col("owner_id")) & (F.col("text_md5") == F.col("owner_md5")))
+    both = both.withColumn("n_chars", F.length("text").cast("long"))
     stays = F.col("n_chars") - F.floor(F.col("n_chars") / 3)
     both = both.withColumn("kept", F.expr("substring(text, 1, n_chars - floor(n_chars / 3))"))
     opened = F.substring_index("kept", "\n", -1)  # of the paragraph that is cut
