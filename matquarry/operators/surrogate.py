@@ -1,17 +1,19 @@
-"""Surrogate models: Gaussian-process experts, and feature ranking by tree ensembles."""
+"""Surrogate models: sparse Gaussian processes, and feature ranking by tree ensembles."""
 
 from __future__ import annotations
 
-import math
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import shared
-from .features import exact_folds, exact_ranks, regression_metrics
+from . import attribution
+from .features import exact_folds, regression_metrics
 
 JITTER = 1e-6
 
@@ -32,7 +34,7 @@ def kernel(a: np.ndarray, b: np.ndarray, length: float, amplitude: float, rq_len
 
 @dataclass
 class Expert:
-    """An exact Gaussian process over the rows of one shard."""
+    """An exact Gaussian process, which the sparse one is held against."""
 
     x: np.ndarray
     alpha: np.ndarray
@@ -59,100 +61,256 @@ class Expert:
         return self.mean + across.T @ self.alpha, variance, np.full(len(x), self.amplitude)
 
 
-def _shards(rows: DataFrame, key: str, expert_rows: int) -> tuple[DataFrame, int]:
-    """``rows`` with ``__shard`` by hash of the key, some ``expert_rows`` in each, and the number of shards."""
-    shards = max(1, -(-rows.count() // expert_rows))
-    return rows.withColumn("__shard", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")), shards
+@dataclass
+class SparseProcess:
+    """A Gaussian process on inducing points: all rows count, in sums over the points.
+
+    With every row as a point it is the exact process (``Expert``). ``weights`` are of the points' kernel values in the mean, ``root`` and
+    ``inner`` the Cholesky factors of the points' own kernel and of I + root^-1 S root^-T / noise, where S sums the rows' outer products."""
+
+    points: np.ndarray
+    weights: np.ndarray
+    root: np.ndarray
+    inner: np.ndarray
+    mean: float
+    amplitude: float
+    length: float
+    rq_length: float
+    shift: np.ndarray
+    scale: np.ndarray
+
+    @classmethod
+    def solve(cls, points: np.ndarray, sums: Sums, setting: Setting, shift: np.ndarray, scale: np.ndarray) -> SparseProcess:
+        mean = sums.y / max(sums.n, 1)
+        amplitude = max(sums.yy / max(sums.n, 1) - mean * mean, 1e-6)
+        root = np.linalg.cholesky(kernel(points, points, setting.length, 1.0, setting.rq_length) + JITTER * np.eye(len(points)))
+        half = np.linalg.solve(root, np.linalg.solve(root, sums.outer).T)
+        inner = np.linalg.cholesky(np.eye(len(points)) + (half + half.T) / (2 * setting.noise))
+        target = np.linalg.solve(root, sums.cross - mean * sums.plain) / setting.noise
+        weights = np.linalg.solve(root.T, np.linalg.solve(inner.T, np.linalg.solve(inner, target)))
+        return cls(points, weights, root, inner, mean, amplitude, setting.length, setting.rq_length, shift, scale)
+
+    def predict(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and variance of the latent value of unscaled rows."""
+        across = kernel(self.points, (rows - self.shift) / self.scale, self.length, 1.0, self.rq_length)
+        half = np.linalg.solve(self.root, across)
+        left = np.linalg.solve(self.inner, half)
+        variance = self.amplitude * np.maximum(1 - (half * half).sum(0) + (left * left).sum(0), 1e-12)
+        return self.mean + across.T @ self.weights, variance
+
+
+@dataclass(frozen=True)
+class Setting:
+    length: float
+    rq_length: float
+    noise: float
+
+
+@dataclass
+class Sums:
+    """What a process needs of its rows: outer products of their kernel values at the points, these times the target, these alone, and the targets' moments."""
+
+    outer: np.ndarray
+    cross: np.ndarray
+    plain: np.ndarray
+    n: float
+    y: float
+    yy: float
+
+    @classmethod
+    def none(cls, m: int) -> Sums:
+        return cls(np.zeros((m, m)), np.zeros(m), np.zeros(m), 0.0, 0.0, 0.0)
+
+    def add(self, across: np.ndarray, y: np.ndarray) -> None:
+        self.outer += across @ across.T
+        self.cross += across @ y
+        self.plain += across.sum(1)
+        self.n, self.y, self.yy = self.n + len(y), self.y + y.sum(), self.yy + (y * y).sum()
+
+    def without(self, other: Sums) -> Sums:
+        return Sums(*(a - b for a, b in zip(self._parts(), other._parts())))
+
+    def plus(self, other: Sums) -> Sums:
+        return Sums(*(a + b for a, b in zip(self._parts(), other._parts())))
+
+    def _parts(self) -> tuple:
+        return self.outer, self.cross, self.plain, self.n, self.y, self.yy
+
+    def packed(self) -> bytes:
+        return np.concatenate([np.ravel(x) for x in self._parts()]).tobytes()
+
+    @classmethod
+    def unpacked(cls, data: bytes, m: int) -> Sums:
+        v = np.frombuffer(data)
+        return cls(v[: m * m].reshape(m, m), v[m * m : m * m + m], v[m * m + m : m * m + 2 * m], *v[m * m + 2 * m :].tolist())
+
+
+DEFAULT_LENGTHS, DEFAULT_RQ_LENGTHS, DEFAULT_NOISES = (1.0, 2.0, 4.0), (1.0, 4.0), (1e-3, 1e-2)
+
+
+def _modelled(table: DataFrame, columns: list[str], target: str, key: str) -> DataFrame:
+    """(key, columns, __y): rows with whole features and a positive target, its log as ``__y``."""
+    rows = table.where(F.col(target) > 0).select(key, *(F.col(c).cast("double").alias(c) for c in columns), F.log(F.col(target).cast("double")).alias("__y"))
+    whole = F.forall(F.array(*columns), lambda v: v.isNotNull() & ~F.isnan(v))
+    return rows.where(whole)
+
+
+def inducing_points(rows: DataFrame, columns: list[str], m: int) -> np.ndarray:
+    """At most ``m`` distinct rows' features, those of the least hash; what a driver holds of the table is bounded by ``m``."""
+    distinct = rows.select(*columns).distinct()
+    found = distinct.orderBy(F.xxhash64(*columns), *columns).limit(m).collect()
+    return np.array([tuple(r) for r in found], float).reshape(len(found), len(columns))
+
+
+def _sums(rows: DataFrame, columns: list[str], points: np.ndarray, kernels: list[tuple[float, float]], shift: np.ndarray, scale: np.ndarray, tasks: int) -> dict[tuple[int, int], Sums]:
+    """Sums of each (kernel, fold), added up in every task first; ``rows`` have ``__y`` and ``fold``. They are as many as kernels times folds."""
+    m = len(points)
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[tuple[int, int], Sums] = {}
+        for frame in frames:
+            x = (frame[columns].to_numpy(float) - shift) / scale
+            y, folds = frame["__y"].to_numpy(float), frame["fold"].to_numpy()
+            for k, (length, rq_length) in enumerate(kernels):
+                across = kernel(points, x, length, 1.0, rq_length)
+                for f in np.unique(folds):
+                    found.setdefault((k, int(f)), Sums.none(m)).add(across[:, folds == f], y[folds == f])
+        for (k, f), s in found.items():
+            yield pd.DataFrame({"k": [k], "fold": [f], "data": [s.packed()]})
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = Sums.none(m)
+        for data in pdf["data"]:
+            total = total.plus(Sums.unpacked(data, m))
+        return pd.DataFrame({"k": pdf["k"].iloc[:1], "fold": pdf["fold"].iloc[:1], "data": [total.packed()]})
+
+    # no more tasks than asked for, so that what is merged stays small
+    parts = rows.coalesce(tasks).mapInPandas(add, "k int, fold int, data binary").groupBy("k", "fold").applyInPandas(merge, "k int, fold int, data binary")
+    return {(r["k"], r["fold"]): Sums.unpacked(bytes(r["data"]), m) for r in parts.collect()}
+
+
+def _solved(spark: SparkSession, points: np.ndarray, jobs: list[tuple[Sums, Setting]], shift: np.ndarray, scale: np.ndarray) -> list[SparseProcess]:
+    """The process of each job's sums, solved in tasks, whose linear algebra keeps to the cores they were given."""
+    m = len(points)
+    table = spark.createDataFrame([(i, s.packed(), t.length, t.rq_length, t.noise) for i, (s, t) in enumerate(jobs)], "i int, data binary, length double, rq_length double, noise double")
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                model = SparseProcess.solve(points, Sums.unpacked(bytes(r.data), m), Setting(r.length, r.rq_length, r.noise), shift, scale)
+                yield pd.DataFrame({"i": [r.i], "model": [pickle.dumps(vars(model))]})
+
+    return [SparseProcess(**pickle.loads(bytes(r["model"]))) for r in sorted(table.mapInPandas(solve, "i int, model binary").collect())]
 
 
 def tune(
-    table: DataFrame, columns: list[str], target: str, key: str, lengths: tuple[float, ...] = (1.0, 2.0, 4.0), rq_lengths: tuple[float, ...] = (1.0, 4.0),
-    noises: tuple[float, ...] = (1e-3, 1e-2), folds: int = 5, expert_rows: int = 500, seed: int = 42,
-) -> DataFrame:
-    """(length, rq_length, noise, fold, n, r2, mae, rmse): cross-validation of each setting over all rows.
-
-    Rows with a positive target are dealt to the experts that ``predict_experts`` would fit; in each, a fold is predicted from the expert's
-    other rows, one task a (setting, fold, expert). The log target is modelled."""
-    means, deviations = standardisation(table, columns)
-    rows, _ = _shards(exact_folds(table.where(F.col(target) > 0).select(key, *columns, target), key, folds, seed), key, expert_rows)
-    settings = F.array(*(F.struct(F.lit(a).alias("length"), F.lit(r).alias("rq_length"), F.lit(b).alias("noise")) for a in lengths for r in rq_lengths for b in noises))
-    tasks = rows.withColumn("__of", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).select("*", F.inline(settings))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = (pdf[columns].to_numpy(float) - means) / deviations
-        y = np.log(pdf[target].to_numpy(float))
-        test = (pdf["fold"] == pdf["__of"]).to_numpy()
-        out = pdf.loc[test, ["length", "rq_length", "noise", "__of"]].rename(columns={"__of": "fold"})
-        if (~test).any():
-            setting = (float(pdf[c].iloc[0]) for c in ("length", "noise", "rq_length"))
-            guess = Expert.fit(x[~test], y[~test], *setting).predict(x[test])[0]
-        else:
-            guess = 0.0
-        return out.assign(truth=y[test], guess=guess)
-
-    names = ["length", "rq_length", "noise"]
-    predicted = tasks.groupBy(*names, "__of", "__shard").applyInPandas(one, "length double, rq_length double, noise double, fold int, truth double, guess double")
-    return regression_metrics(predicted, "truth", "guess", [*names, "fold"])
-
-
-def predict_experts(
-    train: DataFrame, candidates: DataFrame, columns: list[str], target: str, key: str, length: float = 2.0, noise: float = 1e-2, expert_rows: int = 500,
-    rq_length: float | None = None, block_rows: int = 4096,
+    table: DataFrame, columns: list[str], target: str, key: str, lengths: tuple[float, ...] = DEFAULT_LENGTHS, rq_lengths: tuple[float, ...] = DEFAULT_RQ_LENGTHS,
+    noises: tuple[float, ...] = DEFAULT_NOISES, folds: int = 10, m: int = 128, seed: int = 42, tasks: int = 200,
 ) -> DataFrame:
-    """``candidates`` with mu_log, sigma_log, k_pred, k_lower and k_upper, by a robust committee of experts.
-
-    Training rows with a positive target go to experts of about ``expert_rows`` by hash, fitted in parallel and written to the shared folder. Blocks of
-    candidates meet every expert in a shuffle, and the committee's sums are aggregated, so no expert is left out and none passes through the
-    driver. Keys of candidates are unique; rows without a key or with a null feature get nulls."""
-    means, deviations = standardisation(train, columns)
-    dealt, shards = _shards(train.where(F.col(target) > 0).select(key, *columns, target), key, expert_rows)
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = (pdf[columns].to_numpy(float) - means) / deviations
-        e = Expert.fit(x, np.log(pdf[target].to_numpy(float)), length, noise, rq_length)
-        one = {"x": e.x.tobytes(), "alpha": e.alpha.tobytes(), "factor": e.factor.tobytes(), "mean": e.mean, "amplitude": e.amplitude}
-        return pd.DataFrame({"__shard": [int(pdf["__shard"].iloc[0])], **{c: [v] for c, v in one.items()}})
-
-    place = shared.new_place(train.sparkSession)
-    schema = "__shard int, x binary, alpha binary, factor binary, mean double, amplitude double"
-    dealt.repartition(4 * shards, "__shard").groupBy("__shard").applyInPandas(pack, schema).write.parquet(place)
-    experts = train.sparkSession.read.parquet(place)
-    prior = experts.agg(F.avg("mean").alias("m"), F.avg("amplitude").alias("a")).first()
-    prior_mean, prior_amplitude = float(prior["m"] or 0.0), float(prior["a"] or 1.0)
-
-    asked = candidates.select(F.col(key).alias("__key"), *(F.col(c).cast("double").alias(c) for c in columns)).dropna()
-    blocks = max(1, -(-asked.count() // block_rows))
-    left = experts.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asked.withColumn("__block", F.pmod(F.xxhash64("__key"), F.lit(blocks)).cast("int"))
-    right = right.withColumn("__shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def predict(own: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"__key": block["__key"], "precision": 0.0, "weighted": 0.0, "beta": 0.0})
-        if len(own) and len(block):
-            e, n = own.iloc[0], len(own["alpha"].iloc[0]) // 8
-            expert = Expert(np.frombuffer(e["x"]).reshape(n, -1), np.frombuffer(e["alpha"]), np.frombuffer(e["factor"]).reshape(n, n), e["mean"], length, e["amplitude"], noise, rq_length)
-            mu, variance, _ = expert.predict((block[columns].to_numpy(float) - means) / deviations)
-            beta = 0.5 * np.maximum(math.log(prior_amplitude) - np.log(variance), 0)
-            out = out.assign(precision=beta / variance, weighted=beta * (mu - prior_mean) / variance, beta=beta)
-        return out
-
-    kind = asked.schema["__key"].dataType.simpleString()
-    tasks = 4 * shards * blocks
-    parts = left.repartition(tasks, "__shard", "__block").groupBy("__shard", "__block").cogroup(right.repartition(tasks, "__shard", "__block").groupBy("__shard", "__block"))
-    sums = parts.applyInPandas(predict, f"__key {kind}, precision double, weighted double, beta double").groupBy("__key").agg(*(F.sum(c).alias(c) for c in ("precision", "weighted", "beta")))
-    precision = F.greatest(F.col("precision") + (1 - F.col("beta")) / prior_amplitude, F.lit(1e-12))
-    found = sums.select("__key", (F.lit(prior_mean) + F.col("weighted") / precision).alias("mu_log"), F.sqrt(1 / precision).alias("sigma_log"))
-    kept = candidates.drop("mu_log", "sigma_log", "k_pred", "k_lower", "k_upper")
-    mu, sigma = F.col("mu_log"), F.col("sigma_log")
-    scored = kept.join(found, kept[key] == found["__key"], "left").drop("__key")
-    return scored.withColumns({"k_pred": F.exp(mu), "k_lower": F.exp(mu - 1.96 * sigma), "k_upper": F.exp(mu + 1.96 * sigma)})
-
-
-def _written(rows: DataFrame) -> DataFrame:
-    """Rows that several fits read, written to the shared folder once."""
-    place = shared.new_place(rows.sparkSession)
-    rows.write.parquet(place)
-    return rows.sparkSession.read.parquet(place)
+    """(length, rq_length, noise, fold, n, r2, mae, rmse): cross-validation of each setting over all rows with a positive target.
+
+    The log target is modelled by a sparse process. One pass adds up the rows of each fold for each kernel; a fold's process is solved from the
+    sums of the others, and a second pass takes its errors on the fold. Both are linear in rows; noises need no sums of their own."""
+    rows = exact_folds(_modelled(table, columns, target, key), key, folds, seed)
+    return _cross_validated(shared.written(rows), columns, lengths, rq_lengths, noises, m, tasks)
+
+
+def _cross_validated(rows: DataFrame, columns: list[str], lengths, rq_lengths, noises, m: int, tasks: int) -> DataFrame:
+    shift, scale = map(np.array, standardisation(rows, columns))
+    points = (inducing_points(rows, columns, m) - shift) / scale
+    kernels = [(a, r) for a in lengths for r in rq_lengths]
+    sums = _sums(rows, columns, points, kernels, shift, scale, tasks)
+    jobs, names_of = [], []
+    for k, (length, rq_length) in enumerate(kernels):
+        own = {f: s for (j, f), s in sums.items() if j == k}
+        total = Sums.none(len(points))
+        for s in own.values():
+            total = total.plus(s)
+        for noise in noises:
+            for f, s in own.items():
+                setting = Setting(length, rq_length, noise)
+                jobs.append((total.without(s), setting))
+                names_of.append((setting, f))
+    models = [(setting, f, model) for (setting, f), model in zip(names_of, _solved(rows.sparkSession, points, jobs, shift, scale))]
+
+    def errors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = np.zeros((len(models), 5))
+        for frame in frames:
+            x, y, folds = frame[columns].to_numpy(float), frame["__y"].to_numpy(float), frame["fold"].to_numpy()
+            for i, (_, f, model) in enumerate(models):
+                mine = folds == f
+                if mine.any():
+                    e = model.predict(x[mine])[0] - y[mine]
+                    found[i] += (mine.sum(), (e * e).sum(), abs(e).sum(), y[mine].sum(), (y[mine] ** 2).sum())
+        yield pd.DataFrame([(s.length, s.rq_length, s.noise, f, *v) for (s, f, _), v in zip(models, found)], columns=[*names, "n", "sse", "sae", "y", "yy"])
+
+    names = ["length", "rq_length", "noise", "fold"]
+    schema = "length double, rq_length double, noise double, fold int, n double, sse double, sae double, y double, yy double"
+    got = rows.mapInPandas(errors, schema).groupBy(*names).agg(*(F.sum(c).alias(c) for c in ("n", "sse", "sae", "y", "yy"))).where("n > 0")
+    spread = F.col("yy") - F.col("y") * F.col("y") / F.col("n")
+    return got.select(*names, F.col("n").cast("long").alias("n"), F.when(spread > 1e-12, 1 - F.col("sse") / spread).alias("r2"), (F.col("sae") / F.col("n")).alias("mae"), F.sqrt(F.col("sse") / F.col("n")).alias("rmse"))
+
+
+def best_setting(validated: DataFrame) -> Setting | None:
+    """The setting of the highest mean r2 over its folds, ties to the first in order."""
+    names = ("length", "rq_length", "noise")
+    row = validated.groupBy(*names).agg(F.avg("r2").alias("r2")).orderBy(F.col("r2").desc_nulls_last(), *names).first()
+    return Setting(*(row[c] for c in names)) if row else None
+
+
+@dataclass
+class Trained:
+    """A fitted surrogate: the process, its setting, the cross-validation it was chosen by, and its report on rows it has not seen."""
+
+    model: SparseProcess
+    setting: Setting
+    validated: DataFrame
+    report: DataFrame
+
+
+def train(
+    table: DataFrame, columns: list[str], target: str, key: str, lengths: tuple[float, ...] = DEFAULT_LENGTHS, rq_lengths: tuple[float, ...] = DEFAULT_RQ_LENGTHS,
+    noises: tuple[float, ...] = DEFAULT_NOISES, folds: int = 10, m: int = 128, fit_m: int = 512, seed: int = 42, tasks: int = 200,
+) -> Trained:
+    """Choose a setting, fit it, and report on a tenth of the rows, which neither step sees.
+
+    The other nine tenths are cross-validated on ``m`` inducing points; the best setting is fitted to all of them on ``fit_m`` points. The report is one row:
+    n_train, n_test, cv_r2, r2_log, r2, mae and rmse, the last three of the target itself. Raises ValueError for fewer than two usable rows."""
+    split = shared.written(exact_folds(_modelled(table, columns, target, key), key, 10, seed).withColumnRenamed("fold", "__tenth"))
+    rows, test = split.where("__tenth > 0").drop("__tenth"), split.where("__tenth = 0").drop("__tenth")
+    rows = shared.written(exact_folds(rows, key, folds, seed + 1))
+    if rows.count() < 2:
+        raise ValueError("a surrogate needs two rows with whole features and a positive target")
+    validated = shared.written(_cross_validated(rows, columns, lengths, rq_lengths, noises, m, tasks))
+    setting = best_setting(validated)
+    shift, scale = map(np.array, standardisation(rows, columns))
+    points = (inducing_points(rows, columns, fit_m) - shift) / scale
+    sums = _sums(rows.withColumn("fold", F.lit(0)), columns, points, [(setting.length, setting.rq_length)], shift, scale, tasks)
+    model = _solved(rows.sparkSession, points, [(sums[0, 0], setting)], shift, scale)[0]
+    guessed = predict(test, model, columns, key).select("__y", "mu_log", F.exp("__y").alias("truth"), "k_pred")
+    report = regression_metrics(guessed, "truth", "k_pred").withColumnRenamed("n", "n_test")
+    logs = regression_metrics(guessed, "__y", "mu_log").select(F.col("r2").alias("r2_log"))
+    chosen = validated.where((F.col("length") == setting.length) & (F.col("rq_length") == setting.rq_length) & (F.col("noise") == setting.noise))
+    cv = chosen.agg(F.avg("r2").alias("cv_r2"))
+    report = report.join(F.broadcast(logs)).join(F.broadcast(cv)).withColumn("n_train", F.lit(rows.count()))  # one row each
+    return Trained(model, setting, validated, report.select("n_train", "n_test", "cv_r2", "r2_log", "r2", "mae", "rmse"))
+
+
+def predict(candidates: DataFrame, model: SparseProcess, columns: list[str], key: str) -> DataFrame:
+    """``candidates`` with mu_log, sigma_log, k_pred, k_lower and k_upper; rows with a null or NaN feature get nulls. Linear in rows, no shuffle."""
+    @F.pandas_udf("mu double, sigma double")
+    def guess(features: pd.Series) -> pd.DataFrame:
+        x = np.array([np.asarray(v, float) for v in features]).reshape(len(features), len(columns))
+        known = np.isfinite(x).all(1)
+        mu, variance = np.full(len(x), np.nan), np.full(len(x), np.nan)
+        if known.any():
+            mu[known], variance[known] = model.predict(x[known])
+        return pd.DataFrame({"mu": mu, "sigma": np.sqrt(variance)})
+
+    made = candidates.drop("mu_log", "sigma_log", "k_pred", "k_lower", "k_upper").withColumn("__p", guess(F.array(*(F.col(c).cast("double") for c in columns))))
+    mu, sigma = (F.when(~F.isnan(c), F.col(c)) for c in ("__p.mu", "__p.sigma"))
+    scored = made.withColumns({"mu_log": mu, "sigma_log": sigma, "k_pred": F.exp(mu), "k_lower": F.exp(mu - 1.96 * sigma), "k_upper": F.exp(mu + 1.96 * sigma)})
+    return scored.drop("__p")
 
 
 def _ensemble(method: str, seed: int):
@@ -166,27 +324,17 @@ def _ensemble(method: str, seed: int):
 def rank_features(
     table: DataFrame, columns: list[str], target: str, key: str, method: str = "gradient_boosting", seed: int = 42
 ) -> DataFrame:
-    """(feature, importance, rank): permutation importance on the test fifth of the rows.
+    """(feature, importance, rank): mean absolute attribution over all rows, of an ensemble fitted on four fifths of them."""
+    return attribution.importance(explain_rows(table, columns, target, key, method, seed))
 
-    The ensemble is fitted on the other rows; each feature's values are dealt anew among the
-    test rows by a hash join, and the rise of the squared error is its importance."""
+
+def explain_rows(table: DataFrame, columns: list[str], target: str, key: str, method: str = "gradient_boosting", seed: int = 42) -> DataFrame:
+    """(key, base, prediction, feature, value, attribution) of every row, by an ensemble for the log target fitted on four fifths of them."""
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.sql import Window
 
-    rows = exact_folds(table.select(key, *(F.col(c).cast("double").alias(c) for c in columns), F.log(target).alias("__y")), key, 5, seed).dropna()
-    assembler = VectorAssembler(inputCols=columns, outputCol="__v")
-    model = _ensemble(method, seed).fit(assembler.transform(rows.where("fold > 0")))
-    test = rows.where("fold = 0")
-    numbered = exact_ranks(test, key, "__i", "own")
-    dealt = exact_ranks(test, key, "__i", "shuffled").select(*(F.col(c).alias(f"__{c}") for c in columns), "__i")
-    both = numbered.join(dealt, "__i")
-    choices = F.array(F.lit(""), *map(F.lit, columns))
-    tried = both.withColumn("feature", F.explode(choices))
-    changed = tried.select("__y", "feature", *(F.when(F.col("feature") == c, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in columns))
-    error = model.transform(assembler.transform(changed)).groupBy("feature").agg(F.sqrt(F.avg(F.pow(F.col("__g") - F.col("__y"), F.lit(2.0)))).alias("rmse"))
-    base = error.where("feature = ''").select(F.col("rmse").alias("base"))
-    ranked = error.where("feature <> ''").join(F.broadcast(base)).select("feature", (F.col("rmse") - F.col("base")).alias("importance"))
-    return ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.col("importance").desc(), "feature")))
+    rows = shared.written(exact_folds(_modelled(table, columns, target, key), key, 5, seed))
+    model = _ensemble(method, seed).fit(VectorAssembler(inputCols=columns, outputCol="__v").transform(rows.where("fold > 0")))
+    return attribution.explain(rows, model, columns, key)
 
 
 def feature_curve(
@@ -196,7 +344,7 @@ def feature_curve(
     from pyspark.ml.feature import VectorAssembler
 
     rows = exact_folds(table.select(key, *(F.col(c).cast("double").alias(c) for c in ranked), F.log(target).alias("__y")), key, folds, seed).dropna()
-    rows = _written(rows)
+    rows = shared.written(rows)
     parts = []
     for n in range(1, min(most or len(ranked), len(ranked)) + 1):
         assembled = VectorAssembler(inputCols=ranked[:n], outputCol="__v").transform(rows)
@@ -224,7 +372,7 @@ def compare_sets(table: DataFrame, sets: dict[str, list[str]], target: str, key:
 
     columns = list(dict.fromkeys(c for s in sets.values() for c in s))
     rows = exact_folds(table.select(key, *(F.col(c).cast("double").alias(c) for c in columns), F.log(target).alias("__y")), key, folds, seed).dropna()
-    rows = _written(rows)
+    rows = shared.written(rows)
     every = None
     for name, chosen in sets.items():
         assembled = VectorAssembler(inputCols=chosen, outputCol="__v").transform(rows)

@@ -594,9 +594,16 @@ def q_gp_tune(spark: SparkSession, d: str) -> DataFrame:
 
 @registered()
 def q_gp_predict(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions by the setting that cross-validation chooses."""
     table = _table14(spark, d)
-    scored = surrogate.predict_experts(table, table, [*fx.FEATURE_ELEMENTS], "k", "id")
-    return scored.select("id", "mu_log", "sigma_log", "k_pred", "k_lower", "k_upper")
+    trained = surrogate.train(table, [*fx.FEATURE_ELEMENTS], "k", "id")
+    return surrogate.predict(table, trained.model, [*fx.FEATURE_ELEMENTS], "id").select("id", "mu_log", "sigma_log", "k_pred", "k_lower", "k_upper")
+
+
+@registered()
+def q_gp_report(spark: SparkSession, d: str) -> DataFrame:
+    """The report of the chosen setting on the tenth of the rows that it has not seen."""
+    return surrogate.train(_table14(spark, d), [*fx.FEATURE_ELEMENTS], "k", "id").report
 
 
 @registered()
@@ -604,6 +611,14 @@ def q_importance(spark: SparkSession, d: str) -> DataFrame:
     return surrogate.rank_features(_table14(spark, d), [*fx.FEATURE_ELEMENTS], "k", "id", method="random_forest")
 
 
+@registered(f"""WITH {i.COMP} SELECT id, true AS adds_up, 14 AS n_features FROM comp WHERE p_retailprice > 0""")
+def q_attribution(spark: SparkSession, d: str) -> DataFrame:
+    """Of every part: whether base and attributions add up to the prediction of the ensemble itself (within its rounding)."""
+    explained = surrogate.explain_rows(_table14(spark, d), [*fx.FEATURE_ELEMENTS], "k", "id")
+    sums = explained.groupBy("id").agg(F.first("base").alias("base"), F.first("prediction").alias("p"), F.sum("attribution").alias("s"), F.count("*").cast("int").alias("n_features"))
+    return sums.select("id", (F.abs(F.col("base") + F.col("s") - F.col("p")) < 1e-9).alias("adds_up"), "n_features")
+
+
 @registered()
 def q_feature_curve(spark: SparkSession, d: str) -> DataFrame:
     return surrogate.feature_curve(_table14(spark, d), [*fx.FEATURE_ELEMENTS], "k", "id", folds=2)

@@ -101,16 +101,6 @@ def test_stability_without_frequency_column(spark):
     assert [r["stability_class"] for r in results.classify_stability(edge).collect()] == ["quasi_stable", "strict_stable", "unstable", "strict_stable_by_flag", "unstable_by_flag"]
 
 
-def test_experts_learn_and_shard(spark):
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(300, 2))
-    rows = [(i, float(a), float(b), float(math.exp(0.5 * a - 0.3 * b))) for i, (a, b) in enumerate(x)]
-    table = spark.createDataFrame(rows, "id int, a double, b double, k double")
-    for size in (1000, 80):
-        got = surrogate.predict_experts(table.where("id < 200"), table, ["a", "b"], "k", "id", expert_rows=size).where("id >= 200").collect()
-        assert np.corrcoef([r["mu_log"] for r in got], [math.log(r["k"]) for r in got])[0, 1] > 0.97 and all(r["k_lower"] < r["k_pred"] < r["k_upper"] for r in got)
-
-
 def test_feature_profile(spark):
     table = spark.createDataFrame([(i, float(i), float(i), 1.0, None, float(i % 3)) for i in range(20)], "id int, a double, b double, c double, d double, y double")
     kept, removed = features.sanitise(table, ["a", "b", "c", "d"], "id")
