@@ -8,7 +8,7 @@ every run.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ..functions import formulas as fx
 
 Groups = dict[str, tuple[tuple[str, ...], int, int]]
+#: Log weights of a matrix of counts.
+Score = Callable[[np.ndarray], np.ndarray]
 
 #: Default element groups with the least and largest count of each.
 DEFAULT_GROUPS: Groups = {
@@ -124,60 +126,97 @@ def mixed_candidates(space: DataFrame, winners: DataFrame, n: int, mutation_shar
     return every.orderBy(F.col("origin"), order, "formula").limit(n)
 
 
+def uniform(chain: np.ndarray, step: int, draw: int) -> np.ndarray:
+    """A number in [0, 1) for each chain's step and draw: a hash, so that a chain is the same wherever and beside whichever others it runs."""
+    x = np.asarray(chain, np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((step * 0xD1B54A32D192ED03 + draw + 1) % (1 << 64))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53)
+
+
+class Chains:
+    """Compositions of several chains, one element and count a group, moved together."""
+
+    def __init__(self, ids: np.ndarray, score: Score, groups: Groups, max_atoms: int) -> None:
+        self.ids, self.score, self.max_atoms = ids, score, max_atoms
+        self.members = [m for m, _, _ in groups.values()]
+        self.sizes = np.array([len(m) for m in self.members])
+        self.least, self.most = np.array([max(1, a) for _, a, _ in groups.values()]), np.array([b for _, _, b in groups.values()])
+        self.offsets = np.concatenate(([0], np.cumsum(self.sizes)))
+        if self.least.sum() > max_atoms or (self.least > self.most).any():
+            raise ValueError("no composition meets the bounds")
+        n, g = len(ids), len(self.members)
+        self.element = np.column_stack([np.floor(uniform(ids, 0, i) * self.sizes[i]) for i in range(g)]).astype(int).reshape(n, g)
+        self.count = np.tile(self.least, (n, 1))
+        for i in range(g):  # each group's count from what the least of the others leaves
+            room = np.minimum(self.most[i], max_atoms - (self.count.sum(1) - self.count[:, i]))
+            self.count[:, i] += np.floor(uniform(ids, 0, g + i) * (room - self.least[i] + 1)).astype(int)
+        self.weight = self.scored(self.element, self.count)
+        self.accepted = np.zeros(n, int)
+
+    def scored(self, element: np.ndarray, count: np.ndarray) -> np.ndarray:
+        table = np.zeros((len(element), self.offsets[-1]))
+        for i, offset in enumerate(self.offsets[:-1]):
+            table[np.arange(len(element)), offset + element[:, i]] = count[:, i]
+        return np.asarray(self.score(table), float)
+
+    def move(self, live: np.ndarray, step: int, swap_share: float, temperature: float) -> None:
+        """One step of the chains numbered ``live``: a proposal each, all scored in one call."""
+        ids, rows = self.ids[live], np.arange(len(live))
+        element, count = self.element[live], self.count[live]
+        group = np.floor(uniform(ids, step, 0) * len(self.members)).astype(int)
+        swaps = uniform(ids, step, 1) < swap_share
+        others = self.sizes[group] - 1
+        other = np.floor(uniform(ids, step, 2) * others).astype(int)
+        own = element[rows, group]
+        element[rows, group] = np.where(swaps & (others > 0), other + (other >= own), own)
+        count[rows, group] += np.where(swaps, 0, np.where(uniform(ids, step, 3) < 0.5, 1, -1))
+        changed = count[rows, group]
+        valid = (changed >= self.least[group]) & (changed <= self.most[group]) & (count.sum(1) <= self.max_atoms)
+        weight = np.full(len(live), -np.inf)
+        if valid.any():
+            weight[valid] = self.scored(element[valid], count[valid])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            passes = valid & (np.log(uniform(ids, step, 4)) < (weight - self.weight[live]) / temperature)
+        taken = live[passes]
+        self.element[taken], self.count[taken], self.weight[taken] = element[passes], count[passes], weight[passes]
+        self.accepted[taken] += 1
+
+    def formula(self, i: int) -> str:
+        parts = sorted((self.members[g][e], c) for g, (e, c) in enumerate(zip(self.element[i], self.count[i])))
+        return "".join(f"{e}{c if c != 1 else ''}" for e, c in parts)
+
+
 def metropolis_chains(
-    seeds: DataFrame,
-    scored: DataFrame,
-    n_samples: int,
-    groups: Groups = DEFAULT_GROUPS,
-    burn_in: int = 200,
-    thin: int = 5,
-    swap_share: float = 0.4,
-    temperature: float = 1.0,
+    seeds: DataFrame, score: Score, n_samples: int, groups: Groups = DEFAULT_GROUPS, burn_in: int = 200, thin: int = 5, swap_share: float = 0.4, temperature: float = 1.0,
     max_atoms: int = MAX_ATOMS,
-    max_space: int = 2_000_000,
-) -> DataFrame:
-    """(chain, formula, weight, step, acceptance): Metropolis-Hastings samples, one independent chain a row of ``seeds``.
-
-    ``seeds``: (chain long). ``scored``: (formula, composition, weight) over the space,
-    which must be at most ``max_space`` rows as each task looks weights up in it; more
-    raises ValueError. A chain keeps each formula once, at most ``n_samples`` of them."""
-    table = scored.select("formula", "weight", F.map_keys("composition").alias("e"), F.map_values("composition").alias("c"))
-    rows = table.limit(max_space + 1).toPandas()
-    if len(rows) > max_space:
-        raise ValueError(f"the scored space has more than {max_space} rows")
-    weight = dict(zip(rows["formula"], rows["weight"]))
-    start = rows.sort_values("formula")[["e", "c"]].to_numpy()
-    group_of = {e: m for m, _, _ in groups.values() for e in m}
-    shared = seeds.sparkSession.sparkContext.broadcast((weight, [dict(zip(e, c)) for e, c in start]))
-
-    def name(state: dict[str, float]) -> str:
-        return "".join(f"{e}{int(n) if n != 1 else ''}" for e, n in sorted(state.items()))
+) -> DataFrame:
+    """(chain, formula, weight, step, acceptance): Metropolis-Hastings samples, one independent chain a row of ``seeds``, (chain long).
+
+    ``score`` takes a matrix of counts, a row a composition and a column an element in the order of ``groups``, and returns log weights. The
+    chains of a batch move in lock step, and all proposals of a step are scored in one call, so the space itself is never made and may be of any size.
+    A step swaps the element of one group or changes its count by one; proposals out of bounds are rejected. A chain keeps each formula once, at
+    most ``n_samples`` of them, and gives up after ten times the steps that takes. Null chains and an empty table give no rows."""
+    longest = burn_in + thin * n_samples * 10
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights, starts = shared.value
         for frame in frames:
-            for chain in frame["chain"]:
-                rng = np.random.default_rng(int(chain))
-                state = dict(starts[rng.integers(len(starts))]) if starts else {}
-                log_w, kept, seen, accepted, steps = weights.get(name(state), -np.inf), [], set(), 0, 0
-                while state and len(kept) < n_samples and steps < burn_in + thin * n_samples * 10:
-                    steps += 1
-                    new = dict(state)
-                    element = sorted(new)[rng.integers(len(new))]
-                    if rng.random() < swap_share:
-                        others = [e for e in group_of[element] if e != element]
-                        if others:
-                            new[others[rng.integers(len(others))]] = new.pop(element)
-                    else:
-                        new[element] += 1 if rng.random() < 0.5 else -1
-                    proposal = weights.get(name(new))
-                    if proposal is not None and np.log(rng.random()) < (proposal - log_w) / temperature:
-                        state, log_w, accepted = new, proposal, accepted + 1
-                    label = name(state)
-                    if steps > burn_in and steps % thin == 0 and label not in seen:
-                        seen.add(label)
-                        kept.append((chain, label, log_w, steps))
-                out = pd.DataFrame(kept, columns=["chain", "formula", "weight", "step"])
-                yield out.assign(acceptance=accepted / max(1, steps))
-
-    return seeds.select("chain").mapInPandas(run, "chain long, formula string, weight double, step int, acceptance double")
+            if not len(frame):
+                continue
+            chains = Chains(frame["chain"].to_numpy(np.int64), score, groups, max_atoms)
+            n = len(frame)
+            seen: list[dict[str, tuple[float, int]]] = [{} for _ in range(n)]
+            steps, live, step = np.zeros(n, int), np.arange(n), 0
+            while len(live) and step < longest and n_samples:
+                step += 1
+                chains.move(live, step, swap_share, temperature)
+                steps[live] = step
+                if step > burn_in and step % thin == 0:
+                    for i in live:
+                        seen[i].setdefault(chains.formula(i), (float(chains.weight[i]), step))
+                    live = np.array([i for i in live if len(seen[i]) < n_samples], int)
+            rate = chains.accepted / np.maximum(steps, 1)
+            kept = [(c, f, w, s, a) for c, own, a in zip(chains.ids, seen, rate) for f, (w, s) in own.items()]
+            yield pd.DataFrame(kept, columns=["chain", "formula", "weight", "step", "acceptance"])
+
+    return seeds.where("chain IS NOT NULL").select(F.col("chain").cast("long")).mapInPandas(run, "chain long, formula string, weight double, step int, acceptance double")

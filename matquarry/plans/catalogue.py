@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -219,11 +220,10 @@ def q_mutation_mix(spark: SparkSession, d: str) -> DataFrame:
 def q_mcmc(spark: SparkSession, d: str) -> DataFrame:
     """One chain a supplier over compositions weighted by the parts' mean prices of their elements."""
     price = i.compositions(spark, d).select(F.explode(F.array("a", "b", "c")).alias("element"), "p_retailprice").groupBy("element").agg(F.avg("p_retailprice").alias("p"))
-    space = candidates.candidate_space(spark)
-    weighed = space.select("formula", "composition", F.explode("composition").alias("element", "n")).join(F.broadcast(price), "element")
-    scored = weighed.groupBy("formula").agg(F.first("composition").alias("composition"), (-F.sum(F.col("n") * F.col("p")) / 1000).alias("weight"))
+    known = {r["element"]: r["p"] for r in price.collect()}  # a row an element
+    prices = np.array([known.get(e, 0.0) for members, _, _ in candidates.DEFAULT_GROUPS.values() for e in members])
     seeds = i.table(spark, d, "supplier").select(F.col("s_suppkey").alias("chain"))
-    return candidates.metropolis_chains(seeds, scored, 20, burn_in=50)
+    return candidates.metropolis_chains(seeds, lambda counts: -(counts * prices).sum(1) / 1000, 20, burn_in=50)
 
 
 # results

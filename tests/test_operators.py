@@ -50,13 +50,57 @@ def test_candidate_space_size(spark):
 
 
 def test_chains_stay_in_the_space(spark):
-    space = candidates.candidate_space(spark).withColumn("weight", -fx.total_atoms(F.col("composition")))
-    seeds = spark.createDataFrame([(1,), (2,)], "chain long")
-    rows = candidates.metropolis_chains(seeds, space, 15, burn_in=20).collect()
-    assert rows == candidates.metropolis_chains(seeds, space, 15, burn_in=20).collect()
-    names = {r["formula"] for r in space.collect()}
+    seeds = spark.createDataFrame([(1,), (2,), (None,)], "chain long")
+    def score(counts):
+        return -counts.sum(1)
+
+    rows = candidates.metropolis_chains(seeds, score, 15, burn_in=20).collect()
+    assert rows == candidates.metropolis_chains(seeds.repartition(1), score, 15, burn_in=20).orderBy("chain").collect()
+    names = {r["formula"] for r in candidates.candidate_space(spark).collect()}
     assert rows and all(r["formula"] in names and 0 < r["acceptance"] <= 1 for r in rows)
     assert len({(r["chain"], r["formula"]) for r in rows}) == len(rows)
+    assert candidates.metropolis_chains(seeds.limit(0), score, 15).count() == 0
+
+
+def test_chains_equal_a_plain_loop(spark):
+    groups = {"A": (("Ag", "Cu"), 1, 900), "B": (("As",), 1, 900), "C": (("S", "Se", "Te"), 1, 900)}  # some 10^9 compositions
+    names = ["Ag", "Cu", "As", "S", "Se", "Te"]
+
+    def score(counts):
+        return -abs(counts @ np.array([1.0, 2.0, 0.5, 1.0, 1.5, 3.0]) - 700) / 50
+
+    got = {}
+    for r in candidates.metropolis_chains(spark.createDataFrame([(7,), (-8,), (9,)], "chain long"), score, 12, groups, 30, 3, 0.3, 1.0, 2000).collect():
+        got.setdefault(r["chain"], []).append((r["formula"], r["weight"], r["step"], r["acceptance"]))
+    for chain in (7, -8, 9):
+        def u(step, draw):
+            return float(candidates.uniform(np.array([chain]), step, draw)[0])
+
+        members = [m for m, _, _ in groups.values()]
+        state = [[int(u(0, g) * len(m)), 1] for g, m in enumerate(members)]
+        for g in range(3):
+            state[g][1] = 1 + int(u(0, 3 + g) * min(900, 2000 - sum(c for k, (_, c) in enumerate(state) if k != g)))
+
+        def weigh(state):
+            return float(score(np.array([[float(sum(c for g, (e, c) in enumerate(state) if members[g][e] == x)) for x in names]]))[0])
+
+        kept, accepted, step, weight = {}, 0, 0, weigh(state)
+        while len(kept) < 12 and step < 30 + 3 * 12 * 10:
+            step += 1
+            new = [list(s) for s in state]
+            g = int(u(step, 0) * 3)
+            if u(step, 1) < 0.3:
+                rest = [e for e in range(len(members[g])) if e != new[g][0]]
+                if rest:
+                    new[g][0] = rest[int(u(step, 2) * len(rest))]
+            else:
+                new[g][1] += 1 if u(step, 3) < 0.5 else -1
+            if 1 <= new[g][1] <= 900 and sum(c for _, c in new) <= 2000 and math.log(u(step, 4)) < weigh(new) - weight:
+                state, weight, accepted = new, weigh(new), accepted + 1
+            if step > 30 and step % 3 == 0:
+                name = "".join(f"{e}{c if c != 1 else ''}" for e, c in sorted((members[g][e], c) for g, (e, c) in enumerate(state)))
+                kept.setdefault(name, (weight, step))
+        assert got[chain] == [(f, pytest.approx(w), s, accepted / step) for f, (w, s) in kept.items()]
 
 
 def test_score_dedup_is_sequential(spark):
