@@ -24,7 +24,7 @@ DIGEST_LANES = 8
 SIGN_LANES = 60
 #: Characters that end a phrase before a space.
 ENDS = "aeo.,;:!?"
-PHRASES = rf"[\x20\x09-\x0D](?<=\n|[{ENDS}].)"
+PHRASES = rf"[\x20\x09-\x0D](?<=\n|[{ENDS}][\x20\x09-\x0D])"
 #: Bits are counted eight to a long, each in a byte of its own, in runs of so many phrases.
 RUN = 127
 
