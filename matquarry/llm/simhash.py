@@ -332,7 +332,7 @@ def keep_heads(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) ->
     """``docs`` with one row of each component; ``rows`` is (doc_id, digest, root), a row for each of theirs.
 
     The first row of a component by id (null ids last) and digest stays. Of rows equal in both, which
-    are in one component, one stays."""
+    are in one component, the first by all its columns stays, so reruns keep the same."""
     key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
     heads = rows.groupBy("root").agg(F.min(key).alias("head")).select("head.doc_id", "head.digest")
     times = rows.groupBy("doc_id", "digest").agg(F.count("*").alias("times"))
@@ -352,7 +352,7 @@ def keep_heads(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) ->
         rows_of(repeated)
         .select(F.struct("*").alias("__row"), F.col(f"`{id_col}`").alias("__head"), digest(F.col(f"`{text_col}`")).alias("__digest"))
         .groupBy("__head", "__digest")
-        .agg(F.first("__row").alias("__row"))
+        .agg(F.min_by("__row", F.to_json("__row")).alias("__row"))
     )
     return kept.unionByName(one.select("__row.*"))
 
