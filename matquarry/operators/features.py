@@ -203,8 +203,13 @@ def value_ranges(rows: DataFrame, value: str, ranges: int = 256) -> DataFrame:
     Their bounds are approximate quantiles, one row that is broadcast. Rows of one value are in one range."""
     cuts = [n / ranges for n in range(1, ranges)]
     bounds = rows.agg(F.percentile_approx(value, F.array(*map(F.lit, cuts)), F.lit(4 * ranges)).alias("__bounds"))
-    place = F.size(F.filter("__bounds", lambda b: b < F.col(value)))
-    return rows.join(F.broadcast(bounds)).withColumn("__range", F.coalesce(place, F.lit(0))).drop("__bounds")
+    placed = rows.join(F.broadcast(bounds)).withColumn("__range", F.lit(0))
+    step = 1 << (ranges - 1).bit_length() - 1 if ranges > 1 else 0
+    while step:  # a binary search for the number of bounds below the value
+        passes = F.get("__bounds", F.col("__range") + (step - 1)) < F.col(value)
+        placed = placed.withColumn("__range", F.col("__range") + F.when(passes, step).otherwise(0))
+        step //= 2
+    return placed.drop("__bounds")
 
 
 def classification_metrics(table: DataFrame, label: str, score: str, threshold: float = 0.5) -> DataFrame:

@@ -136,12 +136,13 @@ def aggregate_materials(success_rows: DataFrame, stable_rows: DataFrame) -> Data
 
     A material is its formula and its path or structure id."""
 
-    def best(rows: DataFrame, source: str) -> DataFrame:
-        picked = rows.select("formula", F.coalesce("path", "structure_id").alias("id"), "iteration", "k").where("formula IS NOT NULL AND k IS NOT NULL")
-        return lowest_k(picked, ["formula", "id"], "k", ("iteration",)).withColumn("source", F.lit(source))
+    def picked(rows: DataFrame, stable: bool) -> DataFrame:
+        chosen = rows.select("formula", F.coalesce("path", "structure_id").alias("id"), F.struct("k", F.lit(stable).alias("stable"), "iteration").alias("r"))
+        return chosen.where("formula IS NOT NULL AND r.k IS NOT NULL")
 
-    both = best(success_rows, "success").unionByName(best(stable_rows, "stable"))
-    return lowest_k(both.withColumn("__stable", F.col("source") == "stable"), ["formula", "id"], "k", ("__stable", "iteration")).drop("__stable")
+    # one aggregate, which combines before the shuffle
+    best = picked(success_rows, False).unionByName(picked(stable_rows, True)).groupBy("formula", "id").agg(F.min("r").alias("r"))
+    return best.select("formula", "id", "r.iteration", "r.k", F.when(F.col("r.stable"), "stable").otherwise("success").alias("source"))
 
 
 def complete_results(tasks: DataFrame, results: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:

@@ -22,24 +22,39 @@ def upkeep(results_stream: DataFrame, path: str, checkpoint: str, available_now:
 
     A batch reads and writes only the parts that its formulas fall into: their last versions before it are merged with its rows.
     A batch that is run again reads the same versions and overwrites its own, so replays and
-    files out of order end in the table that one batch over all rows gives."""
+    files out of order end in the table that one batch over all rows gives. Of a part that it wrote, a batch keeps its own version and the one
+    before, which a replay and readers under way need, and removes the others: what a batch costs does not grow with the batches before it."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         part = F.pmod(F.xxhash64("formula"), F.lit(parts)).cast("int").alias("part")
         new = batch.where("formula IS NOT NULL AND k IS NOT NULL").select("formula", F.col("k").cast("double").alias("k"), part)
         every = new
+        touched = [r["part"] for r in new.select("part").distinct().collect()]  # at most ``parts``
         if number:
-            touched = [r["part"] for r in new.select("part").distinct().collect()]
             before = spark.read.schema(LAYOUT).parquet(path).where(F.col("part").isin(touched) & (F.col("v") < number))
             every = _latest(before).drop("v").unionByName(new)
         best = every.groupBy("part", "formula").agg(F.min("k").alias("k")).withColumn("v", F.lit(number).cast("long"))
         best.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "v").parquet(path)
+        for p in touched:
+            _remove_superseded(spark, f"{path}/part={p}", number)
 
     writer = results_stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def _remove_superseded(spark: SparkSession, part: str, number: int) -> None:
+    """Delete the versions of a part older than the last one before ``number``."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(part)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.listStatus(place) if files.exists(place) else []
+    versions = {int(f.getPath().getName()[2:]): f.getPath() for f in found if f.getPath().getName().startswith("v=")}
+    before = [v for v in versions if v < number]
+    for v in before:
+        if v != max(before):
+            files.delete(versions[v], True)
+
+
 def _latest(rows: DataFrame) -> DataFrame:
     """Rows of the last version of each part; there are as many parts as ``upkeep`` was given."""
     return rows.join(F.broadcast(rows.groupBy("part").agg(F.max("v").alias("v"))), ["part", "v"])

@@ -302,3 +302,5 @@ def test_stream_equals_batch_on_replay(spark, tmp_path):
         stream = streams.file_stream(spark, str(tmp_path / "in"), "formula string, k double", 1)
         streams.upkeep(stream, str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
     assert sorted(map(tuple, streams.current(spark, str(tmp_path / "t")).collect())) == [("A", 2.0), ("B", 1.0)]
+    versions = [len(list(p.glob("v=*"))) for p in (tmp_path / "t").glob("part=*")]
+    assert versions and max(versions) <= 2
