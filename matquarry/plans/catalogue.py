@@ -801,13 +801,34 @@ def q_neardup(spark: SparkSession, d: str) -> DataFrame:
     return structures.drop_similar(blocks)
 
 
-@registered(f"""WITH {i.COMP}, t AS (SELECT id, {i.REDUCED} AS r FROM comp), base AS (SELECT DISTINCT r FROM t WHERE id % 2 = 0)
-SELECT id, r NOT IN (SELECT r FROM base) AS composition_novel FROM t WHERE id % 2 = 1""")
+#: Unit-volume lengths and angles of the parts' lattices, and when two are similar.
+LATTICE = f"""lattice AS (SELECT id, a, {i.REDUCED} AS r, list_sort([(4.25 + id % 7) / s, (5.123456 + id % 3) / s, 6.5 / s]) AS l, list_sort([85.0 + id % 90, 90.0, 90.0]) AS g
+  FROM (SELECT *, pow((4.25::DOUBLE + id % 7) * (5.123456 + id % 3) * 6.5 * sin(radians(85.0::DOUBLE + id % 90)), 1.0::DOUBLE / 3) AS s FROM comp))"""
+SIMILAR = "list_bool_and(list_transform([1, 2, 3], lambda i: abs({0}.l[i] - {1}.l[i]) <= 0.2 * greatest({0}.l[i], {1}.l[i]) AND abs({0}.g[i] - {1}.g[i]) <= 5))"
+
+
+@registered(f"""WITH RECURSIVE {i.COMP}, {LATTICE}, t AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY id) AS n FROM lattice),
+walk AS (
+  SELECT a, n, [{{'id': id, 'l': l, 'g': g}}] AS kept, id, CAST(NULL AS BIGINT) AS of FROM t WHERE n = 1
+  UNION ALL
+  SELECT a, n, CASE WHEN m IS NULL THEN list_append(kept, {{'id': id, 'l': l, 'g': g}}) ELSE kept END, id, m
+  FROM (SELECT t.*, w.kept, list_filter(w.kept, lambda k: {SIMILAR.format("k", "t")})[1].id AS m FROM walk w JOIN t ON t.a = w.a AND t.n = w.n + 1))
+SELECT id, of IS NULL AS kept, of AS duplicate_of FROM walk""")
+def q_neardup_lattice(spark: SparkSession, d: str) -> DataFrame:
+    """Keep-first duplicates by lattice among the parts of one first element: five large blocks, which SQL walks row by row."""
+    blocks = structures.fingerprint_blocks(structures.structure_table(_cifs(spark, d)), structures.atom_sites(_cifs(spark, d))).drop("block", "profile")
+    return structures.drop_similar(blocks.join(i.compositions(spark, d).select("id", F.col("a").alias("block")), "id"), by=("block",))
+
+
+@registered(f"""WITH {i.COMP}, {LATTICE}, base AS (SELECT * FROM lattice WHERE id % 2 = 0),
+hits AS (SELECT DISTINCT t.id FROM lattice t JOIN base b ON t.r = b.r AND {SIMILAR.format("t", "b")} WHERE t.id % 2 = 1)
+SELECT id, CASE WHEN r NOT IN (SELECT r FROM base) THEN 'composition' WHEN id IN (SELECT id FROM hits) THEN 'matched' ELSE 'structure' END AS reason
+FROM lattice WHERE id % 2 = 1""")
 def q_novelty_vs_base(spark: SparkSession, d: str) -> DataFrame:
+    """Odd parts against even ones, by composition and lattice."""
     texts = _cifs(spark, d)
-    blocks = structures.fingerprint_blocks(structures.structure_table(texts), structures.atom_sites(texts))
-    found = structures.novelty_vs_base(blocks.where("id % 2 = 1"), blocks.where("id % 2 = 0"))
-    return found.select("id", (F.col("reason") == "composition").alias("composition_novel"))
+    blocks = structures.fingerprint_blocks(structures.structure_table(texts), structures.atom_sites(texts)).drop("profile")
+    return structures.novelty_vs_base(blocks.where("id % 2 = 1"), blocks.where("id % 2 = 0")).select("id", "reason")
 
 
 @registered(f"""WITH {i.COMP}, t AS (SELECT id, {i.REDUCED} AS r, id % 3 AS z, id % 2 AS half FROM comp),
