@@ -57,6 +57,11 @@ LEET = str.maketrans("@4310$57!", "aaeiosstl")
 DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d")
 YEAR = re.compile(r"(?:19|20)\d\d")
 
+#: What is no secret whatever it costs: addresses, times, grouped numbers, and code that fetches one.
+PLAIN = re.compile(
+    r"(?ai:[a-z][a-z0-9+.-]*://.*)|[0-9]{1,3}(?:[,.][0-9]{3})+|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?:T[0-9:.]+(?:Z|[+-][0-9:]+)?)?|(?a:[A-Za-z_]\w*(?:\.\w+)*[(\[][\w.,]*)"
+)
+
 DATE_COST = math.log10(119 * 365)
 YEAR_COST = math.log10(119)
 JOIN_COST = math.log10(2)
@@ -157,7 +162,8 @@ def spans(text: str, cost: Callable[[str], float], min_log10: float) -> list[tup
         for m in CONTEXT.finditer(text):
             value = m["value"].rstrip(".,;:!?)]}")
             start, end = m.start("value"), m.start("value") + len(value)
-            if any(a <= start and end <= b for a, b in base):
+            # what overlaps a base span is reported there; a credential within an address is still weighed
+            if any(a < end and start < b for a, b in base) or (PLAIN.fullmatch(value) and "@" not in value):
                 continue
             price = cost(value)
             if price >= min_log10 and not (m["prose"] and cost.word_share >= MAX_WORD_SHARE):
