@@ -150,6 +150,14 @@ def q_ei_topk(spark: SparkSession, d: str) -> DataFrame:
     return rounded(scoring.top_by_ei(scoring.score(i.predictions(spark, d))).select("rank", "id", "formula", "ei", "k_pred"))
 
 
+@registered("""WITH cut AS (SELECT l_orderkey, l_linenumber, l_discount AS score FROM lineitem ORDER BY score DESC, l_orderkey, l_linenumber LIMIT 50)
+SELECT CAST(row_number() OVER (ORDER BY score DESC, l_orderkey, l_linenumber) AS INT) AS rank, l_orderkey, l_linenumber FROM cut""")
+def q_rank_by_score(spark: SparkSession, d: str) -> DataFrame:
+    """Ties keep their order: discounts have few values."""
+    rows = i.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_discount").alias("score"), F.struct("l_orderkey", "l_linenumber").alias("position"))
+    return scoring.rank_by_score(rows, 50).select("rank", "l_orderkey", "l_linenumber")
+
+
 @registered(f"""WITH {EI} SELECT id, round(ln(1 + ei) + 0.5 * ln(1 + sigma_log) - ln(k_pred), 6) AS weight, round(exp(mu_log - 1.96 * sigma_log), 6) AS k_lower,
   round(exp(mu_log + 1.96 * sigma_log), 6) AS k_upper, round(ei, 6) AS ei FROM scored""")
 def q_weight_rank(spark: SparkSession, d: str) -> DataFrame:
@@ -447,6 +455,13 @@ def q_known_filter(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", "is_known", F.array_join("matched_sources", ",").alias("matched_sources"), "n_records", "all_unavailable")
 
 
+@registered(f"""WITH {i.RECORDS}, wanted AS (SELECT DISTINCT {i.REDUCED} AS reduced FROM comp WHERE id % 3 = 0)
+SELECT material_id, source FROM records WHERE {i.REDUCED} IN (SELECT reduced FROM wanted)""")
+def q_exact_records(spark: SparkSession, d: str) -> DataFrame:
+    wanted = i.compositions(spark, d).where("id % 3 = 0").select("formula")
+    return novelty.exact_records(i.records(spark, d), wanted).select("material_id", "source")
+
+
 @registered(f"""WITH {i.RECORDS}, keyed AS (SELECT *, {i.REDUCED} AS reduced, list_position(['MP', 'OQMD', 'AFLOW'], source) AS priority FROM records)
 SELECT material_id, source FROM keyed k WHERE priority = (SELECT min(priority) FROM keyed o WHERE o.reduced = k.reduced)""")
 def q_tiered(spark: SparkSession, d: str) -> DataFrame:
