@@ -67,8 +67,17 @@ def expected(found: list[Leaf]) -> float:
     return float(sum(leaf.value * np.prod(leaf.share) for leaf in found))
 
 
+def predictions(found: list[Leaf], x: np.ndarray) -> np.ndarray:
+    """What the ensemble predicts: the values of the leaves that a row reaches. A row passes low < x <= high."""
+    out = np.zeros(len(x))
+    for leaf in found:
+        own = x[:, leaf.features]
+        out += leaf.value * ((own > leaf.low) & (own <= leaf.high)).all(1)
+    return out
+
+
 def attributions(found: list[Leaf], x: np.ndarray) -> np.ndarray:
-    """Rows by features: with ``expected`` they add up to the predictions. A row passes low < x <= high."""
+    """Rows by features: with ``expected`` they add up to the predictions."""
     out = np.zeros(x.shape)
     for leaf in found:
         d = len(leaf.features)
@@ -105,7 +114,7 @@ def explain(rows: DataFrame, model, columns: list[str], key: str) -> DataFrame:
                 phi = attributions(found, x)
                 yield pd.DataFrame(
                     {
-                        key: np.repeat(part[key].to_numpy(), n), "base": base, "prediction": np.repeat(base + phi.sum(1), n),
+                        key: np.repeat(part[key].to_numpy(), n), "base": base, "prediction": np.repeat(predictions(found, x), n),
                         "feature": np.tile(columns, len(part)), "value": x.ravel(), "attribution": phi.ravel(),
                     }
                 )

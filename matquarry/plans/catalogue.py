@@ -628,7 +628,7 @@ def q_importance(spark: SparkSession, d: str) -> DataFrame:
 
 @registered(f"""WITH {i.COMP} SELECT id, true AS adds_up, 14 AS n_features FROM comp WHERE p_retailprice > 0""")
 def q_attribution(spark: SparkSession, d: str) -> DataFrame:
-    """Of every part: whether base and attributions add up to the prediction of the ensemble itself (within its rounding)."""
+    """Of every part: whether base and attributions add up to the values of the leaves that it reaches."""
     explained = surrogate.explain_rows(_table14(spark, d), [*fx.FEATURE_ELEMENTS], "k", "id")
     sums = explained.groupBy("id").agg(F.first("base").alias("base"), F.first("prediction").alias("p"), F.sum("attribution").alias("s"), F.count("*").cast("int").alias("n_features"))
     return sums.select("id", (F.abs(F.col("base") + F.col("s") - F.col("p")) < 1e-9).alias("adds_up"), "n_features")
