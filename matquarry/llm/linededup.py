@@ -9,8 +9,12 @@ Of each window of ``min_words - line_words + 1`` successive line hashes the smal
 a fingerprint, so two texts that share a run share a fingerprint in it. Positions are joined to the
 first position of their fingerprint. Positions that follow each other in both texts
 are one match; it is extended to the left and to the right, word by word, as far as the next fingerprint could
-be. Matches of ``min_words`` or more are the repeated runs. Deleted are the words
-of a run at its later position, and each line that keeps none of its words.
+be. Matches of ``min_words`` or more are repeated runs.
+
+A run may stand at an earlier position other than the first of its fingerprint. So the runs of just ``min_words`` words
+around a later position that its match does not hold meet each other too: of equal ones all but the first are
+repeated runs. None is lost by this: the first place of a run is either the first of its fingerprint, or in no match
+itself. Deleted are the words of a run at its later position, and each line that keeps none of its words.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +39,8 @@ SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 ROWS = 20_000
 #: Texts whose contexts are asked for and that are sent to all tasks at most; beyond it they meet through a shuffle.
 BROADCAST = 200_000
+#: What tells a match from others.
+MATCH = ["doc_id", "text_key", "there_id", "there_key", "lane", "chain"]
 
 
 class Powers:
@@ -156,17 +162,40 @@ def _contexts(batches: Iterable[pa.RecordBatch], reach: int, line_words: int) ->
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "at", "before", "after"])
 
 
-def matches(texts: DataFrame, min_words: int, line_words: int) -> tuple[DataFrame, DataFrame]:
-    """Copies (doc_id, text_key) of an earlier document's whole text, and, for the first document of each text,
-    (doc_id, text_key, first, last, before, after): lines ``first`` to ``last`` stand at an earlier position too, with
-    the words ``before`` and ``after`` around them there."""
+@F.pandas_udf(T.IntegerType())
+def _alike(own: pd.Series, other: pd.Series) -> pd.Series:
+    """How many 32-bit words are equal before the first that is not."""
+
+    def one(a: bytes, b: bytes) -> int:
+        n = min(len(a), len(b)) // 4
+        unlike = np.flatnonzero(np.frombuffer(a, np.uint32, n) != np.frombuffer(b, np.uint32, n))
+        return int(unlike[0]) if len(unlike) else n
+
+    return pd.Series([one(a, b) for a, b in zip(own, other)], dtype="int32")
+
+
+def _meet(left: DataFrame, right: DataFrame, keys: dict[str, Column | str]) -> DataFrame:
+    """Inner join in which nulls are equal; ``keys`` tells for each key of ``right`` what equals it in ``left``."""
+    named = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = [(F.col(v) if isinstance(v, str) else v).eqNullSafe(F.col(f"__{k}")) for k, v in keys.items()]
+    return left.join(named, on).drop(*(f"__{k}" for k in keys))
+
+
+def whole_copies(texts: DataFrame) -> DataFrame:
+    """(doc_id, text_key) of the texts that an earlier document has too."""
     whole = [F.col("text_key"), F.xxhash64(F.lit(1), "text").alias("other_key")]
     owners = materialise(texts.select("doc_id", *whole).distinct())
     several = owners.groupBy("text_key", "other_key").agg(F.min(F.struct("doc_id")).alias("first"), F.count("*").alias("n")).where("n > 1")
     several = materialise(several.select("text_key", "other_key", F.col("first.doc_id").alias("first_id")))
-    copies = materialise(owners.join(several, ["text_key", "other_key"]).where(~F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "text_key"))
+    return materialise(owners.join(several, ["text_key", "other_key"]).where(~F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "text_key"))
+
 
-    # copies take no part: where they are few enough to tell beforehand, their texts are not read for it
+def match_edges(texts: DataFrame, copies: DataFrame, min_words: int, line_words: int) -> DataFrame:
+    """Later positions of fingerprints that begin or end a match or lie so near to its ends that a run around them may reach beyond it.
+
+    (doc_id, text_key, at, fingerprint, n, there_id, there_key, lane, chain, first, last): ``n`` positions have the fingerprint, the first
+    of them at ``at + lane`` of the text ``there``; the match goes from ``first`` to ``last``. ``copies`` take no part."""
+    # where they are few enough to tell beforehand, their texts are not read for it
     gone = copies.withColumnsRenamed({"doc_id": "copy_id", "text_key": "copy_key"})
     copied = F.col("doc_id").eqNullSafe(F.col("copy_id")) & (F.col("text_key") == F.col("copy_key"))
     if copies.count() <= BROADCAST:
@@ -177,51 +206,59 @@ def matches(texts: DataFrame, min_words: int, line_words: int) -> tuple[DataFram
     # the small side is written first, so that a join can split a hot key
     place = F.struct("doc_id", "text_key", "at")
     seeds = materialise(
-        every.groupBy("fingerprint").agg(F.min(place).alias("there"), F.count("*").alias("n")).where("n > 1").select("fingerprint", "there.*")
+        every.groupBy("fingerprint").agg(F.min(place).alias("there"), F.count("*").alias("n")).where("n > 1").select("fingerprint", "n", "there.*")
         .withColumnsRenamed({"doc_id": "there_id", "text_key": "there_key", "at": "there_at"})
     )
     same = F.col("doc_id").eqNullSafe(F.col("there_id")) & (F.col("text_key") == F.col("there_key")) & (F.col("at") == F.col("there_at"))
-    near = every.join(seeds, "fingerprint").where(~same).withColumn("lane", F.col("there_at") - F.col("at")).drop("fingerprint", "there_at")
+    near = every.join(seeds, "fingerprint").where(~same).withColumn("lane", F.col("there_at") - F.col("at")).drop("there_at")
     order = "OVER (PARTITION BY doc_id, text_key, there_id, there_key, lane ORDER BY at)"
     near = near.withColumn("opens", F.expr(f"coalesce(at - lag(at) {order} > {line_words}, true)"))
-    near = near.withColumn("chain", F.expr(f"sum(cast(opens AS int)) {order}"))
-    chains = materialise(
-        near.groupBy("doc_id", "text_key", "there_id", "there_key", "lane", "chain").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    )
-    ends = F.explode(F.array(F.col("first") + F.col("lane"), F.col("last") + F.col("lane"))).alias("at")
-    wanted = materialise(chains.select("there_id", "there_key", ends).groupBy("there_id", "there_key").agg(F.collect_set("at").alias("spots")))
-    source = texts["doc_id"].eqNullSafe(wanted["there_id"]) & (texts["text_key"] == wanted["there_key"])
+    near = near.withColumn("chain", F.expr(f"sum(cast(opens AS int)) {order}")).drop("opens")
+    match = Window.partitionBy(*MATCH)
+    near = near.withColumns({"first": F.min("at").over(match), "last": F.max("at").over(match)})
     reach = min_words - line_words
-    around = texts.join(_few(wanted), source).select("doc_id", "text_key", "text", "spots")
+    return materialise(near.where((F.col("at") < F.col("first") + reach) | (F.col("at") > F.col("last") - reach)))
+
+
+def word_contexts(texts: DataFrame, edges: DataFrame, reach: int, line_words: int) -> DataFrame:
+    """(doc_id, text_key, at, before, after): the words around the edges, and around the ends of their matches in the other text."""
+    there = edges.where("at = first OR at = last").select(F.col("there_id").alias("doc_id"), F.col("there_key").alias("text_key"), F.expr("at + lane AS at"))
+    spots = edges.select("doc_id", "text_key", "at").union(there)
+    wanted = materialise(spots.groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("spots")))
+    around = _meet(texts, _few(wanted), {"doc_id": "doc_id", "text_key": "text_key"}).select("doc_id", "text_key", "text", "spots")
     schema = T.StructType([*texts.select("doc_id", "text_key").schema.fields, *T._parse_datatype_string("at int, before binary, after binary").fields])
     around = around.mapInArrow(lambda batches: _contexts(batches, reach, line_words), schema)
-    around = materialise(around.groupBy("doc_id", "text_key", "at").agg(F.first("before").alias("before"), F.first("after").alias("after")))
-    for side, end in (("before", "first"), ("after", "last")):
-        these = around.select(F.col("doc_id").alias("side_id"), F.col("text_key").alias("side_key"), F.col("at").alias("side_at"), side)
-        meets = F.col("there_id").eqNullSafe(F.col("side_id")) & (F.col("there_key") == F.col("side_key"))
-        chains = chains.join(these, meets & (F.col(end) + F.col("lane") == F.col("side_at"))).drop("side_id", "side_key", "side_at")
-    return copies, chains.select("doc_id", "text_key", "first", "last", "before", "after")
-
-
-def _alike(own: np.ndarray, other: bytes) -> int:
-    """How many words are equal before the first that is not."""
-    there = np.frombuffer(other, np.uint32)
-    n = min(len(own), len(there))
-    unlike = np.flatnonzero(own[:n] != there[:n])
-    return int(unlike[0]) if len(unlike) else n
-
-
-def repeated_words(text: bytes, found: list[dict], min_words: int, line_words: int, powers: Powers) -> np.ndarray:
-    """Which words of the text lie in a repeated run; ``found`` are its matches."""
-    words = word_hashes(text, powers).astype(np.uint32)
-    gone = np.zeros(len(words), bool)
-    for m in found:
-        start, end = m["first"], m["last"] + line_words
-        start -= _alike(words[max(0, start - min_words) : start][::-1], m["before"])
-        end += _alike(words[end : end + min_words], m["after"])
-        if end - start >= min_words:
-            gone[start:end] = True
-    return gone
+    return materialise(around.groupBy("doc_id", "text_key", "at").agg(F.first("before").alias("before"), F.first("after").alias("after")))
+
+
+def repeated_runs(texts: DataFrame, copies: DataFrame, min_words: int, line_words: int) -> DataFrame:
+    """(doc_id, text_key, start, end): words ``start`` to ``end``, exclusive, stand at an earlier position too. What is in no such row does not.
+
+    ``copies`` are the texts that take no part, as an earlier document has the whole of them."""
+    reach = min_words - line_words
+    edges = match_edges(texts, copies, min_words, line_words)
+    around = word_contexts(texts, edges, reach, line_words)
+    there = around.withColumnsRenamed({"before": "there_before", "after": "there_after"})
+    placed = _meet(edges, around, {c: c for c in ("doc_id", "text_key", "at")})
+    ends = _meet(placed.where("at = first OR at = last"), there, {"doc_id": "there_id", "text_key": "there_key", "at": F.col("at") + F.col("lane")})
+    left = F.when(F.col("at") == F.col("first"), _alike("before", "there_before"))
+    right = F.when(F.col("at") == F.col("last"), _alike("after", "there_after"))
+    ends = ends.select(*MATCH, (F.col("first") - left).alias("start"), (F.col("last") + line_words + right).alias("end"))
+    runs = materialise(ends.groupBy(*MATCH).agg(F.min("start").alias("start"), F.max("end").alias("end")))
+
+    # runs of min_words words around later positions, beyond their matches; two positions at least must have the fingerprint beside the first
+    loose = _meet(placed.where("n > 2"), runs, {c: c for c in MATCH})
+    fewest = F.greatest(F.lit(0), reach - F.octet_length("after") / 4).cast("int")
+    most = F.least(F.lit(reach), F.octet_length("before") / 4).cast("int")
+    loose = loose.where(fewest <= most).withColumn("back", F.explode(F.sequence(fewest, most))).withColumn("begin", F.col("at") - F.col("back"))
+    loose = loose.where((F.col("begin") < F.col("start")) | (F.col("begin") + min_words > F.col("end")))
+    words = F.xxhash64(F.expr("substring(before, 1, 4 * back)"), F.expr(f"substring(after, 1, 4 * ({reach} - back))"))
+    loose = materialise(loose.select("doc_id", "text_key", "begin", "fingerprint", "back", words.alias("words")))
+    alike = ["fingerprint", "back", "words"]
+    firsts = loose.groupBy(*alike).agg(F.min(F.struct("doc_id", "text_key", "begin")).alias("there"), F.count("*").alias("n")).where("n > 1")
+    again = loose.join(materialise(firsts.drop("n")), alike).where(~F.struct("doc_id", "text_key", "begin").eqNullSafe(F.col("there")))
+    again = again.select("doc_id", "text_key", F.col("begin").alias("start"), (F.col("begin") + min_words).alias("end"))
+    return runs.where(F.col("end") - F.col("start") >= min_words).select("doc_id", "text_key", "start", "end").union(again)
 
 
 def without(text: str, gone: np.ndarray) -> str:
@@ -252,19 +289,21 @@ def drop_repeated_lines(
     ids and texts count as one document, which keeps what it keeps in each of them; rows with equal ids and other
     texts are documents in the order of their texts' hashes; null ids come first. Any
     other columns pass through; an empty table gives an empty result."""
-    copies, chains = matches(_texts(docs, id_col, text_col), min_words, line_words)
-    found = chains.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "last", "before", "after")).alias("found"))
+    texts = _texts(docs, id_col, text_col)
+    copies = whole_copies(texts)
+    runs = repeated_runs(texts, copies, min_words, line_words)
+    found = runs.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("found"))
     gone = found.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
 
     @F.pandas_udf(T.StringType())
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        powers = Powers()
-        for texts, found in batches:
-            out = []
-            for text, own in zip(texts, found):
-                gone = None if text is None else repeated_words(text.encode(), list(own), min_words, line_words, powers)
-                out.append(text if gone is None or not gone.any() else without(text, gone))
-            yield pd.Series(out, dtype=object)
+    def cut(texts: pd.Series, found: pd.Series) -> pd.Series:
+        def one(text: str, runs: list[dict]) -> str:
+            gone = np.zeros(sum(1 for _ in re.finditer(WORD, text)), bool)
+            for run in runs:
+                gone[run["start"] : run["end"]] = True
+            return without(text, gone)
+
+        return pd.Series([None if t is None else one(t, r) for t, r in zip(texts, found)], dtype=object)
 
     rows = docs.select(
         F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("own_id"), F.col(f"`{text_col}`").cast("string").alias("own_text")
