@@ -1,8 +1,9 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and word beginnings, lower-cased; the ``vocabulary_size`` terms that tell the labels apart
-most, half of them for either label, are the vocabulary. Document frequencies come from all documents. The examples' vectors lie in an
-inverted index cut into blocks of consecutive examples, with the largest weight of each
+Terms are all words of the labelled examples, lower-cased; none is left out, and document frequencies come from all documents.
+A term's weight in a text is its TF-IDF times how well it tells the labels apart: the square root of its log-likelihood
+ratio, and a little for every term. By TF-IDF alone the nearest of a long text are those of its subject, not of its
+tone. The examples' vectors lie in an inverted index cut into blocks of consecutive examples, with the largest weight of each
 term in each block. A search bounds every block by the query's weights times those
 maxima, visits the quarter with the highest bounds, then those whose bound still reaches
 the k-th best similarity: its result is exact. Neighbours vote by their similarity;
@@ -19,59 +20,39 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, labelled_sample, map_batches, rewritten
 
 STRIP = ".,;:!?()[]{}\"'«»…"
-#: Lengths of the word beginnings that are terms.
-BEGINNINGS = range(3, 10)
-#: Words whose terms a task remembers at most; beyond it the memory starts anew.
-MEMORY = 200_000
+#: Added to each log-likelihood ratio, so that terms that tell nothing weigh something.
+LITTLE = 0.01
+Vector = tuple[np.ndarray, np.ndarray]
 
 
-def word_terms(word: str) -> list[str]:
-    """Terms of a word: itself, and its beginnings, marked by an asterisk. Words of fewer than three characters have none."""
-    plain = word.strip(STRIP)
-    return [plain, *(plain[:n] + "*" for n in BEGINNINGS if len(plain) > n)] if len(plain) >= BEGINNINGS[0] else []
+def words(text: str) -> Counter:
+    """How often each word stands in the text."""
+    out: Counter = Counter()
+    for word, n in Counter(text.lower().split()).items():
+        if plain := word.strip(STRIP):
+            out[plain] += n
+    return out
 
 
 class Counts:
-    """Term counts of texts over a vocabulary.
-
-    Most words begin like no term at all, which one look-up tells; the others are remembered."""
+    """Term counts of texts over a vocabulary: (terms in order, times)."""
 
     def __init__(self, vocabulary: list[str]) -> None:
         self.number = {t: i for i, t in enumerate(vocabulary)}
-        least = BEGINNINGS[0]
-        self.heads = {t[:least] for t in vocabulary}
-        self.beginnings = {t[:n] for t in vocabulary if t[-1] == "*" for n in range(least, len(t))}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def terms_of(self, word: str) -> list[int]:
-        """Numbers of the terms of ``word_terms``; longer beginnings are not tried where no term begins like that."""
-        plain, number, least = word.strip(STRIP), self.number, BEGINNINGS[0]
-        found = [number[plain]] if len(plain) >= least and plain in number else []
-        for n in BEGINNINGS:
-            if n >= len(plain) or plain[:n] not in self.beginnings:
-                break
-            if (i := number.get(plain[:n] + "*")) is not None:
-                found.append(i)
-        return found
-
-    def __call__(self, text: str) -> dict[int, int]:
-        out: dict[int, int] = {}
-        known, number, heads, least = self.known, self.number, self.heads, BEGINNINGS[0]
-        if len(known) > MEMORY:
-            known.clear()
-        for word, times in [x for x in Counter(text.lower().split()).items() if x[0][:least] in heads or x[0][0] in STRIP]:
-            found = known.get(word)
-            if found is None:
-                found = known[word] = tuple(self.terms_of(word))
-            for i in found:
-                out[i] = out.get(i, 0) + times
-        return out
+
+    def __call__(self, text: str) -> Vector:
+        number = self.number
+        found = {number[w]: n for w, n in words(text).items() if w in number}
+        terms = np.fromiter(found, np.int64, len(found))
+        order = np.argsort(terms)
+        return terms[order], np.fromiter(found.values(), np.int64, len(found))[order]
 
 
 def term_statistics(sample: DataFrame) -> DataFrame:
@@ -81,8 +62,7 @@ def term_statistics(sample: DataFrame) -> DataFrame:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for text, label in zip(batch.column(0), batch.column(1)):
-                terms = {t for w in set(text.as_py().lower().split()) for t in word_terms(w)}
-                counts[label.as_py()].update(terms)
+                counts[label.as_py()].update(words(text.as_py()).keys())
             if len(counts[0]) + len(counts[1]) > 500_000:
                 yield flush(counts)
         yield flush(counts)
@@ -102,113 +82,117 @@ def term_statistics(sample: DataFrame) -> DataFrame:
     return rows.groupBy("term").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
 
 
-def pick_terms(statistics: DataFrame, size: int, n_positive: int, n_negative: int) -> list[str]:
-    """Terms of the largest log-likelihood ratio, ``size // 2`` that favour each label; ties by term."""
+def likelihood_ratios(positive: np.ndarray, negative: np.ndarray, n_positive: int, n_negative: int) -> np.ndarray:
+    """Log-likelihood ratio of each term: how far its shares of either label's texts are from one share of all."""
 
-    def part(observed, expected):
-        return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
+    def part(observed: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        some = observed > 0
+        return np.where(some, observed * np.log(np.where(some, observed, 1) / np.where(some, expected, 1)), 0.0)
 
-    a, b = F.col("positive"), F.col("negative")
-    share = (a + b) / F.lit(float(n_positive + n_negative))
-    ratio = 2 * (
-        part(a, share * n_positive) + part(b, share * n_negative)
-        + part(F.lit(n_positive) - a, (1 - share) * n_positive) + part(F.lit(n_negative) - b, (1 - share) * n_negative)
-    )
-    rated = statistics.withColumn("ratio", F.round(ratio, 9)).withColumn("lean", F.signum(a * n_negative - b * n_positive))
-    picked = [rated.where(F.col("lean") == lean).orderBy(F.col("ratio").desc(), "term").limit(size // 2).select("term") for lean in (1, -1)]
-    return sorted(r["term"] for r in picked[0].union(picked[1]).collect())
+    share = (positive + negative) / (n_positive + n_negative)
+    cells = ((positive, n_positive), (negative, n_negative))
+    ratio = 2 * sum(part(seen, share * n) + part(n - seen, (1 - share) * n) for seen, n in cells)
+    return np.maximum(np.round(ratio, 9), 0.0)
 
 
-def document_frequencies(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> tuple[int, np.ndarray]:
+def document_frequencies(docs: DataFrame, vocabulary: Broadcast, text_col: str = "text") -> tuple[int, np.ndarray]:
     """(rows of ``docs``, how many of their texts hold each term), over all of them."""
+    size = len(vocabulary.value)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        counts, total, rows = Counts(vocabulary), np.zeros(len(vocabulary) + 1, np.int64), 0
+        counts, total, rows = Counts(vocabulary.value), np.zeros(size + 1, np.int64), 0
         for batch in batches:
             for text in batch.column(0):
-                total[list(counts(text.as_py()))] += 1
+                total[counts(text.as_py())[0]] += 1
                 rows += 1
         total[-1] = rows
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], names=["term", "n"])
 
     texts = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    summed = texts.mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(len(vocabulary) + 1, np.int64)
-    for row in summed:
-        out[row["term"]] = row["n"]
+    summed = texts.mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size + 1, np.int64)
+    out[summed["term"].to_numpy()] = summed["n"].to_numpy()
     return int(out[-1]), out[:-1]
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, … of every range, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
 @dataclass
 class BlockMaxIndex:
     """Inverted index of unit vectors in blocks of ``block`` consecutive examples.
 
-    Postings are ordered by term, then example; ``bounds[t, b]`` is where those of term t
-    in block b begin, ``most[t, b]`` their largest weight. ``rank`` orders the examples by id; examples of one
-    ``twin`` number have equal vectors."""
+    Postings are ordered by term, then example. A cell is a term in a block that has it: those of term t are
+    ``term_cells[t]`` to ``term_cells[t + 1]``; cell c lies in block ``cell_block[c]``, its largest weight is ``cell_most[c]``, and
+    its postings are ``cell_start[c]`` to ``cell_start[c + 1]``. ``rank`` orders the examples by id; examples of one
+    ``twin`` number have equal vectors. ``weight`` is what a term's TF is multiplied with."""
 
     ids: list
     rank: np.ndarray
     labels: np.ndarray
     twin: np.ndarray
-    idf: np.ndarray
+    weight: np.ndarray
     examples: np.ndarray
     weights: np.ndarray
-    bounds: np.ndarray
-    most: np.ndarray
-    block: int
+    term_cells: np.ndarray
+    cell_block: np.ndarray
+    cell_most: np.ndarray
+    cell_start: np.ndarray
 
     @classmethod
-    def build(cls, ids: list, labels: list[int], vectors: list[dict[int, float]], idf: np.ndarray, block: int = 64) -> BlockMaxIndex:
+    def build(cls, ids: list, labels: list[int], vectors: list[Vector], weight: np.ndarray, block: int = 64) -> BlockMaxIndex:
         """Index of vectors that are not empty, ``ids`` in their order."""
         # examples that share their heaviest term stand together, which makes block bounds tight
-        order = sorted(range(len(ids)), key=lambda i: (max(vectors[i], key=vectors[i].__getitem__), i))
-        sizes = [len(vectors[i]) for i in order]
-        terms = np.fromiter((t for i in order for t in vectors[i]), np.int64, sum(sizes))
-        weights = np.fromiter((w for i in order for w in vectors[i].values()), float, sum(sizes))
+        order = sorted(range(len(ids)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), i))
+        sizes = [len(vectors[i][0]) for i in order]
+        terms = np.concatenate([vectors[i][0] for i in order] or [np.zeros(0, np.int64)])
+        weights = np.concatenate([vectors[i][1] for i in order] or [np.zeros(0)])
         examples = np.repeat(np.arange(len(order)), sizes)
         by_term = np.lexsort((examples, terms))
         terms, examples, weights = terms[by_term], examples[by_term], weights[by_term]
         blocks = -(-len(ids) // block) or 1
-        cell = terms * blocks + examples // block
-        most = np.zeros(len(idf) * blocks)
-        np.maximum.at(most, cell, weights)
-        bounds = np.searchsorted(cell, np.arange(len(idf) * blocks + 1)).astype(np.int32)
+        cells, start = np.unique(terms * blocks + examples // block, return_index=True)
+        most = np.maximum.reduceat(weights, start) if len(start) else np.zeros(0)
+        term_cells = np.searchsorted(cells, np.arange(len(weight) + 1) * blocks)
         twins: dict[tuple, int] = {}
-        twin = np.array([twins.setdefault(tuple(sorted(vectors[i].items())), len(twins)) for i in order], np.int64)
-        own = [ids[i] for i in order]
-        return cls(own, np.array(order, np.int64), np.array([labels[i] for i in order], np.int64), twin, idf, examples.astype(np.int32), weights, bounds, most.reshape(len(idf), blocks), block)
-
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        """Unit TF-IDF vector of term counts; empty without terms."""
-        raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
-        norm = math.sqrt(sum(w * w for w in raw.values()))
-        return {t: w / norm for t, w in raw.items()} if norm else {}
-
-    def nearest(self, vector: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
+        twin = np.array([twins.setdefault((vectors[i][0].tobytes(), vectors[i][1].tobytes()), len(twins)) for i in order], np.int64)
+        return cls(
+            [ids[i] for i in order], np.array(order, np.int64), np.array([labels[i] for i in order], np.int64), twin, weight,
+            examples.astype(np.int32), weights, term_cells, (cells % blocks).astype(np.int32), most, np.append(start, len(weights)),
+        )
+
+    def vector(self, counts: Vector) -> Vector:
+        """Unit vector of term counts; empty without terms."""
+        terms, times = counts
+        raw = (1 + np.log(times)) * self.weight[terms]
+        return terms, raw / math.sqrt(raw @ raw) if len(raw) else raw
+
+    def nearest(self, vector: Vector, k: int, without: int = -1) -> list[tuple[float, int]]:
         """(similarity, example) of the k nearest examples that share a term, ties to the smaller id; none of the twin ``without``."""
-        if not vector or not self.ids:
+        terms, query = vector
+        if not len(terms) or not self.ids:
             return []
-        terms = np.fromiter(vector, np.int64, len(vector))
-        query = np.fromiter(vector.values(), float, len(vector))
-        bound = query @ self.most[terms]
+        begin = self.term_cells[terms]
+        size = self.term_cells[terms + 1] - begin
+        cells, query = _ranges(begin, size), np.repeat(query, size)
+        within = self.cell_block[cells]
+        bound = np.bincount(within, query * self.cell_most[cells])
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        blocks = self.most.shape[1]
         best_s, best_e = np.zeros(0), np.zeros(0, np.int64)
-        taken, rest = np.split(order, [max(8, blocks // 4)])
+        taken, rest = np.split(order, [max(8, len(bound) // 4)])
         while len(taken):
-            cells = (terms[:, None] * blocks + taken[None, :]).ravel()
-            lo = self.bounds[cells]
-            size = self.bounds[cells + 1] - lo
-            held = np.flatnonzero(size)
-            lo, size = lo[held], size[held]
-            # positions lo, lo + 1, … of every cell, one after the other
-            ends = np.cumsum(size)
-            spots = np.arange(ends[-1]) + np.repeat(lo - ends + size, size)
-            found = self.examples[spots]
-            sums = np.bincount(found, self.weights[spots] * np.repeat(query[held // len(taken)], size), len(self.ids))
+            visited = np.zeros(len(bound), bool)
+            visited[taken] = True
+            held = visited[within]
+            begin = self.cell_start[cells[held]]
+            size = self.cell_start[cells[held] + 1] - begin
+            spots = _ranges(begin, size)
+            sums = np.bincount(self.examples[spots], self.weights[spots] * np.repeat(query[held], size), len(self.ids))
             found = np.flatnonzero(sums)
             if without >= 0:
                 found = found[self.twin[found] != without]
@@ -273,8 +257,7 @@ def train(
     docs: DataFrame,
     labels: DataFrame,
     label_col: str = "toxic",
-    fit_rows: int = 20_000,
-    vocabulary_size: int = 1024,
+    fit_rows: int = 6000,
     k: int = 15,
     calibration_rows: int = 2000,
     id_col: str = "doc_id",
@@ -283,33 +266,36 @@ def train(
     """Index of at most ``fit_rows`` labelled rows that are not held out, one row an id.
 
     The votes are calibrated on some ``calibration_rows`` of them with different vectors, spread evenly over their order, each scored
-    without the examples of its own vector. What reaches the driver is bounded by ``fit_rows`` and ``vocabulary_size``; texts do not."""
+    without the examples of its own vector. What reaches the driver are the term counts of ``fit_rows`` texts; texts do not."""
     sample = rewritten(labelled_sample(docs, labels, label_col, fit_rows, id_col, text_col))
     totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     positive, negative = totals.get(1, 0), totals.get(0, 0)
-    vocabulary = pick_terms(term_statistics(sample), vocabulary_size, positive, negative) if positive and negative else []
-    rows, frequency = document_frequencies(docs, vocabulary, text_col) if vocabulary else (0, np.zeros(0, np.int64))
-    idf = np.log((rows + 1) / (frequency + 1)) + 1
+    told = (term_statistics(sample) if positive and negative else term_statistics(sample).limit(0)).toArrow().sort_by("term")
+    vocabulary = told["term"].to_pylist()
+    ratios = likelihood_ratios(told["positive"].to_numpy(), told["negative"].to_numpy(), positive, negative) if vocabulary else np.zeros(0)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    rows, frequency = document_frequencies(docs, shared, text_col) if vocabulary else (0, np.zeros(0, np.int64))
+    weight = (np.log((rows + 1) / (frequency + 1)) + 1) * np.sqrt(ratios + LITTLE)
     keyed = sample.select(F.struct("doc_id", "label").alias("key"), "text")
 
     def per_task():
-        counts = Counts(vocabulary)
+        counts = Counts(shared.value)
 
         def work(texts: list[str]) -> tuple:
             found = [counts(t) for t in texts]
-            return [list(f) for f in found], [list(f.values()) for f in found]
+            return [t.tobytes() for t, _ in found], [n.tobytes() for _, n in found]
 
         return work
 
-    counted = map_batches(keyed, "key", "text", "terms array<int>, times array<int>", per_task, encoded=False)
+    counted = map_batches(keyed, "key", "text", "terms binary, times binary", per_task, encoded=False)
     examples = sorted(
-        ((r["doc_id"]["doc_id"], r["doc_id"]["label"], dict(zip(r["terms"], r["times"]))) for r in counted.collect()),
-        key=lambda r: (r[0], r[1]),
+        ((r["doc_id"]["doc_id"], r["doc_id"]["label"], (np.frombuffer(r["terms"], np.int64), np.frombuffer(r["times"], np.int64))) for r in counted.collect()),
+        key=lambda r: r[:2],
     )
-    held = [e for e in examples if e[2]]
-    empty = BlockMaxIndex.build([], [], [], idf)
-    index = BlockMaxIndex.build([e[0] for e in held], [e[1] for e in held], [empty.vector(e[2]) for e in held], idf)
-    bare = [e[1] for e in examples if not e[2]]
+    held = [e for e in examples if len(e[2][0])]
+    empty = BlockMaxIndex.build([], [], [], weight)
+    index = BlockMaxIndex.build([e[0] for e in held], [e[1] for e in held], [empty.vector(e[2]) for e in held], weight)
+    bare = [e[1] for e in examples if not len(e[2][0])]
     share = (positive + 0.5) / (positive + negative + 1)
     model = Model(vocabulary, index, share, (sum(bare) + share) / (len(bare) + 1), 1.0, 0.0, k)
     _, tried = np.unique(index.twin, return_index=True)
@@ -323,10 +309,10 @@ def train(
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", evidence: int = 3) -> DataFrame:
     """(doc_id, score, evidence array<struct<doc_id, similarity, label>>) for each row of ``docs``.
 
-    Texts without any term of the vocabulary, null and empty ones among them, score the
+    Texts without any word of the examples, null and empty ones among them, score the
     smoothed share of label 1 among such examples and have no evidence. Repeated rows
     return equal rows; ids may be null; other columns are ignored; an empty table gives
-    an empty result. The index is broadcast: ``fit_rows`` and ``vocabulary_size`` bound it."""
+    an empty result. The index is broadcast: the texts of ``fit_rows`` rows bound it."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def per_task():

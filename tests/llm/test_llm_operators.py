@@ -387,55 +387,51 @@ def test_classifiers_without_labels_or_rows(spark, classify):
 
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(2)
-    idf = rng.random(30) + 1
-    empty = toxicity.BlockMaxIndex.build([], [], [], idf)
-    counts = [{int(t): int(rng.integers(1, 5)) for t in rng.choice(30, rng.integers(1, 6), replace=False)} for _ in range(300)]
+    weight = rng.random(30) + 1
+    empty = toxicity.BlockMaxIndex.build([], [], [], weight)
+    counts = [(np.sort(rng.choice(30, n, replace=False)), rng.integers(1, 5, n)) for n in rng.integers(1, 6, 300)]
     vectors = [empty.vector(c) for c in counts]
-    index = toxicity.BlockMaxIndex.build(list(range(300)), [0] * 300, vectors, idf, block=16)
-    for c in counts[:60]:
-        q = index.vector(c)
-        sims = [(-round(sum(q.get(t, 0) * w for t, w in v.items()), 12), i) for i, v in enumerate(vectors)]
+    index = toxicity.BlockMaxIndex.build(list(range(300)), [0] * 300, vectors, weight, block=16)
+    plain = [dict(zip(*map(list, v))) for v in vectors]
+    for q, own in zip(vectors[:60], plain):
+        sims = [(-round(sum(own.get(t, 0) * w for t, w in v.items()), 12), i) for i, v in enumerate(plain)]
         want = [(i, -s) for s, i in sorted(sims)[:7] if s < 0]
         got = [(index.ids[e], s) for s, e in index.nearest(q, 7)]
         assert [s for _, s in got] == pytest.approx([s for _, s in want], abs=1e-9)
         assert {i for i, s in got if s > want[-1][1] + 1e-8} == {i for i, s in want if s > want[-1][1] + 1e-8}
     # none of the same vector
     twin = index.twin[0]
-    assert all(index.twin[e] != twin for _, e in index.nearest(index.vector(counts[index.ids[0]]), 300, int(twin)))
+    assert all(index.twin[e] != twin for _, e in index.nearest(vectors[index.ids[0]], 300, int(twin)))
 
 
 @pytest.mark.parametrize("id_type", ["long", "string"])
 def test_toxicity_matches_plain_tf_idf(spark, id_type):
-    """Scores and evidence from a dense matrix of all terms, whatever the type of the ids."""
+    """Scores and evidence from plain vectors of all words, whatever the type of the ids."""
     docs, labels, truth = labelled(spark, True)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast(id_type))
     labels = labels.withColumn("doc_id", F.col("doc_id").cast(id_type))
-    size, k = 60, 7
-    model = toxicity.train(docs, labels, label_col="y", vocabulary_size=size, k=k)
+    k = 7
+    model = toxicity.train(docs, labels, label_col="y", k=k)
     got = {(str(r["doc_id"]), r["score"]): r["evidence"] for r in toxicity.score(docs, model).collect()}
     texts = [(None if r["doc_id"] is None else str(r["doc_id"]), r["text"] or "") for r in docs.select("doc_id", "text").collect()]
 
     def terms(text):
-        out = Counter()
-        for w in (x.strip(toxicity.STRIP) for x in text.lower().split()):
-            out.update([w, *(w[:n] + "*" for n in range(3, 10) if len(w) > n)] if len(w) > 2 else [])
-        return out
+        return Counter(w for w in (x.strip(toxicity.STRIP) for x in text.lower().split()) if w)
 
     held = [(i, t, truth[int(i)]) for i, t in texts if i is not None and int(i) in truth and zlib.crc32(i.encode()) % 5]
     one, zero = ([set(terms(t)) for _, t, y in held if y == label] for label in (1, 0))
-    ratio, lean = {}, {}
+    seen = [set(terms(t)) for _, t in texts]
+    weight = {}
     for t in set().union(*one, *zero):
         a, b = sum(t in x for x in one), sum(t in x for x in zero)
         share = (a + b) / (len(one) + len(zero))
         cells = ((a, share * len(one)), (b, share * len(zero)), (len(one) - a, (1 - share) * len(one)), (len(zero) - b, (1 - share) * len(zero)))
-        lean[t] = np.sign(a * len(zero) - b * len(one))
-        ratio[t] = round(2 * sum(o * math.log(o / e) for o, e in cells if o > 0), 9)
-    vocabulary = sorted(t for side in (1, -1) for t in sorted((t for t in ratio if lean[t] == side), key=lambda t: (-ratio[t], t))[: size // 2])
-    assert model.vocabulary == vocabulary
-    idf = {t: math.log((len(texts) + 1) / (sum(t in terms(x) for _, x in texts) + 1)) + 1 for t in vocabulary}
+        ratio = max(round(2 * sum(o * math.log(o / e) for o, e in cells if o > 0), 9), 0)
+        weight[t] = (math.log((len(texts) + 1) / (sum(t in x for x in seen) + 1)) + 1) * math.sqrt(ratio + 0.01)
+    assert model.vocabulary == sorted(weight)
 
     def vector(text):
-        raw = {t: (1 + math.log(n)) * idf[t] for t, n in terms(text).items() if t in idf}
+        raw = {t: (1 + math.log(n)) * weight[t] for t, n in terms(text).items() if t in weight}
         norm = math.sqrt(sum(w * w for w in raw.values()))
         return {t: w / norm for t, w in raw.items()}
 
@@ -446,8 +442,8 @@ def test_toxicity_matches_plain_tf_idf(spark, id_type):
         near = [x for x in near if x[0] < 0]
         assert [round(x["similarity"], 9) for x in evidence] == [-round(s, 9) for s, _, _ in near[:3]]
         if near:
-            weight = sum(s * s for s, _, _ in near)
-            vote = (sum(s * s * y for s, _, y in near) + 0.1 * model.share) / (weight + 0.1)
+            weights = sum(s * s for s, _, _ in near)
+            vote = (sum(s * s * y for s, _, y in near) + 0.1 * model.share) / (weights + 0.1)
             want = 1 / (1 + math.exp(-(model.slope * math.log(vote / (1 - vote)) + model.shift)))
             assert value == pytest.approx(want, abs=1e-6)
         else:
