@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are all words of the labelled examples, lower-cased; none is left out, and document frequencies come from all documents.
-A term's weight in a text is its TF-IDF times how well it tells the labels apart: the square root of its log-likelihood
+A term's weight in a text is its TF-IDF times how well it tells the labels apart: a power of its log-likelihood
 ratio, and a little for every term. By TF-IDF alone the nearest of a long text are those of its subject, not of its
 tone. The examples' vectors lie in an inverted index cut into blocks of consecutive examples, with the largest weight of each
 term in each block. A search bounds every block by the query's weights times those
@@ -27,18 +27,14 @@ from pyspark.sql import functions as F
 from .common import held_out, labelled_sample, map_batches, rewritten
 
 STRIP = ".,;:!?()[]{}\"'«»…"
-#: Added to each log-likelihood ratio, so that terms that tell nothing weigh something.
-LITTLE = 0.01
+#: Added to each log-likelihood ratio, so that terms that tell nothing weigh something; the power that is taken of the sum.
+LITTLE, POWER = 0.01, 0.75
 Vector = tuple[np.ndarray, np.ndarray]
 
 
-def words(text: str) -> Counter:
-    """How often each word stands in the text."""
-    out: Counter = Counter()
-    for word, n in Counter(text.lower().split()).items():
-        if plain := word.strip(STRIP):
-            out[plain] += n
-    return out
+def words(text: str) -> set[str]:
+    """The words of a text, as terms."""
+    return {w.strip(STRIP) for w in set(text.lower().split())} - {""}
 
 
 class Counts:
@@ -48,8 +44,11 @@ class Counts:
         self.number = {t: i for i, t in enumerate(vocabulary)}
 
     def __call__(self, text: str) -> Vector:
-        number = self.number
-        found = {number[w]: n for w, n in words(text).items() if w in number}
+        number_of, found = self.number.get, {}
+        for word, n in Counter(text.lower().split()).items():
+            i = number_of(word.strip(STRIP))
+            if i is not None:
+                found[i] = found.get(i, 0) + n
         terms = np.fromiter(found, np.int64, len(found))
         order = np.argsort(terms)
         return terms[order], np.fromiter(found.values(), np.int64, len(found))[order]
@@ -62,7 +61,7 @@ def term_statistics(sample: DataFrame) -> DataFrame:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for text, label in zip(batch.column(0), batch.column(1)):
-                counts[label.as_py()].update(words(text.as_py()).keys())
+                counts[label.as_py()].update(words(text.as_py()))
             if len(counts[0]) + len(counts[1]) > 500_000:
                 yield flush(counts)
         yield flush(counts)
@@ -162,7 +161,7 @@ class BlockMaxIndex:
         twin = np.array([twins.setdefault((vectors[i][0].tobytes(), vectors[i][1].tobytes()), len(twins)) for i in order], np.int64)
         return cls(
             [ids[i] for i in order], np.array(order, np.int64), np.array([labels[i] for i in order], np.int64), twin, weight,
-            examples.astype(np.int32), weights, term_cells, (cells % blocks).astype(np.int32), most, np.append(start, len(weights)),
+            examples, weights, term_cells, cells % blocks, most, np.append(start, len(weights)),
         )
 
     def vector(self, counts: Vector) -> Vector:
@@ -257,7 +256,7 @@ def train(
     docs: DataFrame,
     labels: DataFrame,
     label_col: str = "toxic",
-    fit_rows: int = 6000,
+    fit_rows: int = 3000,
     k: int = 15,
     calibration_rows: int = 2000,
     id_col: str = "doc_id",
@@ -275,7 +274,7 @@ def train(
     ratios = likelihood_ratios(told["positive"].to_numpy(), told["negative"].to_numpy(), positive, negative) if vocabulary else np.zeros(0)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     rows, frequency = document_frequencies(docs, shared, text_col) if vocabulary else (0, np.zeros(0, np.int64))
-    weight = (np.log((rows + 1) / (frequency + 1)) + 1) * np.sqrt(ratios + LITTLE)
+    weight = (np.log((rows + 1) / (frequency + 1)) + 1) * (ratios + LITTLE) ** POWER
     keyed = sample.select(F.struct("doc_id", "label").alias("key"), "text")
 
     def per_task():

@@ -427,7 +427,7 @@ def test_toxicity_matches_plain_tf_idf(spark, id_type):
         share = (a + b) / (len(one) + len(zero))
         cells = ((a, share * len(one)), (b, share * len(zero)), (len(one) - a, (1 - share) * len(one)), (len(zero) - b, (1 - share) * len(zero)))
         ratio = max(round(2 * sum(o * math.log(o / e) for o, e in cells if o > 0), 9), 0)
-        weight[t] = (math.log((len(texts) + 1) / (sum(t in x for x in seen) + 1)) + 1) * math.sqrt(ratio + 0.01)
+        weight[t] = (math.log((len(texts) + 1) / (sum(t in x for x in seen) + 1)) + 1) * (ratio + 0.01) ** 0.75
     assert model.vocabulary == sorted(weight)
 
     def vector(text):
