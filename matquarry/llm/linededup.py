@@ -5,16 +5,14 @@ position; positions are ordered by document id, text and word. Copies of a passa
 lines alike, so the lines that are hashed are reflowed: a line of ``line_words`` words
 begins at each word, whatever the text's own breaks.
 
-Of each window of ``min_words - line_words + 1`` successive line hashes the smallest (the last of equal ones) is
-a fingerprint, so two texts that share a run share a fingerprint in it. Positions are joined to the
-first position of their fingerprint. Positions that follow each other in both texts
-are one match; it is extended to the left and to the right, word by word, as far as the next fingerprint could
-be. Matches of ``min_words`` or more are repeated runs.
-
-A run may stand at an earlier position other than the first of its fingerprint. So the runs of just ``min_words`` words
-around a later position that its match does not hold meet each other too: of equal ones all but the first are
-repeated runs. None is lost by this: the first place of a run is either the first of its fingerprint, or in no match
-itself. Deleted are the words of a run at its later position, and each line that keeps none of its words.
+Of each window of ``min_words`` words the smallest line hash (the last of equal ones) is
+a fingerprint, so two windows that are equal have the same fingerprint at the same place. Positions of equal fingerprints
+are joined and extended both ways: the windows that have a position as their minimum follow each other, and all their words are
+its span. Positions with equal spans match in whole; all but the first of them are repeated runs. There are few unlike spans beside the
+positions. The first positions of these meet again, extended to the left by each number of words that their span
+holds and to the right by the rest of ``min_words``: of equal windows all but the first are repeated runs. Every window lies in one
+span, and the first place of a window is the first position of its span, so no repeated run is lost, whichever earlier position
+it stands at. Runs that touch or overlap are one. Deleted are the words of a run at its later position, and each line that keeps none of its words.
 """
 
 from __future__ import annotations
@@ -29,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, materialise, n_words, pieces
+from .common import WORD, materialise, n_words, pieces, rewritten
 
 BASE = 0x9E3779B97F4A7C15
 MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -37,10 +35,10 @@ MIX = np.uint64(0xBF58476D1CE4E5B9)
 SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 #: Rows of a record batch that is sent back.
 ROWS = 20_000
-#: Texts whose contexts are asked for and that are sent to all tasks at most; beyond it they meet through a shuffle.
+#: Rows that are sent to all tasks at most; beyond it they meet through a shuffle.
 BROADCAST = 200_000
-#: What tells a match from others.
-MATCH = ["doc_id", "text_key", "there_id", "there_key", "lane", "chain"]
+#: Positions whose windows are asked for by sending them to all tasks at most, some 20 bytes each.
+BROADCAST_SPANS = 500_000
 
 
 class Powers:
@@ -89,15 +87,29 @@ def line_hashes(words: np.ndarray, line_words: int) -> np.ndarray:
     return total ^ (total >> np.uint64(29))
 
 
-def fingerprints(words: np.ndarray, min_words: int, line_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the lines that are the smallest of a window, the last of equal ones."""
+def run_hashes(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray | int, powers: Powers) -> np.ndarray:
+    """Hash of the ``sizes`` words from each of ``starts`` on."""
+    up, down = powers.upto(len(words) or 1)
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(words * up[: len(words)])))
+    total = (sums[starts + sizes] - sums[starts]) * down[starts] + np.atleast_1d(sizes).astype(np.uint64) * MIX
+    total = (total ^ (total >> np.uint64(31))) * MIX
+    return total ^ (total >> np.uint64(29))
+
+
+def fingerprints(words: np.ndarray, min_words: int, line_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, n, hash) of the lines that are the smallest of a window, the last of equal ones: those of the ``n`` windows from ``first`` on."""
     if len(words) < min_words:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    hashes = line_hashes(words, line_words)
-    window = min_words - line_words + 1
-    views = np.lib.stride_tricks.sliding_window_view(hashes, window)[:, ::-1]
-    at = np.unique(np.arange(len(views)) + window - 1 - views.argmin(axis=1))
-    return at, hashes[at]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    least = line_hashes(words, line_words)
+    at = np.arange(len(least))
+    window, size = min_words - line_words + 1, 1
+    while size < window:  # least, at: the smallest of the size lines from each on, and where it is
+        step = min(size, window - size)
+        later = least[step:] <= least[:-step]
+        least, at = np.where(later, least[step:], least[:-step]), np.where(later, at[step:], at[:-step])
+        size += step
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    return first, np.diff(np.append(first, len(at))), least[first]
 
 
 def text_key(text: Column) -> Column:
@@ -111,20 +123,25 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _few(small: DataFrame) -> DataFrame:
-    """``small`` marked for sending to all tasks, if it has no more than BROADCAST rows."""
+    """``small``, which is written already, marked for sending to all tasks if it has no more than BROADCAST rows."""
     return F.broadcast(small) if small.count() <= BROADCAST else small
 
 
-def fingerprint_table(texts: DataFrame, min_words: int, line_words: int) -> DataFrame:
-    """(doc_id, text_key, at, fingerprint) of every text."""
-    schema = T.StructType([*texts.select("doc_id", "text_key").schema.fields, *T._parse_datatype_string("at int, fingerprint long").fields])
-    names = schema.fieldNames()
+def _with_keys(texts: DataFrame, columns: str) -> T.StructType:
+    return T.StructType([*texts.select("doc_id", "text_key").schema.fields, *T._parse_datatype_string(columns).fields])
+
+
+def span_table(texts: DataFrame, min_words: int, line_words: int) -> DataFrame:
+    """(doc_id, text_key, first, n, fingerprint, span) of every text: ``fingerprint`` is the minimum of the ``n`` windows from word ``first`` on,
+    whose words have the hash ``span``."""
+    schema = _with_keys(texts, "first int, n int, fingerprint long, span long")
 
-    def emit(part: pa.RecordBatch, found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        owner = pa.array(np.repeat([i for i, _, _ in found], [len(a) for _, a, _ in found]))
-        at = np.concatenate([a for _, a, _ in found]).astype(np.int32)
-        marks = np.concatenate([h for _, _, h in found]).view(np.int64)
-        return pa.RecordBatch.from_arrays([part.column(0).take(owner), part.column(2).take(owner), pa.array(at), pa.array(marks)], names=names)
+    def emit(part: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+        owner = pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]))
+        first, n = (np.concatenate([f[c] for f in found]).astype(np.int32) for c in (1, 2))
+        marks, spans = (np.concatenate([f[c] for f in found]).view(np.int64) for c in (3, 4))
+        columns = [part.column(0).take(owner), part.column(2).take(owner), *map(pa.array, (first, n, marks, spans))]
+        return pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -132,10 +149,11 @@ def fingerprint_table(texts: DataFrame, min_words: int, line_words: int) -> Data
             for part in pieces(batch):
                 found, rows = [], 0
                 for i, text in enumerate(part.column(1).cast(pa.binary())):
-                    at, marks = fingerprints(word_hashes(text.as_py(), powers), min_words, line_words)
-                    if len(at):
-                        found.append((i, at, marks))
-                        rows += len(at)
+                    words = word_hashes(text.as_py(), powers)
+                    first, n, marks = fingerprints(words, min_words, line_words)
+                    if len(first):
+                        found.append((i, first, n, marks, run_hashes(words, first, n + (min_words - 1), powers)))
+                        rows += len(first)
                     if rows >= ROWS:
                         yield emit(part, found)
                         found, rows = [], 0
@@ -145,33 +163,27 @@ def fingerprint_table(texts: DataFrame, min_words: int, line_words: int) -> Data
     return texts.mapInArrow(run, schema)
 
 
-def _contexts(batches: Iterable[pa.RecordBatch], reach: int, line_words: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text_key, at, before, after): 32-bit hashes of the words around the lines asked for, nearest first."""
-    powers = Powers()
-    for batch in batches:
-        owner, spots, before, after = [], [], [], []
-        for i, (text, wanted) in enumerate(zip(batch.column(2).cast(pa.binary()), batch.column(3))):
-            words = word_hashes(text.as_py(), powers).astype(np.uint32)
-            for at in wanted.as_py():
-                owner.append(i)
-                spots.append(at)
-                before.append(words[max(0, at - reach) : at][::-1].tobytes())
-                after.append(words[at + line_words : at + line_words + reach].tobytes())
-        own = pa.array(owner, pa.int32())
-        columns = [batch.column(0).take(own), batch.column(1).take(own), pa.array(spots, pa.int32()), pa.array(before, pa.binary()), pa.array(after, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "at", "before", "after"])
+def window_table(texts: DataFrame, heads: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, text_key, begin, fingerprint, words): the windows of the positions ``heads`` (doc_id, text_key, first, n, fingerprint), with the hashes of their words."""
+    spots = heads.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "n", "fingerprint")).alias("spots"))
+    if heads.count() <= BROADCAST_SPANS:
+        spots = F.broadcast(spots)
+    asked = _meet(texts, spots, {"doc_id": "doc_id", "text_key": "text_key"})
+    schema = _with_keys(texts, "begin int, fingerprint long, words long")
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            for part in pieces(batch, 100):
+                for i, (text, wanted) in enumerate(zip(part.column(2).cast(pa.binary()), part.column(3))):
+                    first, n, marks = (wanted.values.field(c).to_numpy() for c in range(3))
+                    begin = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                    hashes = run_hashes(word_hashes(text.as_py(), powers), begin, min_words, powers).view(np.int64)
+                    own = pa.array(np.full(len(begin), i))
+                    columns = [part.column(0).take(own), part.column(1).take(own), *map(pa.array, (begin.astype(np.int32), np.repeat(marks, n), hashes))]
+                    yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
-@F.pandas_udf(T.IntegerType())
-def _alike(own: pd.Series, other: pd.Series) -> pd.Series:
-    """How many 32-bit words are equal before the first that is not."""
-
-    def one(a: bytes, b: bytes) -> int:
-        n = min(len(a), len(b)) // 4
-        unlike = np.flatnonzero(np.frombuffer(a, np.uint32, n) != np.frombuffer(b, np.uint32, n))
-        return int(unlike[0]) if len(unlike) else n
-
-    return pd.Series([one(a, b) for a, b in zip(own, other)], dtype="int32")
+    return asked.select("doc_id", "text_key", "text", "spots").mapInArrow(run, schema)
 
 
 def _meet(left: DataFrame, right: DataFrame, keys: dict[str, Column | str]) -> DataFrame:
@@ -190,75 +202,41 @@ def whole_copies(texts: DataFrame) -> DataFrame:
     return materialise(owners.join(several, ["text_key", "other_key"]).where(~F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "text_key"))
 
 
-def match_edges(texts: DataFrame, copies: DataFrame, min_words: int, line_words: int) -> DataFrame:
-    """Later positions of fingerprints that begin or end a match or lie so near to its ends that a run around them may reach beyond it.
-
-    (doc_id, text_key, at, fingerprint, n, there_id, there_key, lane, chain, first, last): ``n`` positions have the fingerprint, the first
-    of them at ``at + lane`` of the text ``there``; the match goes from ``first`` to ``last``. ``copies`` take no part."""
-    # where they are few enough to tell beforehand, their texts are not read for it
-    gone = copies.withColumnsRenamed({"doc_id": "copy_id", "text_key": "copy_key"})
-    copied = F.col("doc_id").eqNullSafe(F.col("copy_id")) & (F.col("text_key") == F.col("copy_key"))
-    if copies.count() <= BROADCAST:
-        every = fingerprint_table(texts.join(F.broadcast(gone), copied, "left_anti"), min_words, line_words)
-    else:
-        every = fingerprint_table(texts, min_words, line_words).join(gone, copied, "left_anti")
-    every = materialise(every)
+def _later(rows: DataFrame, keys: list[str], start: str) -> DataFrame:
+    """The rows of a group of equal ``keys`` but the first by document, text and ``start``."""
+    place = F.struct("doc_id", "text_key", start)
     # the small side is written first, so that a join can split a hot key
-    place = F.struct("doc_id", "text_key", "at")
-    seeds = materialise(
-        every.groupBy("fingerprint").agg(F.min(place).alias("there"), F.count("*").alias("n")).where("n > 1").select("fingerprint", "n", "there.*")
-        .withColumnsRenamed({"doc_id": "there_id", "text_key": "there_key", "at": "there_at"})
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("there_id")) & (F.col("text_key") == F.col("there_key")) & (F.col("at") == F.col("there_at"))
-    near = every.join(seeds, "fingerprint").where(~same).withColumn("lane", F.col("there_at") - F.col("at")).drop("there_at")
-    order = "OVER (PARTITION BY doc_id, text_key, there_id, there_key, lane ORDER BY at)"
-    near = near.withColumn("opens", F.expr(f"coalesce(at - lag(at) {order} > {line_words}, true)"))
-    near = near.withColumn("chain", F.expr(f"sum(cast(opens AS int)) {order}")).drop("opens")
-    match = Window.partitionBy(*MATCH)
-    near = near.withColumns({"first": F.min("at").over(match), "last": F.max("at").over(match)})
-    reach = min_words - line_words
-    return materialise(near.where((F.col("at") < F.col("first") + reach) | (F.col("at") > F.col("last") - reach)))
-
-
-def word_contexts(texts: DataFrame, edges: DataFrame, reach: int, line_words: int) -> DataFrame:
-    """(doc_id, text_key, at, before, after): the words around the edges, and around the ends of their matches in the other text."""
-    there = edges.where("at = first OR at = last").select(F.col("there_id").alias("doc_id"), F.col("there_key").alias("text_key"), F.expr("at + lane AS at"))
-    spots = edges.select("doc_id", "text_key", "at").union(there)
-    wanted = materialise(spots.groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("spots")))
-    around = _meet(texts, _few(wanted), {"doc_id": "doc_id", "text_key": "text_key"}).select("doc_id", "text_key", "text", "spots")
-    schema = T.StructType([*texts.select("doc_id", "text_key").schema.fields, *T._parse_datatype_string("at int, before binary, after binary").fields])
-    around = around.mapInArrow(lambda batches: _contexts(batches, reach, line_words), schema)
-    return materialise(around.groupBy("doc_id", "text_key", "at").agg(F.first("before").alias("before"), F.first("after").alias("after")))
+    firsts = materialise(rows.groupBy(*keys).agg(F.min(place).alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n"))
+    return rows.join(_few(firsts), keys).where(~place.eqNullSafe(F.col("__first"))).drop("__first")
 
 
 def repeated_runs(texts: DataFrame, copies: DataFrame, min_words: int, line_words: int) -> DataFrame:
     """(doc_id, text_key, start, end): words ``start`` to ``end``, exclusive, stand at an earlier position too. What is in no such row does not.
 
     ``copies`` are the texts that take no part, as an earlier document has the whole of them."""
-    reach = min_words - line_words
-    edges = match_edges(texts, copies, min_words, line_words)
-    around = word_contexts(texts, edges, reach, line_words)
-    there = around.withColumnsRenamed({"before": "there_before", "after": "there_after"})
-    placed = _meet(edges, around, {c: c for c in ("doc_id", "text_key", "at")})
-    ends = _meet(placed.where("at = first OR at = last"), there, {"doc_id": "there_id", "text_key": "there_key", "at": F.col("at") + F.col("lane")})
-    left = F.when(F.col("at") == F.col("first"), _alike("before", "there_before"))
-    right = F.when(F.col("at") == F.col("last"), _alike("after", "there_after"))
-    ends = ends.select(*MATCH, (F.col("first") - left).alias("start"), (F.col("last") + line_words + right).alias("end"))
-    runs = materialise(ends.groupBy(*MATCH).agg(F.min("start").alias("start"), F.max("end").alias("end")))
-
-    # runs of min_words words around later positions, beyond their matches; two positions at least must have the fingerprint beside the first
-    loose = _meet(placed.where("n > 2"), runs, {c: c for c in MATCH})
-    fewest = F.greatest(F.lit(0), reach - F.octet_length("after") / 4).cast("int")
-    most = F.least(F.lit(reach), F.octet_length("before") / 4).cast("int")
-    loose = loose.where(fewest <= most).withColumn("back", F.explode(F.sequence(fewest, most))).withColumn("begin", F.col("at") - F.col("back"))
-    loose = loose.where((F.col("begin") < F.col("start")) | (F.col("begin") + min_words > F.col("end")))
-    words = F.xxhash64(F.expr("substring(before, 1, 4 * back)"), F.expr(f"substring(after, 1, 4 * ({reach} - back))"))
-    loose = materialise(loose.select("doc_id", "text_key", "begin", "fingerprint", "back", words.alias("words")))
-    alike = ["fingerprint", "back", "words"]
-    firsts = loose.groupBy(*alike).agg(F.min(F.struct("doc_id", "text_key", "begin")).alias("there"), F.count("*").alias("n")).where("n > 1")
-    again = loose.join(materialise(firsts.drop("n")), alike).where(~F.struct("doc_id", "text_key", "begin").eqNullSafe(F.col("there")))
+    # where they are few enough to tell beforehand, their texts are not read for it
+    gone = copies.withColumnsRenamed({"doc_id": "copy_id", "text_key": "copy_key"})
+    copied = F.col("doc_id").eqNullSafe(F.col("copy_id")) & (F.col("text_key") == F.col("copy_key"))
+    if copies.count() <= BROADCAST:
+        every = span_table(texts.join(F.broadcast(gone), copied, "left_anti"), min_words, line_words)
+    else:
+        every = span_table(texts, min_words, line_words).join(gone, copied, "left_anti")
+    every = rewritten(every)
+    place = F.xxhash64("doc_id", "text_key", "first")
+    seeds = every.groupBy("fingerprint").agg((F.min(place) != F.max(place)).alias("shared"), (F.min("span") != F.max("span")).alias("several"))
+    seeds = materialise(seeds.where("shared").drop("shared"))
+    shared = every.join(_few(seeds), "fingerprint")
+    spans = shared.groupBy("fingerprint", "span", "several").agg(F.min(F.struct("doc_id", "text_key", "first", "n")).alias("head"), F.count("*").alias("size"))
+    spans = materialise(spans)
+    whole = spans.where("size > 1").select("fingerprint", "span", "head")
+    whole = shared.join(_few(whole), ["fingerprint", "span"]).where(~F.struct("doc_id", "text_key", "first", "n").eqNullSafe(F.col("head")))
+    whole = whole.select("doc_id", "text_key", F.col("first").alias("start"), (F.col("first") + F.col("n") + (min_words - 1)).alias("end"))
+
+    heads = spans.where("several").select("head.*", "fingerprint")
+    windows = rewritten(window_table(texts, heads, min_words))
+    again = _later(windows, ["fingerprint", "words"], "begin")
     again = again.select("doc_id", "text_key", F.col("begin").alias("start"), (F.col("begin") + min_words).alias("end"))
-    return runs.where(F.col("end") - F.col("start") >= min_words).select("doc_id", "text_key", "start", "end").union(again)
+    return whole.union(again)
 
 
 def without(text: str, gone: np.ndarray) -> str:

@@ -228,6 +228,7 @@ def test_line_dedup_matches_brute_force(spark):
 def test_line_dedup_finds_every_repeated_word_of_near_copies(spark, monkeypatch, few):
     """Runs that stand first in different texts, in other texts than the first of their fingerprint."""
     monkeypatch.setattr(linededup, "BROADCAST", few)
+    monkeypatch.setattr(linededup, "BROADCAST_SPANS", few)
     rng = np.random.default_rng(8)
     rows = []
     for family in range(3):
