@@ -33,7 +33,7 @@ BASE = 0x9E3779B97F4A7C15
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: White space between words, by byte.
 SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
-#: Rows of a record batch that is sent back.
+#: Rows of a record batch that is sent back at once.
 ROWS = 20_000
 #: Rows that are sent to all tasks at most; beyond it they meet through a shuffle.
 BROADCAST = 200_000
@@ -62,8 +62,8 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-def word_hashes(text: bytes, powers: Powers) -> np.ndarray:
-    """64-bit hash of each word, all at once: differences of running sums of the bytes' polynomial, moved to the word's start."""
+def word_hashes(text: bytes, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, starts): 64-bit hash and first byte of each word, all at once: differences of running sums of the bytes' polynomial, moved to the word's start."""
     letters = np.frombuffer(text, np.uint8)
     edges = np.diff(np.concatenate(([True], SPACE[letters], [True])).astype(np.int8))
     starts, ends = np.flatnonzero(edges < 0), np.flatnonzero(edges > 0)
@@ -71,7 +71,7 @@ def word_hashes(text: bytes, powers: Powers) -> np.ndarray:
     sums = np.concatenate(([np.uint64(0)], np.cumsum((letters.astype(np.uint64) + np.uint64(1)) * up[: len(letters)])))
     words = (sums[ends] - sums[starts]) * down[starts]
     words = (words ^ (words >> np.uint64(30))) * MIX
-    return words ^ (words >> np.uint64(27))
+    return words ^ (words >> np.uint64(27)), starts
 
 
 def line_hashes(words: np.ndarray, line_words: int) -> np.ndarray:
@@ -96,8 +96,10 @@ def run_hashes(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray | int, p
     return total ^ (total >> np.uint64(29))
 
 
-def fingerprints(words: np.ndarray, min_words: int, line_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, n, hash) of the lines that are the smallest of a window, the last of equal ones: those of the ``n`` windows from ``first`` on."""
+def fingerprints(words: np.ndarray, owner: np.ndarray, min_words: int, line_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, n, hash) of the lines that are the smallest of a window, the last of equal ones: those of the ``n`` windows from ``first`` on.
+
+    ``owner`` numbers the text of each word; a window has words of one text only."""
     if len(words) < min_words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     least = line_hashes(words, line_words)
@@ -108,8 +110,34 @@ def fingerprints(words: np.ndarray, min_words: int, line_words: int) -> tuple[np
         later = least[step:] <= least[:-step]
         least, at = np.where(later, least[step:], least[:-step]), np.where(later, at[step:], at[:-step])
         size += step
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return first, np.diff(np.append(first, len(at))), least[first]
+    inside = np.flatnonzero(owner[: len(at)] == owner[min_words - 1 :])
+    at = at[inside]
+    new = np.flatnonzero(np.diff(at, prepend=-1))
+    return inside[new], np.diff(np.append(new, len(at))), least[inside[new]]
+
+
+def text_words(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, owner, begins): the words of all texts one after another, the number of each one's text, and where each text's words begin."""
+    joined = b" ".join(texts)
+    hashes, starts = word_hashes(joined, powers)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    owner = np.searchsorted(ends, starts, side="right")
+    return hashes, owner, np.searchsorted(owner, np.arange(len(texts)))
+
+
+def by_size(batches: Iterable[pa.RecordBatch], column: int, most: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with the texts of ``column``, of ``most`` bytes together or of one text."""
+    for batch in batches:
+        for part in pieces(batch):
+            texts = part.column(column).cast(pa.binary()).to_pylist()
+            begin, size = 0, 0
+            for i, text in enumerate(texts):
+                if i > begin and size + len(text) > most:
+                    yield part.slice(begin, i - begin), texts[begin:i]
+                    begin, size = i, 0
+                size += len(text)
+            if texts:
+                yield part.slice(begin), texts[begin:]
 
 
 def text_key(text: Column) -> Column:
@@ -136,29 +164,17 @@ def span_table(texts: DataFrame, min_words: int, line_words: int) -> DataFrame:
     whose words have the hash ``span``."""
     schema = _with_keys(texts, "first int, n int, fingerprint long, span long")
 
-    def emit(part: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
-        owner = pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]))
-        first, n = (np.concatenate([f[c] for f in found]).astype(np.int32) for c in (1, 2))
-        marks, spans = (np.concatenate([f[c] for f in found]).view(np.int64) for c in (3, 4))
-        columns = [part.column(0).take(owner), part.column(2).take(owner), *map(pa.array, (first, n, marks, spans))]
-        return pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for batch in batches:
-            for part in pieces(batch):
-                found, rows = [], 0
-                for i, text in enumerate(part.column(1).cast(pa.binary())):
-                    words = word_hashes(text.as_py(), powers)
-                    first, n, marks = fingerprints(words, min_words, line_words)
-                    if len(first):
-                        found.append((i, first, n, marks, run_hashes(words, first, n + (min_words - 1), powers)))
-                        rows += len(first)
-                    if rows >= ROWS:
-                        yield emit(part, found)
-                        found, rows = [], 0
-                if found:
-                    yield emit(part, found)
+        for part, texts in by_size(batches, 1):
+            words, owner, begins = text_words(texts, powers)
+            first, n, marks = fingerprints(words, owner, min_words, line_words)
+            spans = run_hashes(words, first, n + (min_words - 1), powers)
+            of = owner[first]
+            values = ((first - begins[of]).astype(np.int32), n.astype(np.int32), marks.view(np.int64), spans.view(np.int64))
+            own = pa.array(of)
+            made = [part.column(0).take(own), part.column(2).take(own), *map(pa.array, values)]
+            yield pa.RecordBatch.from_arrays(made, names=schema.fieldNames())
 
     return texts.mapInArrow(run, schema)
 
@@ -173,15 +189,19 @@ def window_table(texts: DataFrame, heads: DataFrame, min_words: int) -> DataFram
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for batch in batches:
-            for part in pieces(batch, 100):
-                for i, (text, wanted) in enumerate(zip(part.column(2).cast(pa.binary()), part.column(3))):
-                    first, n, marks = (wanted.values.field(c).to_numpy() for c in range(3))
-                    begin = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                    hashes = run_hashes(word_hashes(text.as_py(), powers), begin, min_words, powers).view(np.int64)
-                    own = pa.array(np.full(len(begin), i))
-                    columns = [part.column(0).take(own), part.column(1).take(own), *map(pa.array, (begin.astype(np.int32), np.repeat(marks, n), hashes))]
-                    yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+        for part, texts in by_size(batches, 2):
+            words, _, begins = text_words(texts, powers)
+            spots = part.column(3)
+            first, n, marks = (spots.flatten().field(c).to_numpy() for c in range(3))
+            of = np.repeat(np.arange(len(texts)), spots.value_lengths().to_numpy())
+            begin = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            of = np.repeat(of, n)
+            hashes = run_hashes(words, begin + begins[of], min_words, powers)
+            own = pa.array(of)
+            values = (begin.astype(np.int32), np.repeat(marks, n), hashes.view(np.int64))
+            made = [part.column(0).take(own), part.column(1).take(own), *map(pa.array, values)]
+            for batch in pieces(pa.RecordBatch.from_arrays(made, names=schema.fieldNames()), ROWS):
+                yield batch
 
     return asked.select("doc_id", "text_key", "text", "spots").mapInArrow(run, schema)
 
@@ -225,7 +245,7 @@ def repeated_runs(texts: DataFrame, copies: DataFrame, min_words: int, line_word
     place = F.xxhash64("doc_id", "text_key", "first")
     seeds = every.groupBy("fingerprint").agg((F.min(place) != F.max(place)).alias("shared"), (F.min("span") != F.max("span")).alias("several"))
     seeds = materialise(seeds.where("shared").drop("shared"))
-    shared = every.join(_few(seeds), "fingerprint")
+    shared = rewritten(every.join(_few(seeds), "fingerprint"))
     spans = shared.groupBy("fingerprint", "span", "several").agg(F.min(F.struct("doc_id", "text_key", "first", "n")).alias("head"), F.count("*").alias("size"))
     spans = materialise(spans)
     whole = spans.where("size > 1").select("fingerprint", "span", "head")
@@ -239,6 +259,27 @@ def repeated_runs(texts: DataFrame, copies: DataFrame, min_words: int, line_word
     return whole.union(again)
 
 
+def joined_runs(runs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, found): the runs of each text, those that touch or overlap as one; they are no more than its words."""
+    lists = runs.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("found"))
+
+    def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(2)
+            start, end = (found.flatten().field(c).to_numpy() for c in range(2))
+            of = np.repeat(np.arange(batch.num_rows, dtype=np.int64), found.value_lengths().to_numpy())
+            # running maximum of the ends, each text's beyond those of the texts before
+            far = np.maximum.accumulate(end + (of << 32))
+            new = np.flatnonzero(np.concatenate(([True], start[1:] + (of[1:] << 32) > far[:-1]))) if len(of) else np.zeros(0, np.int64)
+            ends = far[np.append(new[1:], len(of)) - 1] - (of[new] << 32) if len(of) else end
+            kept = pa.StructArray.from_arrays([pa.array(start[new].astype(np.int32)), pa.array(ends.astype(np.int32))], names=["start", "end"])
+            offsets = np.searchsorted(of[new], np.arange(batch.num_rows + 1)).astype(np.int32)
+            columns = [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), kept)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "found"])
+
+    return lists.mapInArrow(join, lists.schema)
+
+
 def without(text: str, gone: np.ndarray) -> str:
     """The text without the marked words, nor the lines that keep none of theirs, nor blank lines between marked words."""
     out, at = [], 0
@@ -270,13 +311,16 @@ def drop_repeated_lines(
     texts = _texts(docs, id_col, text_col)
     copies = whole_copies(texts)
     runs = repeated_runs(texts, copies, min_words, line_words)
-    found = runs.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("found"))
-    gone = found.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
+    found = joined_runs(runs).withColumn("copy", F.lit(False))
+    gone = rewritten(found.unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True))
+    size = gone.agg(F.count("*").alias("texts"), F.coalesce(F.sum(F.size("found")), F.lit(0)).alias("runs")).first()
+    if size["texts"] <= BROADCAST and size["runs"] <= BROADCAST_SPANS:
+        gone = F.broadcast(gone)
 
     @F.pandas_udf(T.StringType())
     def cut(texts: pd.Series, found: pd.Series) -> pd.Series:
         def one(text: str, runs: list[dict]) -> str:
-            gone = np.zeros(sum(1 for _ in re.finditer(WORD, text)), bool)
+            gone = np.zeros(len(re.findall(WORD, text)), bool)
             for run in runs:
                 gone[run["start"] : run["end"]] = True
             return without(text, gone)
