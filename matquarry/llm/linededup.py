@@ -35,9 +35,9 @@ MIX = np.uint64(0xBF58476D1CE4E5B9)
 SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 #: Rows of a record batch that is sent back at once.
 ROWS = 20_000
-#: Rows that are sent to all tasks at most; beyond it they meet through a shuffle.
+#: Texts without their words (copies, or texts with runs) that are sent to all tasks at most; beyond it they meet through a shuffle.
 BROADCAST = 200_000
-#: Positions whose windows are asked for by sending them to all tasks at most, some 20 bytes each.
+#: Positions or runs, some 20 bytes each, that are sent to all tasks at most to meet the texts; beyond it they meet through a shuffle.
 BROADCAST_SPANS = 500_000
 
 
@@ -150,11 +150,6 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return picked.where("text IS NOT NULL").withColumn("text_key", text_key(F.col("text")))
 
 
-def _few(small: DataFrame) -> DataFrame:
-    """``small``, which is written already, marked for sending to all tasks if it has no more than BROADCAST rows."""
-    return F.broadcast(small) if small.count() <= BROADCAST else small
-
-
 def _with_keys(texts: DataFrame, columns: str) -> T.StructType:
     return T.StructType([*texts.select("doc_id", "text_key").schema.fields, *T._parse_datatype_string(columns).fields])
 
@@ -227,7 +222,7 @@ def _later(rows: DataFrame, keys: list[str], start: str) -> DataFrame:
     place = F.struct("doc_id", "text_key", start)
     # the small side is written first, so that a join can split a hot key
     firsts = materialise(rows.groupBy(*keys).agg(F.min(place).alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n"))
-    return rows.join(_few(firsts), keys).where(~place.eqNullSafe(F.col("__first"))).drop("__first")
+    return rows.join(firsts, keys).where(~place.eqNullSafe(F.col("__first"))).drop("__first")
 
 
 def repeated_runs(texts: DataFrame, copies: DataFrame, min_words: int, line_words: int) -> DataFrame:
@@ -245,11 +240,11 @@ def repeated_runs(texts: DataFrame, copies: DataFrame, min_words: int, line_word
     place = F.xxhash64("doc_id", "text_key", "first")
     seeds = every.groupBy("fingerprint").agg((F.min(place) != F.max(place)).alias("shared"), (F.min("span") != F.max("span")).alias("several"))
     seeds = materialise(seeds.where("shared").drop("shared"))
-    shared = rewritten(every.join(_few(seeds), "fingerprint"))
+    shared = rewritten(every.join(seeds, "fingerprint"))
     spans = shared.groupBy("fingerprint", "span", "several").agg(F.min(F.struct("doc_id", "text_key", "first", "n")).alias("head"), F.count("*").alias("size"))
     spans = materialise(spans)
     whole = spans.where("size > 1").select("fingerprint", "span", "head")
-    whole = shared.join(_few(whole), ["fingerprint", "span"]).where(~F.struct("doc_id", "text_key", "first", "n").eqNullSafe(F.col("head")))
+    whole = shared.join(whole, ["fingerprint", "span"]).where(~F.struct("doc_id", "text_key", "first", "n").eqNullSafe(F.col("head")))
     whole = whole.select("doc_id", "text_key", F.col("first").alias("start"), (F.col("first") + F.col("n") + (min_words - 1)).alias("end"))
 
     heads = spans.where("several").select("head.*", "fingerprint")
