@@ -42,6 +42,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Hand texts to Python in Arrow batches of ``size``, where the session leaves Spark's own 64 MB.
+
+    Both the executor and its Python workers hold a batch at a time, beside what they keep of earlier stages."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, size)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
