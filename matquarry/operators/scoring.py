@@ -26,14 +26,15 @@ def score(candidates: DataFrame, f_min: Column | float = 0.0, xi: float = 0.01)
 
 
 def ei_order() -> list[Column]:
-    """Total order of scored candidates: most improvement first."""
+    """Order of scored candidates: most improvement first."""
     return [F.col("ei").desc(), F.col("k_pred"), F.col("formula"), F.col("total_atoms")]
 
 
-def top_by_ei(scored: DataFrame, k: int = 20) -> DataFrame:
-    """The k best rows in the total order with ``rank`` 1..k. The cut comes before the rank, so only k rows meet in one task."""
-    best = scored.orderBy(*ei_order()).limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(*ei_order())))
+def top_by_ei(scored: DataFrame, k: int = 20, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The k best rows in that order with ``rank`` 1..k, equal ones in the order of ``ties``. The cut comes before the rank, so only k rows meet in one task."""
+    order = [*ei_order(), *ties]
+    best = scored.orderBy(*order).limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def rank_by_score(rows: DataFrame, k: int, position: str = "position") -> DataFrame:

@@ -147,7 +147,8 @@ EI = f"""{i.PRED}, scored AS (SELECT *, exp(mu_log) AS k_pred,
 @registered(f"""WITH {EI}, cut AS (SELECT * FROM scored ORDER BY ei DESC, k_pred, formula, total_atoms LIMIT 20)
 SELECT CAST(row_number() OVER (ORDER BY ei DESC, k_pred, formula, total_atoms) AS INT) AS rank, id, formula, round(ei, 6) AS ei, round(k_pred, 6) AS k_pred FROM cut""")
 def q_ei_topk(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(scoring.top_by_ei(scoring.score(i.predictions(spark, d))).select("rank", "id", "formula", "ei", "k_pred"))
+    """Parts equal in all that the SQL orders by come by their id, which is one of the orders it leaves open."""
+    return rounded(scoring.top_by_ei(scoring.score(i.predictions(spark, d)), ties=("id",)).select("rank", "id", "formula", "ei", "k_pred"))
 
 
 @registered("""WITH cut AS (SELECT l_orderkey, l_linenumber, l_discount AS score FROM lineitem ORDER BY score DESC, l_orderkey, l_linenumber LIMIT 50)

@@ -1,8 +1,14 @@
-"""What went wrong on larger tables, on small ones: long texts."""
+"""What went wrong on larger tables, on small ones: long texts, ties."""
 
 import json
 
-from matquarry.operators import textops
+from matquarry.operators import scoring, textops
+
+
+def test_equal_scores_come_by_the_stated_ties(spark):
+    rows = [(i, "Ag2Se", 3, 0.1, 0.2) for i in range(200, 0, -1)]
+    scored = scoring.score(spark.createDataFrame(rows, "id int, formula string, total_atoms int, mu_log double, sigma_log double").repartition(7))
+    assert [r["id"] for r in scoring.top_by_ei(scored, 20, ties=("id",)).orderBy("rank").collect()] == [*range(1, 21)]
 
 
 def test_evidence_of_long_bodies(spark):
