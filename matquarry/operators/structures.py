@@ -391,11 +391,14 @@ def plain_formula(text: Column) -> Column:
 
 def with_formula_line(text: Column) -> Column:
     """The data line renamed to the compact formula sum; null without a formula sum."""
-    name = plain_formula(text)
-    at = F.regexp_instr(text, F.lit(r"(?m)^data_[^\n]*"))
-    old = F.regexp_extract(text, r"(?m)^data_[^\n]*", 0)
-    renamed = F.concat(F.substring(text, F.lit(1), at - 1), F.lit("data_"), name, F.substring(text, at + F.length(old), F.length(text)))
-    return F.when(name.isNotNull() & (at > 0), renamed).when(name.isNotNull(), text)
+    line = r"(?m)^data_[^\n]*"
+
+    def renamed(t: Column, name: Column, at: Column) -> Column:
+        old = F.length(F.regexp_extract(t, line, 0))
+        return F.when(at > 0, F.concat(F.substring(t, F.lit(1), at - 1), F.lit("data_"), name, F.substring(t, at + old, F.length(t)))).otherwise(t)
+
+    found = F.struct(text.alias("t"), plain_formula(text).alias("name"), F.regexp_instr(text, F.lit(line)).alias("at"))
+    return fx.let(found, lambda v: F.when(v["name"].isNotNull(), renamed(v["t"], v["name"], v["at"])))
 
 
 def identity_symmetry(text: Column) -> Column:
@@ -407,8 +410,7 @@ def property_block(formula: Column, elements: DataFrame) -> Column:
     """Text of the element-property loop for a formula, elements by electronegativity, four decimals."""
     rows = elements.select("element", "eneg", "radius").collect()
     table = F.array(*(F.struct(F.lit(float(r["eneg"] or 0)).alias("eneg"), F.lit(r["element"]).alias("element"), F.lit(float(r["radius"] or 0)).alias("radius")) for r in rows))
-    wanted = fx.element_set(formula)
-    own = F.array_sort(F.filter(table, lambda t: F.array_contains(wanted, t["element"])))
+    own = fx.let(fx.element_set(formula), lambda wanted: F.array_sort(F.filter(table, lambda t: F.array_contains(wanted, t["element"]))))
     lines = F.transform(own, lambda t: F.format_string("  %s  %.4f  %.4f", t["element"], t["eneg"], t["radius"]))
     head = "loop_\n _atom_type_symbol\n _atom_type_electronegativity\n _atom_type_radius\n"
     return F.concat(F.lit(head), F.array_join(lines, "\n"))
@@ -416,9 +418,13 @@ def property_block(formula: Column, elements: DataFrame) -> Column:
 
 def with_properties(text: Column, elements: DataFrame) -> Column:
     """The text with the property block before its space-group line; null without that line or a formula sum."""
-    at = F.locate(SPACE_GROUP, text)
-    block = property_block(plain_formula(text), elements)
-    return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), block, F.lit("\n\n"), F.substring(text, at, F.length(text))))
+
+    def placed(t: Column) -> Column:
+        at = F.locate(SPACE_GROUP, t)
+        whole = F.concat(F.substring(t, F.lit(1), at - 1), property_block(plain_formula(t), elements), F.lit("\n\n"), F.substring(t, at, F.length(t)))
+        return F.when(at > 0, whole)
+
+    return fx.let(text, placed)
 
 
 def without_properties(text: Column) -> Column:
@@ -427,16 +433,21 @@ def without_properties(text: Column) -> Column:
 
 
 def prepare_corpus(structures: DataFrame, elements: DataFrame, decimals: int = 4, key: str = "id", text: str = "cif") -> DataFrame:
-    """(key, cif, rejected): training texts; rejected names why a row has none (no text, z is 0, no formula, no space group)."""
-    t = F.col(text)
-    zero = cif_number(t, "_cell_formula_units_Z") == 0
-    named = with_formula_line(t)
-    done = round_numbers(identity_symmetry(with_properties(named, elements)), decimals)
-    reason = (
-        F.when(F.coalesce(F.trim(t), F.lit("")) == "", "no text").when(zero, "z is 0")
-        .when(plain_formula(t).isNull(), "no formula").when(~t.contains(SPACE_GROUP), "no space group")
-    )
-    return structures.select(key, F.when(reason.isNull(), done).alias("cif"), reason.alias("rejected"))
+    """(key, cif, rejected): training texts; rejected names why a row has none (no text, z is 0, no formula, no space group).
+
+    Every row has one of both. Each step's text is one value, however often the next reads it; as rows of a generator the texts are made where their table is
+    dealt to, and no filter on them makes them again below that."""
+
+    def made(t: Column) -> Column:
+        reason = (
+            F.when(F.coalesce(F.trim(t), F.lit("")) == "", "no text").when(cif_number(t, "_cell_formula_units_Z") == 0, "z is 0")
+            .when(plain_formula(t).isNull(), "no formula").when(~t.contains(SPACE_GROUP), "no space group")
+        )
+        done = identity_symmetry(with_properties(with_formula_line(t), elements))
+        return fx.let(reason, lambda r: F.struct(F.when(r.isNull(), done).alias("__text"), r.alias("rejected")))
+
+    each = structures.select(key, F.inline(F.transform(F.array(text), made)))
+    return each.select(key, round_numbers(F.col("__text"), decimals).alias("cif"), "rejected")
 
 
 def filter_lines(text: Column) -> Column:

@@ -751,7 +751,7 @@ def q_first_generations(spark: SparkSession, d: str) -> DataFrame:
 
 def _cifs(spark: SparkSession, d: str) -> DataFrame:
     """(id, cif): a structure text for each part, with quoted values, uncertainties and an atom-site loop."""
-    made = i.compositions(spark, d)
+    made = i.dealt(i.compositions(spark, d))
     text = F.concat(
         F.lit("data_"), "formula", F.lit("\n_symmetry_space_group_name_H-M   'P "), F.expr("1 + id % 4"), F.lit("'\n_cell_length_a   "), F.expr("4 + id % 7"),
         F.lit(".25(2)\n_cell_length_b   "), F.expr("5 + id % 3"), F.lit(".123456\n_cell_length_c   6.5\n_cell_angle_alpha   "), F.expr("85 + id % 90"),

@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` over as many tasks as the session gives a shuffle, for work that is large beside the rows that it begins with."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _pick(names: tuple[str, ...], index: str) -> F.Column:
     return F.get(F.array(*map(F.lit, names)), F.expr(index).cast("int"))
 

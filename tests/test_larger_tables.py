@@ -1,8 +1,14 @@
-"""What went wrong on larger tables, on small ones: long texts, ties."""
+"""What went wrong on larger tables, on small ones: long texts, ties, work done again and again."""
 
 import json
 
 from matquarry.operators import scoring, textops
+from matquarry.plans import catalogue_texts
+
+
+def _parts(spark, place, n):
+    spark.range(n).selectExpr("id AS p_partkey", "cast(1 + id % 50 AS int) AS p_size", "900D + id / 10D AS p_retailprice").write.parquet(f"{place}/part.parquet")
+    return str(place)
 
 
 def test_equal_scores_come_by_the_stated_ties(spark):
@@ -15,3 +21,10 @@ def test_evidence_of_long_bodies(spark):
     body = 'say "x" \\ ' * 20_000
     raw = spark.createDataFrame([(1, f"{json.dumps({'body': body})} and {json.dumps({'body': ''})}")], "doc_id int, text string")
     assert [r["snippet"] for r in textops.evidence(raw).collect()] == [body, ""]
+
+
+def test_structure_texts_are_made_once(spark, tmp_path):
+    place = _parts(spark, tmp_path, 40)
+    for query in (catalogue_texts.q_without_properties,):
+        plan = query(spark, place)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("_chemical_formula_structural") == 1 and plan.count("regexp_extract(") < 40
