@@ -469,14 +469,26 @@ def tokenise(rows: DataFrame, vocabulary: list[str], key: str = "id", text: str
     Space-group values get the suffix _sg, so that they differ from equal element
     symbols; runs of blanks become one. Ids are positions in the vocabulary, the unknown
     token the first after it."""
-    by_length = sorted(vocabulary, key=lambda v: (-len(v), v))
-    pattern = "(?s)" + "|".join([*map(_quoted, by_length), "."])
+    pattern = token_pattern(vocabulary)
     ids = F.create_map(*(x for i, v in enumerate(vocabulary) for x in (F.lit(v), F.lit(i))))
     marked = F.regexp_replace(F.col(text), rf"({SPACE_GROUP}\s+)(\S+)", "$1$2_sg")
-    tokens = F.regexp_extract_all(F.regexp_replace(marked, "[ \t]+", " "), F.lit(pattern), F.lit(0))
-    numbered = rows.select(key, F.transform(tokens, lambda t: F.when(ids[t].isNotNull(), t).otherwise(F.lit(unknown))).alias("tokens"))
-    out = numbered.withColumn("ids", F.transform("tokens", lambda t: F.coalesce(ids[t], F.lit(len(vocabulary)))))
-    return out.withColumn("n_unknown", F.size(F.filter("ids", lambda i: i == len(vocabulary))))
+    found = F.regexp_extract_all(F.regexp_replace(marked, "[ \t]+", " "), F.lit(pattern), F.lit(0))
+    names, last = F.array(*map(F.lit, [*vocabulary, unknown])), len(vocabulary)
+    numbered = rows.select(key, F.transform(found, lambda t: F.coalesce(ids[t], F.lit(last))).alias("ids"))
+    return numbered.select(
+        key, F.transform("ids", lambda i: F.get(names, i)).alias("tokens"), "ids", F.size(F.filter("ids", lambda i: i == last)).alias("n_unknown")
+    )
+
+
+def token_pattern(vocabulary: list[str]) -> str:
+    """Longest match over the vocabulary, else any character.
+
+    Java tries alternatives one by one, so characters that begin no longer token, and those that begin none, are told by a class before the others."""
+    by_length = sorted(vocabulary, key=lambda v: (-len(v), v))
+    firsts, longer = {v[0] for v in vocabulary if v}, {v[0] for v in vocabulary if len(v) > 1}
+    alone, listed = ("".join(rf"\x{{{ord(c):x}}}" for c in sorted(chars)) for chars in ({v for v in vocabulary if len(v) == 1} - longer, firsts))
+    classes = [f"[{alone}]"] * bool(alone) + [f"[^{listed}]"] * bool(listed)
+    return "(?s)" + "|".join([*classes, *(_quoted(v) for v in by_length if v[:1] in longer), "."])
 
 
 def _quoted(token: str) -> str:

@@ -52,7 +52,7 @@ coded AS (SELECT id, list_transform(tokens, lambda t: CASE WHEN list_contains(wo
 
 @registered(f"WITH {TOKENS} SELECT id, CAST(len(ids) AS INT) AS n_tokens, array_to_string(ids, ',') AS ids, CAST(len(list_filter(ids, lambda x: x = {len(VOCABULARY)})) AS INT) AS n_unknown FROM coded")
 def q_corpus_ids(spark: SparkSession, d: str) -> DataFrame:
-    prepared = structures.prepare_corpus(_cifs(spark, d), features.element_table(spark)).where("cif IS NOT NULL")
+    prepared = structures.prepare_corpus(_cifs(spark, d), features.element_table(spark)).where("rejected IS NULL")
     coded = structures.tokenise(prepared, [*VOCABULARY])
     return coded.select("id", F.size("ids").alias("n_tokens"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), "n_unknown")
 

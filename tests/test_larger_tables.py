@@ -2,7 +2,9 @@
 
 import json
 
-from matquarry.operators import scoring, textops
+from pyspark.sql import functions as F
+
+from matquarry.operators import scoring, structures, textops
 from matquarry.plans import catalogue_texts
 
 
@@ -25,6 +27,20 @@ def test_evidence_of_long_bodies(spark):
 
 def test_structure_texts_are_made_once(spark, tmp_path):
     place = _parts(spark, tmp_path, 40)
-    for query in (catalogue_texts.q_without_properties,):
+    for query in (catalogue_texts.q_without_properties, catalogue_texts.q_corpus_ids):
         plan = query(spark, place)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("_chemical_formula_structural") == 1 and plan.count("regexp_extract(") < 40
+
+
+def test_token_pattern_is_longest_match(spark):
+    vocabulary = ["S", "Se", "_sg", "_s", "\n", " ", ".", "-", "]", "^", "data_", "d", "é", "\\"]
+    text = "Se SeS_sg_s_x\\]^-.\ndata_dat€é😀d"
+    plain, rest = [], text
+    while rest:
+        plain.append(next((v for v in sorted(vocabulary, key=len, reverse=True) if rest.startswith(v)), rest[0]))
+        rest = rest[len(plain[-1]):]
+    frame = spark.createDataFrame([(text,)], "t string")
+    assert frame.select(F.regexp_extract_all("t", F.lit(structures.token_pattern(vocabulary)), F.lit(0))).first()[0] == plain
+    got = structures.tokenise(spark.createDataFrame([(1, text)], "id int, cif string"), vocabulary).first()
+    assert got["ids"] == [vocabulary.index(t) if t in vocabulary else len(vocabulary) for t in plain]
+    assert got["tokens"] == [t if t in vocabulary else "<unk>" for t in plain] and got["n_unknown"] == sum(t not in vocabulary for t in plain)
