@@ -27,7 +27,7 @@ def test_evidence_of_long_bodies(spark):
 
 def test_structure_texts_are_made_once(spark, tmp_path):
     place = _parts(spark, tmp_path, 40)
-    for query in (catalogue_texts.q_without_properties, catalogue_texts.q_corpus_ids, catalogue.q_corpus_tokens):
+    for query in (catalogue_texts.q_without_properties, catalogue_texts.q_corpus_ids, catalogue_texts.q_token_lengths, catalogue.q_corpus_tokens):
         plan = query(spark, place)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("_chemical_formula_structural") == 1 and plan.count("regexp_extract(") < 40
     assert catalogue.q_corpus_tokens(spark, place).count() == sum(i % 3 > 0 for i in range(40))
