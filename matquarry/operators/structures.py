@@ -103,13 +103,12 @@ def multiplicity_check(table: DataFrame, sites: DataFrame, key: str = "id") -> D
     return table.select(key).join(checked, key, "left").select(key, F.coalesce("same", F.lit(False)).alias("multiplicity_consistent"))
 
 
-def site_distances(table: DataFrame, sites: DataFrame, radius: float = 8.0, key: str = "id") -> DataFrame:
+def site_distances(table: DataFrame, sites: DataFrame, radius: float = 8.0, key: str = "id", most: int = 64) -> DataFrame:
     """(key, i, j, distance): distances of site pairs with periodic images within the radius.
 
-    Sites and images of a structure are dealt to cubes as wide as the radius, and a site meets the images of its cube and the 26 around, so
-    the pairs tried grow with those found, however large a structure is. Along each axis as many images are made as the radius holds
-    distances between the cell's faces, and one more, as positions inside a cell differ by less than one; those farther than the radius from the box
-    around the sites are left out. No pair within the radius is missed. A site's own images count. Cells without a volume give no rows."""
+    Structures of at most ``most`` sites pair them in place: of each pair only the images in the box of that radius are made, axis by axis. Larger
+    ones meet through cubes. No pair within the radius is missed. A site's own images count. Cells without a volume give no rows.
+    Sites and cells are written once, a row a structure."""
     cart = {
         "ax": F.col("a"),
         "bx": F.expr("b * cos(radians(gamma))"),
@@ -120,10 +119,45 @@ def site_distances(table: DataFrame, sites: DataFrame, radius: float = 8.0, key:
     # heights over the faces: the volume over each face's area
     faces = {"u": "b * c * sin(radians(alpha))", "v": "a * c * sin(radians(beta))", "w": "a * b * sin(radians(gamma))"}
     steps = {f"n{x}": F.expr(f"cast(ceil({radius} * {area} / (ax * by * cz)) + 1 AS int)") for x, area in faces.items()}
-    # one lattice a structure; the aggregate also keeps filters on distances from being pushed into its text expressions
     cell = table.groupBy(key).agg(F.first("lattice").alias("lattice")).select(key, "lattice.*").withColumns(cart).withColumn("cz", F.expr("sqrt(greatest(0, c * c - cx * cx - cy * cy))"))
     cell = cell.where("ax * by * cz > 1e-6").withColumns(steps).select(key, *cart, "cz", *steps)
-    placed = sites.select(key, "position", "x", "y", "z").where("x + y + z IS NOT NULL").join(cell, key)
+    own = sites.where("x + y + z IS NOT NULL").groupBy(key).agg(F.collect_list(F.struct("position", "x", "y", "z")).alias("__sites"))
+    whole = shared.written(own.join(cell, key))
+    found = _pairs_in_place(whole.where(F.size("__sites") <= most), radius, key)
+    large = whole.where(F.size("__sites") > most)
+    return found if large.isEmpty() else found.unionByName(_pairs_by_cubes(large.select(F.inline("__sites"), key, *cart, "cz", *steps), [*cart, "cz"], radius, key))
+
+
+_DISTANCE = "sqrt(pow(ax * fx + bx * fy + cx * fz, 2) + pow(by * fy + cy * fz, 2) + pow(cz * fz, 2))"
+
+
+def _pairs_in_place(whole: DataFrame, radius: float, key: str) -> DataFrame:
+    """Pairs of structures that hold their sites as an array, dealt by key so that what groups them by it needs no other shuffle."""
+    edge = f"{radius * (1 + 1e-9)!r}D"
+
+    def images(rows: DataFrame, axis: str, rest: str, height: str, start: str) -> DataFrame:
+        """A row for each whole number of the axis that brings rest + height * (start + number) within the radius."""
+        middle, half = f"(-({rest}) / {height} - {start})", f"({edge} / abs({height}) + 1e-9)"
+        ends = rows.withColumns({"__lo": F.expr(f"ceil({middle} - {half})"), "__hi": F.expr(f"floor({middle} + {half})")})
+        return ends.withColumn(axis, F.explode(F.expr("CASE WHEN __lo <= __hi THEN sequence(__lo, __hi) ELSE cast(array() AS array<bigint>) END"))).drop("__lo", "__hi")
+
+    dealt = whole.repartition(int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    pairs = dealt.withColumn("l", F.explode("__sites")).withColumn("r", F.explode("__sites")).drop("__sites")
+    pairs = pairs.withColumns({f"d{x}": F.expr(f"r.{x} - l.{x}") for x in "xyz"})
+    pairs = images(pairs, "w", "0D", "cz", "dz").withColumn("fz", F.expr("dz + w"))
+    pairs = images(pairs, "v", "cy * fz", "by", "dy").withColumn("fy", F.expr("dy + v"))
+    pairs = images(pairs, "u", "bx * fy + cx * fz", "ax", "dx").withColumn("fx", F.expr("dx + u"))
+    others = pairs.where("l.position <> r.position OR u <> 0 OR v <> 0 OR w <> 0")
+    return others.select(key, F.col("l.position").alias("i"), F.col("r.position").alias("j"), F.expr(_DISTANCE).alias("distance")).where(F.col("distance") <= radius)
+
+
+def _pairs_by_cubes(placed: DataFrame, cart: list[str], radius: float, key: str) -> DataFrame:
+    """Pairs of structures of any size, a row a site.
+
+    Sites and images of a structure are dealt to cubes as wide as the radius, and a site meets the images of its cube and the 26 around, so
+    the pairs tried grow with those found, however large a structure is. Along each axis as many images are made as the radius holds
+    distances between the cell's faces, and one more, as positions inside a cell differ by less than one; those farther than the radius from the box
+    around the sites are left out."""
     at = {"px": "ax * ({x}) + bx * ({y}) + cx * ({z})", "py": "by * ({y}) + cy * ({z})", "pz": "cz * ({z})"}
     edge = radius * (1 + 1e-9)  # so that rounding does not part neighbours by two cubes
 
@@ -139,13 +173,12 @@ def site_distances(table: DataFrame, sites: DataFrame, radius: float = 8.0, key:
     for c in at:
         images = images.where(F.col(c).between(F.col(f"lo_{c}") - edge, F.col(f"hi_{c}") + edge))
     images = images.select(key, F.col("position").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("z2"), "u", "v", "w", *cubes("xyz"))
-    left = home.select(key, F.col("position").alias("i"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("z").alias("z1"), *cart, "cz", *cubes("xyz"))
+    left = home.select(key, F.col("position").alias("i"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("z").alias("z1"), *cart, *cubes("xyz"))
     for axis in "xyz":
         left = left.withColumn(f"q{axis}", F.explode(F.array(*(F.col(f"q{axis}") + d for d in (-1, 0, 1)))))
     pairs = left.join(images, [key, "qx", "qy", "qz"])
     shifted = pairs.selectExpr("*", "x2 - x1 + u AS fx", "y2 - y1 + v AS fy", "z2 - z1 + w AS fz")
-    distance = F.expr("sqrt(pow(ax * fx + bx * fy + cx * fz, 2) + pow(by * fy + cy * fz, 2) + pow(cz * fz, 2))")
-    return shifted.where("i <> j OR u <> 0 OR v <> 0 OR w <> 0").select(key, "i", "j", distance.alias("distance")).where(F.col("distance") <= radius)
+    return shifted.where("i <> j OR u <> 0 OR v <> 0 OR w <> 0").select(key, "i", "j", F.expr(_DISTANCE).alias("distance")).where(F.col("distance") <= radius)
 
 
 def neighbour_lists(distances: DataFrame, n: int = 12, radius: float = 8.0, key: str = "id") -> DataFrame:

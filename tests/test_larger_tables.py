@@ -1,7 +1,10 @@
 """What went wrong on larger tables, on small ones: long texts, ties, work done again and again."""
 
 import json
+import math
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from matquarry.operators import scoring, structures, textops
@@ -45,3 +48,30 @@ def test_token_pattern_is_longest_match(spark):
     got = structures.tokenise(spark.createDataFrame([(1, text)], "id int, cif string"), vocabulary).first()
     assert got["ids"] == [vocabulary.index(t) if t in vocabulary else len(vocabulary) for t in plain]
     assert got["tokens"] == [t if t in vocabulary else "<unk>" for t in plain] and got["n_unknown"] == sum(t not in vocabulary for t in plain)
+
+
+@pytest.mark.parametrize("most", [0, 2, 64])
+def test_pairs_in_place_and_by_cubes_are_the_same(spark, most):
+    rng = np.random.default_rng(6)
+    cells = [(k, *rng.uniform(2, 9, 3).tolist(), *rng.uniform(60, 110, 3).tolist()) for k in range(30)]
+    table = spark.createDataFrame(cells, "id int, a double, b double, c double, alpha double, beta double, gamma double")
+    table = table.select("id", F.struct("a", "b", "c", "alpha", "beta", "gamma").alias("lattice"))
+    sites = spark.createDataFrame([(k, i, *rng.uniform(0, 1, 3).tolist()) for k in range(30) for i in range(k % 5)], "id int, position int, x double, y double, z double")
+    got = structures.site_distances(table, sites, 4.0, most=most)
+    want = []
+    shifts = np.array(np.meshgrid(*[range(-7, 8)] * 3)).reshape(3, -1).T
+    at = {}
+    for r in sites.collect():
+        at.setdefault(r["id"], []).append((r["position"], np.array([r["x"], r["y"], r["z"]])))
+    for k, a, b, c, al, be, ga in cells:
+        al, be, ga = map(math.radians, (al, be, ga))
+        cx, cy = c * math.cos(be), c * (math.cos(al) - math.cos(be) * math.cos(ga)) / math.sin(ga)
+        if c * c - cx * cx - cy * cy <= 0.25:
+            continue
+        m = np.array([[a, b * math.cos(ga), cx], [0, b * math.sin(ga), cy], [0, 0, math.sqrt(c * c - cx * cx - cy * cy)]])
+        for i, p in at.get(k, []):
+            for j, q in at[k]:
+                d = np.linalg.norm((q - p + shifts) @ m.T, axis=1)
+                want += [(k, i, j, round(float(x), 7)) for x in d[(d <= 4.0) & ~((shifts == 0).all(1) & (i == j))]]
+    solid = {w[0] for w in want}
+    assert len(want) > 300 and sorted((r["id"], r["i"], r["j"], round(r["distance"], 7)) for r in got.collect() if r["id"] in solid) == sorted(want)
