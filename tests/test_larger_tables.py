@@ -75,3 +75,8 @@ def test_pairs_in_place_and_by_cubes_are_the_same(spark, most):
                 want += [(k, i, j, round(float(x), 7)) for x in d[(d <= 4.0) & ~((shifts == 0).all(1) & (i == j))]]
     solid = {w[0] for w in want}
     assert len(want) > 300 and sorted((r["id"], r["i"], r["j"], round(r["distance"], 7)) for r in got.collect() if r["id"] in solid) == sorted(want)
+
+
+def test_pairs_of_small_structures_need_no_join_of_pairs(spark, tmp_path):
+    plan = catalogue_texts.q_neighbour_lists(spark, _parts(spark, tmp_path, 8))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
