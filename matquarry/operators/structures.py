@@ -230,25 +230,33 @@ def charge_balance(rows: DataFrame, oxidation: DataFrame, key: str = "id", formu
     return parts.select(key, valid.alias("charge_valid"))
 
 
-def fingerprint_blocks(table: DataFrame, sites: DataFrame, key: str = "id", n: int = 12, radius: float = 4.0) -> DataFrame:
+def fingerprint_blocks(table: DataFrame, sites: DataFrame, key: str = "id", n: int = 12, radius: float = 4.0, profiled: bool = True) -> DataFrame:
     """(key, block, n_sites, lengths, angles, profile): what duplicates are compared by.
 
     Lengths are those of the cell at unit volume, sorted; the block is the reduced formula. The profile tells arrangements of sites
-    apart: the mean distance of the sites' first, second … ``n``-th neighbours in units of the mean room of a site, null beyond ``radius``."""
+    apart: the mean distance of the sites' first, second … ``n``-th neighbours in units of the mean room of a site, null beyond ``radius``.
+    Without ``profiled`` there is none, and no distances are made."""
     counted = sites.groupBy(key).agg(F.sum("multiplicity").alias("n_sites"))
-    order = Window.partitionBy(key, "i").orderBy("distance")
-    near = site_distances(table, sites, radius, key).withColumn("r", F.row_number().over(order)).where(F.col("r") <= n)
-    means = near.groupBy(key, "r").agg(F.avg("distance").alias("d")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("r", "d"))).alias("found"))
-    scaled = table.withColumn("__scale", F.pow(F.nullif(F.coalesce("cell_volume", "volume"), F.lit(0.0)), F.lit(1 / 3)))
+    # rows of a generator: the texts are read once, and what filters the numbers does not read them again
+    read = F.struct(F.coalesce("formula_sum", "data_formula").alias("__formula"), F.col("lattice"), F.coalesce("cell_volume", "volume").alias("__volume"))
+    scaled = table.select(key, F.inline(F.array(read))).withColumn("__scale", F.pow(F.nullif("__volume", F.lit(0.0)), F.lit(1 / 3)))
     scale = F.col("__scale")
     room = scale / F.pow(F.greatest(F.coalesce("n_sites", F.lit(0)), F.lit(1)).cast("double"), F.lit(1 / 3))
-    return scaled.join(counted, key, "left").join(means, key, "left").select(
+    profile = []
+    joined = scaled.join(counted, key, "left")
+    if profiled:
+        order = Window.partitionBy(key, "i").orderBy("distance")
+        near = site_distances(table, sites, radius, key).withColumn("r", F.row_number().over(order)).where(F.col("r") <= n)
+        means = near.groupBy(key, "r").agg(F.avg("distance").alias("d")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("r", "d"))).alias("found"))
+        joined = joined.join(means, key, "left")
+        profile = [F.transform(F.sequence(F.lit(1), F.lit(n)), lambda r: F.try_element_at("found", r) / room).alias("profile")]
+    return joined.select(
         key,
-        fx.reduced_formula(F.coalesce("formula_sum", "data_formula")).alias("block"),
+        fx.reduced_formula(F.col("__formula")).alias("block"),
         F.coalesce("n_sites", F.lit(0)).alias("n_sites"),
         F.array_sort(F.array(*(F.col(f"lattice.{x}") / scale for x in LENGTHS))).alias("lengths"),
         F.array_sort(F.array(*(F.col(f"lattice.{x}") for x in ANGLES))).alias("angles"),
-        F.transform(F.sequence(F.lit(1), F.lit(n)), lambda r: F.try_element_at("found", r) / room).alias("profile"),
+        *profile,
     )
 
 
@@ -362,7 +370,8 @@ def _dropped(edges: DataFrame) -> DataFrame:
 def novelty_vs_base(generated: DataFrame, base: DataFrame, length: float = 0.2, angle: float = 5.0, key: str = "id", site: float = 0.3) -> DataFrame:
     """(key, novel, reason): novel by composition if the base has no such formula, else unless a base structure is similar."""
     keys = base.select("block").distinct().withColumn("has", F.lit(True))
-    matched = _alike(base, generated, ("block",), key, length, angle, site if "profile" in generated.columns else None, False)
+    shape = ["block", "lengths", "angles", *(["profile"] if "profile" in base.columns else [])]
+    matched = _alike(base.dropDuplicates(shape), generated, ("block",), key, length, angle, site if "profile" in generated.columns else None, False)
     matched = matched.select(F.col("b").alias(key)).distinct()
     marked = generated.select(key, "block").join(keys, "block", "left").join(matched.withColumn("hit", F.lit(True)), key, "left")
     reason = F.when(F.col("has").isNull(), "composition").when(F.col("hit").isNull(), "structure").otherwise("matched")

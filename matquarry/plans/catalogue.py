@@ -843,7 +843,7 @@ FROM lattice WHERE id % 2 = 1""")
 def q_novelty_vs_base(spark: SparkSession, d: str) -> DataFrame:
     """Odd parts against even ones, by composition and lattice."""
     texts = _cifs(spark, d)
-    blocks = structures.fingerprint_blocks(structures.structure_table(texts), structures.atom_sites(texts)).drop("profile")
+    blocks = shared.written(structures.fingerprint_blocks(structures.structure_table(texts), structures.atom_sites(texts), profiled=False))
     return structures.novelty_vs_base(blocks.where("id % 2 = 1"), blocks.where("id % 2 = 0")).select("id", "reason")
 
 

@@ -80,3 +80,10 @@ def test_pairs_in_place_and_by_cubes_are_the_same(spark, most):
 def test_pairs_of_small_structures_need_no_join_of_pairs(spark, tmp_path):
     plan = catalogue_texts.q_neighbour_lists(spark, _parts(spark, tmp_path, 8))._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_blocks_read_their_texts_once(spark, tmp_path):
+    texts = catalogue._cifs(spark, _parts(spark, tmp_path, 8))
+    blocks = structures.fingerprint_blocks(structures.structure_table(texts), structures.atom_sites(texts), profiled=False)
+    plan = blocks.where(F.forall("lengths", lambda v: v > 0))._jdf.queryExecution().optimizedPlan().toString()
+    assert "profile" not in blocks.columns and "collect_list" not in plan and plan.count("_cell_length_a") < 20
