@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -321,8 +322,8 @@ def drop_similar(
     """(key, kept, duplicate_of): keep-first deduplication inside each block, in the order of the key.
 
     A structure is a duplicate of the first kept one that it is similar to: what is kept is the lexicographically first maximal
-    independent set of the similar pairs. Structures of equal numbers count as their first one. The others are taken in batches of the order, each as
-    large as all before it: first those similar to a structure kept already go, so that crowds of near copies never meet each
+    independent set of the similar pairs. Structures of equal numbers count as their first one. Blocks of at most ``first_batch`` others are walked in
+    order, an array each. Those of larger blocks are taken in batches of the order, each as large as all before it: first those similar to a structure kept already go, so that crowds of near copies never meet each
     other; among the rest, rounds keep what no undecided smaller structure is similar to, and drop what is similar to that. Pairs meet in grid
     cells of the lattice by joins; no task holds a block. Structures without a whole lattice are left out. Profiles are compared where ``blocks`` have them."""
     profiled = ["profile"] if "profile" in blocks.columns else []
@@ -331,10 +332,13 @@ def drop_similar(
     rows = blocks.where(F.coalesce(whole, F.lit(False))).select(key, *compared).withColumn("__shape", F.md5(F.to_json(F.struct(*compared))))
     rows = shared.written(rows)
     firsts = rows.groupBy("__shape").agg(F.min(F.struct(key, *compared)).alias("r")).select("r.*")
-    numbered = shared.written(_numbered(firsts, key))
-    count, near = numbered.count(), site if profiled else None
-    kept, duplicates, start, end = None, [], 0, first_batch
-    while start < count or kept is None:
+    near = site if profiled else None
+    sized = shared.written(firsts.withColumn("__n", F.count("*").over(Window.partitionBy(*by))))
+    duplicates = [_walked(sized.where(F.col("__n") <= first_batch), by, key, length, angle, near)]
+    large = sized.where(F.col("__n") > first_batch).drop("__n")
+    numbered = None if large.isEmpty() else shared.written(_numbered(large, key))
+    count, kept, start, end = 0 if numbered is None else numbered.count(), None, 0, first_batch
+    while start < count:
         batch = numbered.where(F.col("__rank").between(start, end - 1)).drop("__rank")
         if kept is not None:
             gone = shared.written(_alike(kept, batch, by, key, length, angle, near, False).groupBy("b").agg(F.min("a").alias("a")))
@@ -355,6 +359,56 @@ def drop_similar(
     return every.select(key, of.isNull().alias("kept"), of.alias("duplicate_of"))
 
 
+def _walked(rows: DataFrame, by: tuple[str, ...], key: str, length: float, angle: float, site: float | None) -> DataFrame:
+    """(b, a): duplicates and the first kept structure of their block that each is similar to, as ``similar`` has it, by a walk over each block's array."""
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def walk(blocks: pd.Series) -> pd.Series:
+        return pd.Series([_keep_first(block, length, angle, site) for block in blocks], dtype=object)
+
+    profile = F.col("profile") if site is not None else F.lit(None).cast("array<double>")
+    # nulls and NaN look alike in Arrow's arrays: what is null is said beside the numbers
+    numbers = F.struct(
+        F.coalesce("lengths", F.array().cast("array<double>")).alias("lengths"), F.coalesce("angles", F.array().cast("array<double>")).alias("angles"),
+        F.transform(profile, lambda v: F.coalesce(v, F.lit(0.0))).alias("profile"), F.transform(profile, lambda v: v.isNull()).alias("gaps"),
+    )
+    members = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), numbers.alias("v")))).alias("m"))
+    told = members.where(F.size("m") > 1).select(F.transform("m", lambda x: x["k"]).alias("k"), walk(F.transform("m", lambda x: x["v"])).alias("of"))
+    each = told.select("k", F.posexplode("of").alias("at", "of")).where("of >= 0")
+    return each.select(F.get("k", F.col("at")).alias("b"), F.get("k", F.col("of")).alias("a"))
+
+
+def _keep_first(block: list, length: float, angle: float, site: float | None) -> list[int]:
+    """For each structure of a block in order the place of the first kept one that it is similar to, or -1."""
+    n = len(block)
+
+    def table(name: str, rest: float) -> np.ndarray:
+        wide = max((len(v[name]) for v in block if v[name] is not None), default=0)
+        out = np.full((n, wide), rest)
+        for row, v in zip(out, block):
+            if v[name] is not None:
+                row[: len(v[name])] = v[name]
+        return out
+
+    lengths, angles = table("lengths", np.nan), table("angles", np.nan)  # a number that is missing is like none
+    profile, gaps = (table("profile", 0.0), table("gaps", 1.0) > 0) if site is not None else (None, None)
+    free = np.array([v["profile"] is None for v in block])
+    kept, at, out = 0, np.zeros(n, int), [-1] * n
+    for i in range(n):
+        if kept:
+            k = at[:kept]
+            with np.errstate(invalid="ignore"):
+                near = (np.abs(lengths[k] - lengths[i]) <= length * np.maximum(lengths[k], lengths[i])).all(1) & (np.abs(angles[k] - angles[i]) <= angle).all(1)
+                if site is not None:
+                    same = np.where(gaps[k] | gaps[i], gaps[k] & gaps[i], np.abs(profile[k] - profile[i]) <= site)
+                    near &= same.all(1) | free[k] | free[i]
+            if near.any():
+                out[i] = int(k[near.argmax()])
+                continue
+        at[kept], kept = i, kept + 1
+    return out
+
+
 def _dropped(edges: DataFrame) -> DataFrame:
     """(b): what the first maximal independent set leaves out, by rounds over (a, b) with a before b."""
     out, left = None, edges

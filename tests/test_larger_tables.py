@@ -82,6 +82,16 @@ def test_pairs_of_small_structures_need_no_join_of_pairs(spark, tmp_path):
     assert "Join" not in plan
 
 
+@pytest.mark.parametrize("batch", [1, 4096])
+def test_blocks_walked_in_place_tell_null_from_nan(spark, batch):
+    lone, nan = [1.0, 1.0, 1.0], float("nan")
+    profiles = [[1.0, None], [1.0, None], [1.0, nan], [1.0, nan], [1.0, 2.0], [1.1, 2.2], [1.1], [None, None], None, [5.0, 5.0]]
+    rows = [(i, "B", 1, [1.0, 1.0, 1.0 + i / 1000], [90.0] * 3, p) for i, p in enumerate(profiles)] + [(90, None, 1, lone, [90.0] * 3, [5.0, 5.0])]
+    frame = spark.createDataFrame(rows, "id int, block string, n_sites int, lengths array<double>, angles array<double>, profile array<double>")
+    got = {r["id"]: r["duplicate_of"] for r in structures.drop_similar(frame, first_batch=batch).collect()}
+    assert got == {0: None, 1: 0, 2: None, 3: None, 4: None, 5: 4, 6: 0, 7: None, 8: 0, 9: None, 90: None}
+
+
 def test_blocks_read_their_texts_once(spark, tmp_path):
     texts = catalogue._cifs(spark, _parts(spark, tmp_path, 8))
     blocks = structures.fingerprint_blocks(structures.structure_table(texts), structures.atom_sites(texts), profiled=False)
