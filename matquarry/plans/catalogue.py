@@ -832,7 +832,8 @@ walk AS (
 SELECT id, of IS NULL AS kept, of AS duplicate_of FROM walk""")
 def q_neardup_lattice(spark: SparkSession, d: str) -> DataFrame:
     """Keep-first duplicates by lattice among the parts of one first element: five large blocks, which SQL walks row by row."""
-    blocks = structures.fingerprint_blocks(structures.structure_table(_cifs(spark, d)), structures.atom_sites(_cifs(spark, d))).drop("block", "profile")
+    texts = _cifs(spark, d)
+    blocks = structures.fingerprint_blocks(structures.structure_table(texts), structures.atom_sites(texts), profiled=False).drop("block")
     return structures.drop_similar(blocks.join(i.compositions(spark, d).select("id", F.col("a").alias("block")), "id"), by=("block",))
 
 
