@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from matquarry.operators import scoring, structures, textops
+from matquarry.operators import evaluation, scoring, structures, textops
 from matquarry.plans import catalogue, catalogue_texts
 
 
@@ -97,3 +97,21 @@ def test_blocks_read_their_texts_once(spark, tmp_path):
     blocks = structures.fingerprint_blocks(structures.structure_table(texts), structures.atom_sites(texts), profiled=False)
     plan = blocks.where(F.forall("lengths", lambda v: v > 0))._jdf.queryExecution().optimizedPlan().toString()
     assert "profile" not in blocks.columns and "collect_list" not in plan and plan.count("_cell_length_a") < 20
+
+
+def test_nearest_distances_in_blocks_are_exact(spark):
+    rng = np.random.default_rng(8)
+    b = np.vstack([rng.normal(size=(300, 6)) + 1e5, np.full((40, 6), 3.0)])
+    a = np.vstack([b[:20] + 1e-7 * rng.normal(size=(20, 6)), b[5:9], rng.normal(size=(5, 6))])
+    left = [(i, v.tolist()) for i, v in enumerate(a)] + [(100, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (101, [float("nan")] + [0.0] * 5), (102, [3.0, 3.0]), (103, None), (104, [1.0])]
+    right = [(i, v.tolist()) for i, v in enumerate(b)] + [(900, [float("nan")] * 6), (901, [3.0, 5.0]), (902, None), (903, [None] * 6)]
+    left, right = (spark.createDataFrame(x, "id int, fp array<double>") for x in (left, right))
+    got = {r["id"]: r["fp"] for r in evaluation.nearest_distance(left, right, ["fp"], width=64).collect()}
+    assert {i: got.pop(i) for i in range(len(a))} == pytest.approx({i: float(np.sqrt(((b - v) ** 2).sum(1)).min()) for i, v in enumerate(a)}, rel=1e-12, abs=0)
+    assert math.isnan(got.pop(101)) and got == {100: None, 102: 2.0}
+
+
+def test_nearest_distances_take_products_of_blocks(spark):
+    frame = spark.range(50).selectExpr("cast(id AS int) AS id", "array(cast(id AS double)) AS fp")
+    plan = evaluation.nearest_distance(frame, frame, ["fp"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan and "_least" in plan
